@@ -84,21 +84,24 @@ def process_message_tokens(
     pattern: str | None = None,
     lemmas: DataFrame | None = None,
     key: str = "conversation_id",
+    path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Clean and tokenise, lemmatise, and return (conversations with token columns, vocabulary).
 
     The default lemmas are an expression, so rows are processed where they lie. A lemma table is joined to the
-    distinct tokens and applied by `lemmatize_tokens`.
+    distinct tokens and applied by `lemmatize_tokens`. The token table is written to `path` if given, so that the
+    vocabulary is made from it without a second run.
     """
     cleaned = clean_and_tokenize(conversations, columns, pattern)
     token_columns = [f"{c}_tokens" for c in _names(columns)]
     if lemmas is None:
-        done = cut(cleaned.withColumns({c: lemmas_in_row(c) for c in token_columns}), "lemmatised")
+        done = cut(cleaned.withColumns({c: lemmas_in_row(c) for c in token_columns}), "lemmatised", path)
         terms = distinct_tokens(done, token_columns).withColumnRenamed("token", "term")
         return done, dense_index(terms, "term")
     cleaned = cut(cleaned, "tokens")
     table, vocab = lemma_dict_and_vocab(cleaned, token_columns, lemmas)
-    return lemmatize_tokens(cleaned, token_columns, table, key), vocab
+    done = lemmatize_tokens(cleaned, token_columns, table, key)
+    return (cut(done, "lemmatised", path) if path else done), vocab
 
 
 def duplicate_lemmas(lemmas: DataFrame) -> DataFrame:

@@ -32,13 +32,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder (or to `path`) and read it back.
 
     The plan restarts from files that outlive executors, runs once however often it is used, and its
     real size is known to the planner for later joins.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
