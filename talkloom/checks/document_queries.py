@@ -123,18 +123,13 @@ SELECT doc_id, term, tf, round(w, 6) AS w FROM weights"""
 
 
 def sparse_rows(spark, sf):
-    """Norm and number of terms of the vector form."""
+    """Number and sum of the non-zeros of the vector form."""
     docs = lemmatised(spark, sf)
-    n_terms = lemma.distinct_tokens(docs, "tokens").count()
-    rows = features.sparse_vectors(docs, n_terms)
-    from pyspark.ml.functions import vector_to_array
-
-    # a scalar product with itself over the dense form would be as wide as the vocabulary; sum the non-zeros
-    cells = F.filter(vector_to_array("features"), lambda x: x > 0)
-    return rows.select("doc_id", cells.alias("c")).select(
-        "doc_id", F.size("c").cast("bigint").alias("n_terms"),
-        F.round(F.aggregate("c", F.lit(0.0), lambda s, x: s + x), 5).alias("sum_w"),
-    )
+    rows = features.sparse_vectors(docs, lemma.distinct_tokens(docs, "tokens").count())
+    # a vector can be opened only from Python without making it as wide as the vocabulary; for this check alone
+    non_zeros = F.udf(lambda v: (int(v.numNonzeros()), float(v.values.sum())), "n bigint, s double")
+    opened = rows.select("doc_id", non_zeros("features").alias("o"))
+    return opened.select("doc_id", F.col("o.n").alias("n_terms"), F.round("o.s", 5).alias("sum_w"))
 
 
 def top_words(spark, sf):

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.feature import Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +39,5 @@ def embed_by_projection(df: DataFrame, text: str, key: str, dim: int = 384, seed
     """Vectors without a model file: TF-IDF of the raw words, projected on random signs, unit length. Texts without
     words are left out."""
     weights = tfidf_raw_text(df.na.drop(subset=[text]), text, key).weights
-    projected = random_projection(weights, dim, seed).select("doc_id", array_to_vector("vec").alias("_v"))
-    unit = Normalizer(p=2.0, inputCol="_v", outputCol="_u").transform(projected)
-    return unit.select(F.col("doc_id").alias(key), vector_to_array("_u", "float32").alias("vec"))
+    projected = random_projection(weights, dim, seed, unit=True)
+    return projected.select(F.col("doc_id").alias(key), F.col("vec").cast("array<float>").alias("vec"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.runtime import lookup_join, top_n_per_group
+from talkloom.runtime import cut, lookup_join, top_n_per_group
 
 _PREFIX = 4  # hex digits per refinement: at most 65,536 counts reach the driver
 _FEW = 4096  # hashes sorted at the end
@@ -65,6 +65,6 @@ def sample_per_cluster(
     Keys are drawn first; texts are joined to the few drawn keys.
     """
     candidates = labels.where(F.col("cluster") != -1).select(key, "cluster").withColumn("_h", sample_hash(key, seed))
-    drawn = top_n_per_group(candidates, ["cluster"], [F.col("_h"), F.col(key)], n).drop("_h")
+    drawn = cut(top_n_per_group(candidates, ["cluster"], [F.col("_h"), F.col(key)], n).drop("_h"), "drawn")
     excerpt = df.select(key, F.substring(text, 1, prefix).alias("excerpt"))
     return lookup_join(excerpt, drawn, key).select("cluster", "rank", key, "excerpt")

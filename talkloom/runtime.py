@@ -44,8 +44,8 @@ def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if `df` has at most `limit` rows; stops counting there."""
-    return df.limit(limit + 1).count() <= limit
+    """True if `df` has at most `limit` rows. Counting a cut reads file footers only."""
+    return df.count() <= limit
 
 
 def lookup_join(
