@@ -10,7 +10,7 @@ from talkloom.checks.oracles import (
 )
 from talkloom.functions import text as T
 from talkloom.functions.lemmas import lemmas_in_row
-from talkloom.functions.stopwords import stopwords
+from talkloom.functions.stopwords import stopword_pattern, stopwords
 from talkloom.operators import lemma, profile, sampling, stats
 from talkloom.operators import tfidf as features
 from talkloom.runtime import cut, scratch_path
@@ -21,9 +21,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def texts(spark, sf) -> DataFrame:
+    return sources.spread(documents(spark, sf).select("doc_id", "text"))
+
+
 def tokenised(spark, sf) -> DataFrame:
     """`(doc_id, tokens)` before lemmas."""
-    return documents(spark, sf).na.drop(subset=["text"]).select("doc_id", T.tokens("text").alias("tokens"))
+    return texts(spark, sf).na.drop(subset=["text"]).select("doc_id", T.tokens("text").alias("tokens"))
 
 
 def lemmatised(spark, sf) -> DataFrame:
@@ -45,7 +49,7 @@ def weights(spark, sf) -> features.Tfidf:
 
 
 def _text(step):
-    return lambda spark, sf: documents(spark, sf).select("doc_id", step("text").alias("text"))
+    return lambda spark, sf: texts(spark, sf).select("doc_id", step("text").alias("text"))
 
 
 def _text_sql(expression: str) -> str:
@@ -54,7 +58,7 @@ def _text_sql(expression: str) -> str:
 
 def _tokens(step):
     def query(spark, sf):
-        rows = documents(spark, sf).select("doc_id", step("text").alias("t"))
+        rows = texts(spark, sf).select("doc_id", step("text").alias("t"))
         return rows.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n_tokens"))
 
     return query
@@ -112,7 +116,7 @@ def tfidf(spark, sf):
 
 
 def tfidf_raw_text(spark, sf):
-    return _rounded(features.tfidf_raw_text(cut(documents(spark, sf).select("doc_id", "text"), "docs"), "text").weights)
+    return _rounded(features.tfidf_raw_text(texts(spark, sf), "text").weights)
 
 
 RAW_TEXT_SQL = r"""WITH
@@ -193,6 +197,9 @@ PREDICATE_SQL = rf"""list_filter(string_split_regex(lower(text), '\s+'), lambda
 
 REDUCED_SQL = rf"""string_split(trim(regexp_replace(array_to_string({kept_words('text')}, ' '), '\s+', ' ', 'g')), ' ')"""
 
+# A stop list with words added and removed.
+CUSTOM = stopwords(add=["der", "die", "und", "el", "la"], remove=["not", "no"])
+
 QUERIES = {
     "scan_clean_projection": (
         lambda s, d: sources.scan_columns(s, f"{d}/documents.parquet", ["doc_id", "text"]),
@@ -225,6 +232,11 @@ QUERIES = {
         _text(lambda c: F.array_join(F.filter(F.split(T.strip_stopwords(T.without_links(c)), T.SPACES), lambda w: w != ""), " ")),
         _text_sql(f"array_to_string(list_filter({kept_words('text')}, lambda w: w <> ''), ' ')"),
     ),
+    "stopword_pattern": (
+        _text(lambda c: F.array_join(F.filter(F.split(
+            T.strip_stopwords(T.without_links(c), stopword_pattern(CUSTOM)), T.SPACES), lambda w: w != ""), " ")),
+        _text_sql(f"array_to_string(list_filter({kept_words('text', CUSTOM)}, lambda w: w <> ''), ' ')"),
+    ),
     "strip_digits": (_text(T.strip_digits), _text_sql(r"regexp_replace(text, '\p{Nd}+', '', 'g')")),
     "strip_non_latin": (
         _text(T.strip_non_latin), _text_sql(LETTERS.replace(r"\p{Nd}+|", "").replace("(w,", "(text,")),

@@ -70,9 +70,9 @@ def without_links(text: str) -> str:
 LETTERS = r"regexp_replace(w, '\p{Nd}+|[^\x{0000}-\x{024F}\x{1E00}-\x{1EFF}]', '', 'g')"
 
 
-def kept_words(text: str) -> str:
+def kept_words(text: str, words=None) -> str:
     split = rf"string_split_regex({without_links(text)}, '\s+')"
-    return f"list_filter({split}, lambda w: NOT list_contains({words_sql(stopwords())}, w))"
+    return f"list_filter({split}, lambda w: NOT list_contains({words_sql(words or stopwords())}, w))"
 
 
 def tokens(text: str) -> str:

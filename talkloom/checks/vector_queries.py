@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.checks.document_queries import documents, lemmatised
+from talkloom.checks.document_queries import documents, lemmatised, texts
 from talkloom.checks.oracles import VECTORS
 from talkloom.functions.vectors import ml_vectors
 from talkloom.operators import density, embed, kmeans, knn, profile, reduce
@@ -137,7 +137,7 @@ def model_vectors(spark, sf):
 
         return encode
 
-    return embed.embed_with_model(documents(spark, sf), "text", "doc_id", load)
+    return embed.embed_with_model(texts(spark, sf), "text", "doc_id", load)
 
 
 def _v(select: str) -> str:
@@ -231,12 +231,12 @@ QUERIES = {
     ),
     "hdbscan": (lambda s, d: density.label_clusters(hierarchy(s, d), 8), None),
     "hdbscan_sweep": (lambda s, d: density.hdbscan_sweep(hierarchy(s, d), range(4, 12)), None),
-    "embed_text": (lambda s, d: embed.embed_by_projection(cut(documents(s, d).select("doc_id", "text"), "docs"), "text", "doc_id"), None),
+    "embed_text": (lambda s, d: embed.embed_by_projection(texts(s, d), "text", "doc_id"), None),
     "embed_text_model": (model_vectors, None),
     "tfidf_cluster_terms": (lambda s, d: cluster_tfidf(lemmatised(s, d), n_clusters=6, n_init=2)["top_terms"], None),
     "embedding_clusters": (
         lambda s, d: cluster_embeddings(
-            embed.embed_by_projection(cut(documents(s, d).select("doc_id", "text"), "docs"), "text", "doc_id", dim=64),
+            embed.embed_by_projection(texts(s, d), "text", "doc_id", dim=64),
             min_cluster_size=8, min_samples=5, dim=15,
         ),
         None,

@@ -23,11 +23,20 @@ def stopwords(add: Iterable[str] = (), remove: Iterable[str] = (), base: Iterabl
     return sorted((set(base) | set(add)) - set(remove))
 
 
-def stopword_pattern(words: Iterable[str] | None = None) -> str:
-    """Pattern of whole stop words. Words are grouped by first letter, so that a regex engine which tries
-    alternatives in turn tries about twenty per word instead of all. `(?U)` makes `\\b` Unicode-aware."""
+def _alternatives(words: Iterable[str] | None) -> str:
+    """The words grouped by first letter, so that a regex engine which tries alternatives in turn tries about twenty
+    per word instead of all."""
     by_letter: dict[str, list[str]] = {}
     for word in sorted(set(stopwords() if words is None else words)):
         by_letter.setdefault(word[0], []).append(re.escape(word[1:]))
-    groups = [f"{re.escape(letter)}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()]
-    return rf"(?U)\b(?:{'|'.join(groups)})\b"
+    return "|".join(f"{re.escape(letter)}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+
+
+def stopword_pattern(words: Iterable[str] | None = None) -> str:
+    """Pattern of stop words inside a text. `(?U)` makes `\\b` Unicode-aware."""
+    return rf"(?U)\b(?:{_alternatives(words)})\b"
+
+
+def whole_stopword_pattern(words: Iterable[str] | None = None) -> str:
+    """Pattern of a token that is a stop word."""
+    return rf"^(?:{_alternatives(words)})$"

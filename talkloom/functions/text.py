@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.functions.stopwords import stopword_pattern, stopwords
+from talkloom.functions.stopwords import stopword_pattern, whole_stopword_pattern
 
 # What each step removes. `(?U)` makes \s and \S Unicode-aware. An e-mail match always covers the
 # whole run between spaces, so matching starts at run starts only: that keeps the time linear on long runs.
@@ -18,6 +18,8 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 DIGITS = r"\p{Nd}+"
 NON_LATIN = r"[^\x00-\x7F\x80-\xFFĀ-ſƀ-ɏḀ-ỿ]"
 SPACES = r"(?U)\s+"
+# Digits and non-Latin characters in one class: digits outside ASCII lie outside the Latin ranges as well.
+DIGITS_AND_NON_LATIN = r"[^\x00-/:-\x7F\x80-\xFFĀ-ſƀ-ɏḀ-ỿ]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -70,7 +72,7 @@ def tokens(c, pattern: str | None = None) -> Column:
     """Clean text and split it. Digits and non-Latin characters go in one pass, and splitting on runs of spaces
     stands for collapse, trim and split: the empty tokens at the ends are dropped with the short ones."""
     words = strip_stopwords(without_links(c), pattern)
-    letters = F.regexp_replace(words, f"{DIGITS}|{NON_LATIN}", "")
+    letters = F.regexp_replace(words, DIGITS_AND_NON_LATIN, "")
     return keep_long_tokens(F.split(letters, SPACES))
 
 
@@ -97,7 +99,7 @@ def clean_tokens_strict(c, pattern: str | None = None) -> Column:
 def clean_tokens_by_predicate(c, words: Iterable[str] | None = None) -> Column:
     """Judge each space-separated token as a whole: links, addresses, stop words and pure punctuation go, other
     tokens keep their punctuation and repeated tokens stay."""
-    stop = F.array(*[F.lit(w) for w in (stopwords() if words is None else sorted(set(words)))])
+    stop = whole_stopword_pattern(words)
     parts = F.split(F.lower(_col(c)), SPACES)
     return F.filter(
         parts,
@@ -105,5 +107,12 @@ def clean_tokens_by_predicate(c, words: Iterable[str] | None = None) -> Column:
         & ~t.rlike(r"^(?:https?://|www\.).")
         & ~t.rlike(r"^[^@]+@[^@]+$")
         & ~t.rlike(r"^[!-/:-@\[-`{-~]+$")
-        & ~F.array_contains(stop, t),
+        & ~t.rlike(stop),
     )
+
+
+def explode_tokens(df: DataFrame, tokens: Column | str, keep: tuple[str, ...] = (), name: str = "token") -> DataFrame:
+    """One row per token. From a plain `explode` Spark infers a filter on the list and pushes it below its
+    computation, which would clean every text twice; the outer form with a filter behind it does not."""
+    exploded = df.select(*keep, F.explode_outer(tokens).alias(name))
+    return exploded.where(F.col(name).isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.lemmas import irregular_lemmas, lemmas_in_row, rule_lemma
-from talkloom.functions.text import clean_and_tokenize
+from talkloom.functions.text import clean_and_tokenize, explode_tokens
 from talkloom.runtime import cut, dense_index, lookup_join
 
 
@@ -19,12 +19,13 @@ def _names(columns: str | list[str]) -> list[str]:
 def distinct_tokens(df: DataFrame, columns: str | list[str]) -> DataFrame:
     """Distinct tokens of one or several token columns. Duplicates are removed in each task before the shuffle."""
     all_tokens = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in _names(columns)])
-    return df.select(F.explode(all_tokens).alias("token")).where(F.col("token").isNotNull()).distinct()
+    return explode_tokens(df, all_tokens).distinct()
 
 
 def distinct_tokens_sql(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.sql(
-        f"SELECT DISTINCT token FROM {{df}} LATERAL VIEW explode(`{column}`) AS token WHERE token IS NOT NULL", df=df
+        f"SELECT DISTINCT token FROM {{df}} LATERAL VIEW OUTER explode(`{column}`) AS token WHERE token IS NOT NULL",
+        df=df,
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.functions.text import explode_tokens
+
 
 def messages_per_conversation(messages: DataFrame) -> DataFrame:
     """How many conversations have n messages."""
@@ -44,4 +46,4 @@ def conversations_per_user(messages: DataFrame) -> DataFrame:
 
 def corpus_token_counts(df: DataFrame, column: str) -> DataFrame:
     """Frequency of each token in the corpus."""
-    return df.select(F.explode(column).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return explode_tokens(df, column).groupBy("token").agg(F.count("*").alias("n"))

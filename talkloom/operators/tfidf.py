@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkloom.functions.text import explode_tokens
 from talkloom.runtime import BROADCAST_ROWS, cut, lookup_join
 
 # Fixed value: a word of the default vectoriser, two or more word characters.
@@ -34,7 +35,7 @@ def term_counts(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") ->
     norms later share that one shuffle."""
     spread = docs.select(F.col(key).alias("doc_id"), F.col(tokens).alias("_tokens")).repartition("doc_id")
     return (
-        spread.select("doc_id", F.explode("_tokens").alias("term"))
+        explode_tokens(spread, "_tokens", keep=("doc_id",), name="term")
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -44,7 +45,7 @@ def idf_table(
     docs: DataFrame, n_docs: int, tokens: str = "tokens", vocabulary: DataFrame | None = None
 ) -> DataFrame:
     """`(term, df, idf)`. Repeated terms are dropped inside each list, so only per-task counts are shuffled."""
-    df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = explode_tokens(docs, F.array_distinct(tokens), name="term").groupBy("term").agg(F.count("*").alias("df"))
     if vocabulary is not None:
         df = df.join(vocabulary.select("term"), "term", "left_semi")
     return df.withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1)

@@ -34,6 +34,13 @@ def _narrow(schema: T.StructType, drop: list[str], keep_fields: list[str] | None
     return T.StructType(fields)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores, such as one small compressed file. A table with
+    enough splits is returned as it is. Only for scans: looking at the splits runs nothing there."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scan_raw(
     spark: SparkSession,
     paths: str | list[str],
@@ -51,7 +58,7 @@ def scan_raw(
     df = spark.read.schema(schema).parquet(*paths)
     if language is not None:
         df = df.where(F.col("language") == language)
-    return df.withColumnRenamed("language", "lang_conv")
+    return spread(df).withColumnRenamed("language", "lang_conv")
 
 
 def scan_columns(spark: SparkSession, path: str, columns: list[str], limit: int | None = None) -> DataFrame:
