@@ -1,0 +1,81 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from talkloom.functions import text as T
+from talkloom.functions.stopwords import ENGLISH, stopword_pattern, stopwords, whole_stopword_pattern
+
+STOP = stopword_pattern(["the", "or", "don", "it", "in"])
+
+CASES = [
+    ("Don't visit https://a.b/c?d=1 or WWW.x.com now", ["dont", "visit", "now"]),
+    ("mail me@x.org, please", ["mail", "please"]),
+    ("It’s don’t «the» café", ["«»", "café"]),
+    ("GPT4 in 2024 ٣٤ x9y", ["gpt", "xy"]),
+    ("漢字 hello 😀 Привет", ["hello"]),
+    ("a b c", []),
+    ("", []),
+    ("a/b foo_bar the", ["ab", "foobar"]),
+    ("the end", ["end"]),
+    ("theé thé the", ["theé", "thé"]),
+    ("tab\tnew\nline  end", ["tab", "new", "line", "end"]),
+]
+
+
+def test_edge_cases_and_null_row(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(CASES)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    done = {r["id"]: r["text_tokens"] for r in T.clean_and_tokenize(df, "text", STOP).collect()}
+    assert done == {i: tokens for i, (_, tokens) in enumerate(CASES)}
+
+
+def test_steps_one_by_one_equal_the_short_chain(spark):
+    df = spark.createDataFrame([(t,) for t, _ in CASES], "text string")
+    words = T.strip_non_latin(T.strip_digits(T.strip_stopwords(T.without_links("text"), STOP)))
+    steps = T.keep_long_tokens(T.split_tokens(T.collapse_spaces(words)))
+    for row in df.select(steps.alias("a"), T.tokens("text", STOP).alias("b")).collect():
+        assert row["a"] == row["b"]
+
+
+def test_replacing_the_column_and_several_columns(spark):
+    df = spark.createDataFrame([("One two", "three 4")], "a string, b string")
+    assert T.clean_and_tokenize(df, ["a", "b"], STOP).columns == ["a", "b", "a_tokens", "b_tokens"]
+    assert T.clean_and_tokenize(df, "a", STOP, suffix=None).first()["a"] == ["one", "two"]
+    assert dict(T.clean_and_tokenize(df, "a", STOP).dtypes)["a_tokens"] == "array<string>"
+
+
+@pytest.mark.parametrize("text", ["@abc", "abc@", "a@b", "@a@b", "a@b@", "x a@b y@ @z", "@", "@@@", "a@@b"])
+def test_anchored_email_pattern_equals_the_plain_one(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(T.strip_emails("t")).first()[0] == re.sub(r"\S+@\S+", "", text)
+
+
+def test_long_run_without_spaces_is_linear(spark):
+    run = "x" * 300_000
+    df = spark.createDataFrame([(run + " tail",)], "t string")
+    assert df.select(T.tokens("t").alias("t")).first()["t"] == [run, "tail"]
+
+
+def test_grouped_stop_pattern_equals_flat_alternation(spark):
+    words = ENGLISH + ["hello", "doneness", "themes", "thé"]
+    df = spark.createDataFrame([(" ".join(words) + " don the-end",)], "t string")
+    flat = r"(?U)\b(?:" + "|".join(re.escape(w) for w in ENGLISH) + r")\b"
+    a, b = df.select(F.regexp_replace("t", flat, "#"), F.regexp_replace("t", stopword_pattern(), "#")).first()
+    # a contraction may lose its stem first or as a whole; by tokens without apostrophes both are the same
+    keep = [i for i, w in enumerate(words) if "'" not in w]
+    assert [a.split(" ")[i] for i in keep] == [b.split(" ")[i] for i in keep]
+    assert len(ENGLISH) == len(set(ENGLISH)) == 179
+
+
+def test_stopword_list_can_change():
+    words = stopwords(add=["foo"], remove=["the"])
+    assert "foo" in words and "the" not in words
+    assert re.search(whole_stopword_pattern(words), "foo") and not re.search(whole_stopword_pattern(words), "food")
+
+
+def test_strict_and_predicate_forms(spark):
+    df = spark.createDataFrame([("The cats, ab xy1 http://q.w me@x.y -- The cats,",)], "t string")
+    row = df.select(T.clean_tokens_strict("t").alias("s"), T.clean_tokens_by_predicate("t").alias("p")).first()
+    assert row["s"] == ["cats", "cats"]
+    assert row["p"] == ["cats,", "ab", "xy1", "cats,"]
