@@ -103,24 +103,32 @@ def _assemble_in_row(raw: DataFrame) -> DataFrame:
     )
 
 
-def prepare_conversations(raw: DataFrame) -> DataFrame:
+def prepare_conversations(raw: DataFrame, null_ids: str = "group") -> DataFrame:
     """Raw conversations to cleaned, assembled conversations without moving text between executors.
 
     All messages of a conversation already lie in one raw row, so they are cleaned and joined there. Only rows
     whose id is null or repeated need grouping: they are found from the id columns alone and take the message
-    route. Equal to `assemble_conversations(clean_messages(flatten_messages(raw)))`.
+    route. Equal to `assemble_conversations(clean_messages(flatten_messages(raw)))`, where all conversations of
+    unknown users make one row; with `null_ids="separate"` each keeps a row of its own, which is the choice if
+    they are many.
     """
-    keyed = raw.withColumn("_id", conversation_id())
-    repeated = cut(
-        keyed.where(F.col("_id").isNotNull()).groupBy("_id").count().where(F.col("count") > 1).select("_id"),
-        "repeated-ids",
-    )
-    null_ids = keyed.where(F.col("_id").isNull())
-    known = keyed.where(F.col("_id").isNotNull())
-    if repeated.isEmpty():
-        single, grouped = known, null_ids
-    else:
-        single = lookup_join(known, repeated, "_id", "left_anti")
-        grouped = lookup_join(known, repeated, "_id", "left_semi").unionByName(null_ids)
-    by_group = grouped.drop("_id").transform(flatten_messages).transform(clean_messages)
-    return _assemble_in_row(single.drop("_id")).unionByName(assemble_conversations(by_group))
+    if null_ids not in ("group", "separate"):
+        raise ValueError("null_ids must be 'group' or 'separate'")
+    unknown = F.col("conversation_hash").isNull() | F.col("hashed_ip").isNull()
+    ids = raw.select(conversation_id().alias("_id")).groupBy("_id").count()
+    shared = cut(ids.where(F.col("_id").isNull() | (F.col("count") > 1)).select("_id"), "shared-ids")
+    repeated = shared.where(F.col("_id").isNotNull())
+    any_null = not shared.where(F.col("_id").isNull()).isEmpty()
+    any_repeated = not repeated.isEmpty()
+    single, grouped = raw, []
+    if any_null and null_ids == "group":
+        single, grouped = raw.where(~unknown), [raw.where(unknown)]
+    if any_repeated:
+        keyed = raw.where(~unknown).withColumn("_id", conversation_id())
+        grouped.append(lookup_join(keyed, repeated, "_id", "left_semi").drop("_id"))
+        single = lookup_join(single.withColumn("_id", conversation_id()), repeated, "_id", "left_anti").drop("_id")
+    result = _assemble_in_row(single)
+    for part in grouped:
+        messages = part.transform(flatten_messages).transform(clean_messages)
+        result = result.unionByName(assemble_conversations(messages))
+    return result

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.sources.raw import message_fields
+from talkloom.runtime import cut, lookup_join
 
 # Names shared by messages and conversations, columns not carried on, languages kept.
 SHARED_NAMES = ["language", "country", "state", "hashed_ip", "header"]
@@ -77,12 +77,13 @@ def first_message_turns(messages: DataFrame) -> DataFrame:
 def drop_empty_turns(messages: DataFrame, scope: str = "single_round") -> DataFrame:
     """Remove both messages of a turn with an empty prompt.
 
-    No check for "any such turn?" is run first: with nothing to remove the anti join is a no-op.
+    The turns are few and are found without reading texts. They are cut, so that they can be broadcast after a check
+    of their number, which spares the texts a shuffle; without any, the anti join is a no-op.
     """
     if scope not in ("single_round", "first_message"):
         raise ValueError("scope must be 'single_round' or 'first_message'")
     turns = empty_prompt_turns(messages) if scope == "single_round" else first_message_turns(messages)
-    return messages.join(turns, ["conversation_id", "turn_identifier"], "left_anti")
+    return lookup_join(messages, cut(turns, "empty-turns"), ["conversation_id", "turn_identifier"], "left_anti", hot=False)
 
 
 def remove_nolang(messages: DataFrame) -> DataFrame:
@@ -97,18 +98,3 @@ def keep_english_latin(messages: DataFrame) -> DataFrame:
 def clean_messages(messages: DataFrame, scope: str = "single_round") -> DataFrame:
     return messages.transform(drop_empty_turns, scope).transform(remove_nolang).transform(keep_english_latin)
 
-
-__all__ = [
-    "clean_messages",
-    "conversation_id",
-    "drop_empty_turns",
-    "empty_prompt_turns",
-    "explode_messages",
-    "first_message_turns",
-    "flatten_messages",
-    "keep_english_latin",
-    "message_fields",
-    "remove_nolang",
-    "rename_message_fields",
-    "unnest",
-]

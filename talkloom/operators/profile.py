@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.vectors import unit
-from talkloom.runtime import lookup_join, top_n_per_group
+from talkloom.runtime import cut, lookup_join, top_n_per_group
 
 NOISE = -1
 # Guard against division by zero, and the most panels a grid of clusters shows.
@@ -88,7 +88,7 @@ def cluster_mean(weights: DataFrame, labels: DataFrame, key: str = "doc_id") ->
 
     Sums are reduced per (cluster, term) in each task, so a cluster with a third of the rows is no hot spot.
     """
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = cut(labels.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
     sums = weights.join(labels.select(F.col(key).alias("doc_id"), "cluster"), "doc_id")
     sums = sums.groupBy("cluster", "term").agg(F.sum("w").alias("total"))
     return lookup_join(sums, sizes, "cluster").select("cluster", "term", (F.col("total") / F.col("n")).alias("mean_w"))
@@ -101,25 +101,25 @@ def _top(scores: DataFrame, score: str, n: int, digits: int) -> DataFrame:
 
 def top_tfidf_terms(
     weights: DataFrame, labels: DataFrame, n: int = 15, clusters: str | int | list[int] = "all",
-    key: str = "doc_id", digits: int = 6,
+    key: str = "doc_id", digits: int = 6, means: DataFrame | None = None,
 ) -> DataFrame:
-    """The n terms with the highest mean weight in each cluster; ties by term, on the rounded score."""
-    means = cluster_mean(weights, labels, key).where(select_clusters(labels, clusters))
-    return _top(means, "mean_w", n, digits)
+    """The n terms with the highest mean weight in each cluster; ties by term, on the rounded score. Give the cluster
+    means if they were made before."""
+    means = cluster_mean(weights, labels, key) if means is None else means
+    return _top(means.where(select_clusters(labels, clusters)), "mean_w", n, digits)
 
 
 def most_overrepresented_terms(
     weights: DataFrame, labels: DataFrame, n: int = 15, clusters: str | int | list[int] = "all",
-    key: str = "doc_id", digits: int = 4,
+    key: str = "doc_id", digits: int = 4, means: DataFrame | None = None,
 ) -> DataFrame:
     """The n terms with the highest ratio of cluster mean to overall mean.
 
-    Overall sums come from the per-cluster sums, so the weights are read and joined once: a window over terms would
-    sort them again, a second aggregate over the weights would read them twice.
+    The weights are read and joined once: overall sums come from the cut cluster means.
     """
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
-    n_rows = labels.count()
-    means = cluster_mean(weights, labels, key)
+    sizes = cut(labels.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    means = cut(cluster_mean(weights, labels, key), "means") if means is None else means
+    n_rows = sizes.agg(F.sum("n")).first()[0]
     sums = lookup_join(means, sizes, "cluster").withColumn("total", F.col("mean_w") * F.col("n"))
     overall = sums.groupBy("term").agg((F.sum("total") / n_rows).alias("overall"))
     ratio = F.col("mean_w") / (F.col("overall") + EPSILON)

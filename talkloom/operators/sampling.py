@@ -67,4 +67,4 @@ def sample_per_cluster(
     candidates = labels.where(F.col("cluster") != -1).select(key, "cluster").withColumn("_h", sample_hash(key, seed))
     drawn = cut(top_n_per_group(candidates, ["cluster"], [F.col("_h"), F.col(key)], n).drop("_h"), "drawn")
     excerpt = df.select(key, F.substring(text, 1, prefix).alias("excerpt"))
-    return lookup_join(excerpt, drawn, key).select("cluster", "rank", key, "excerpt")
+    return lookup_join(excerpt, drawn, key, hot=False).select("cluster", "rank", key, "excerpt")

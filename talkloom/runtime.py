@@ -54,16 +54,19 @@ def lookup_join(
     on: str | list[str],
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
+    hot: bool = True,
 ) -> DataFrame:
     """Join a large table to a lookup table that is unique on `on`.
 
     The lookup is broadcast only after its row count was checked; otherwise it is copied once per salt and
-    the left side spread over the salts, so that a hot key is shared by many tasks. `right` should be a cut
-    or a scan because it is counted here.
+    the left side spread over the salts, so that a hot key is shared by many tasks. Keys that cannot be hot, such
+    as row ids, need no copies (`hot=False`). `right` should be a cut or a scan because it is counted here.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), keys, how)
+    if not hot:
+        return left.join(right, keys, how)
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -51,6 +51,15 @@ def test_in_row_route_equals_message_route(spark, raw_path):
         assert rows(assemble.prepare_conversations(df)) == rows(by_message)
 
 
+def test_conversations_of_unknown_users_can_stay_apart(spark, raw_path):
+    raw = sources.scan_raw(spark, raw_path).withColumn("hashed_ip", F.lit(None).cast("string"))
+    apart = assemble.prepare_conversations(raw, null_ids="separate")
+    assert apart.count() == 64 and apart.where(F.col("conversation_id").isNotNull()).isEmpty()
+    assert assemble.prepare_conversations(raw).count() == 1
+    with pytest.raises(ValueError):
+        assemble.prepare_conversations(raw, null_ids="drop")
+
+
 def test_in_row_route_moves_no_text(spark, raw_path):
     plan = assemble._assemble_in_row(sources.scan_raw(spark, raw_path))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
