@@ -38,6 +38,15 @@ def test_steps_one_by_one_equal_the_short_chain(spark):
         assert row["a"] == row["b"]
 
 
+def test_latin_blocks_survive_character_by_character(spark):
+    points = [*range(1, 0xD800), *range(0xE000, 0x10000), 0x10000, 0x1F600, 0x10FFFF]
+    df = spark.createDataFrame([(p, chr(p)) for p in points], "p int, c string")
+    kept = {r["p"] for r in df.where(T.strip_non_latin("c") != "").collect()}
+    assert kept == {p for p in points if p <= 0x24F or 0x1E00 <= p <= 0x1EFF}
+    both = F.regexp_replace("c", T.DIGITS_AND_NON_LATIN, "")
+    assert df.where(both != T.strip_non_latin(T.strip_digits("c"))).count() == 0
+
+
 def test_replacing_the_column_and_several_columns(spark):
     df = spark.createDataFrame([("One two", "three 4")], "a string, b string")
     assert T.clean_and_tokenize(df, ["a", "b"], STOP).columns == ["a", "b", "a_tokens", "b_tokens"]
