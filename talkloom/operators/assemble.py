@@ -107,26 +107,26 @@ def prepare_conversations(raw: DataFrame, null_ids: str = "group") -> DataFrame:
     """Raw conversations to cleaned, assembled conversations without moving text between executors.
 
     All messages of a conversation already lie in one raw row, so they are cleaned and joined there. Only rows
-    whose id is null or repeated need grouping: they are found from the id columns alone and take the message
-    route. Equal to `assemble_conversations(clean_messages(flatten_messages(raw)))`, where all conversations of
+    whose id is null or repeated need grouping: they are found from 8-byte hashes of the id columns (ids that share
+    a hash by chance are grouped too, which changes nothing) and take the message route. Equal to `assemble_conversations(clean_messages(flatten_messages(raw)))`, where all conversations of
     unknown users make one row; with `null_ids="separate"` each keeps a row of its own, which is the choice if
     they are many.
     """
     if null_ids not in ("group", "separate"):
         raise ValueError("null_ids must be 'group' or 'separate'")
     unknown = F.col("conversation_hash").isNull() | F.col("hashed_ip").isNull()
-    ids = raw.select(conversation_id().alias("_id")).groupBy("_id").count()
-    shared = cut(ids.where(F.col("_id").isNull() | (F.col("count") > 1)).select("_id"), "shared-ids")
-    repeated = shared.where(F.col("_id").isNotNull())
-    any_null = not shared.where(F.col("_id").isNull()).isEmpty()
-    any_repeated = not repeated.isEmpty()
+    key = F.when(~unknown, F.xxhash64("conversation_hash", "hashed_ip"))
+    counts = raw.select(key.alias("_key")).groupBy("_key").count()
+    shared = cut(counts.where(F.col("_key").isNull() | (F.col("count") > 1)).select("_key"), "shared-ids")
+    repeated = shared.where(F.col("_key").isNotNull())
+    any_null = not shared.where(F.col("_key").isNull()).isEmpty()
     single, grouped = raw, []
     if any_null and null_ids == "group":
         single, grouped = raw.where(~unknown), [raw.where(unknown)]
-    if any_repeated:
-        keyed = raw.where(~unknown).withColumn("_id", conversation_id())
-        grouped.append(lookup_join(keyed, repeated, "_id", "left_semi").drop("_id"))
-        single = lookup_join(single.withColumn("_id", conversation_id()), repeated, "_id", "left_anti").drop("_id")
+    if not repeated.isEmpty():
+        keyed = raw.where(~unknown).withColumn("_key", key)
+        grouped.append(lookup_join(keyed, repeated, "_key", "left_semi", hot=False).drop("_key"))
+        single = lookup_join(single.withColumn("_key", key), repeated, "_key", "left_anti", hot=False).drop("_key")
     result = _assemble_in_row(single)
     for part in grouped:
         messages = part.transform(flatten_messages).transform(clean_messages)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.vectors import unit
@@ -42,11 +42,8 @@ def labels_to_rows(df: DataFrame, labels: DataFrame, key: str = "doc_id") -> Dat
 def cluster_sizes(labels: DataFrame, clusters: str | int | list[int] = "all") -> DataFrame:
     """Rows per cluster and share of all rows, noise counted in the total."""
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))  # one row
-    chosen = select_clusters(labels, clusters)
-    return sizes.join(F.broadcast(total)).select(
-        "cluster", "n", (F.col("n") / F.col("total")).alias("share")
-    ).where(chosen)
+    everything = F.sum("n").over(Window.partitionBy())  # over one row per cluster
+    return sizes.withColumn("share", F.col("n") / everything).where(select_clusters(labels, clusters))
 
 
 def noise_summary(labels: DataFrame) -> DataFrame:

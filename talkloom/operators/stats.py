@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import explode_tokens
@@ -16,10 +16,8 @@ def messages_per_conversation(messages: DataFrame) -> DataFrame:
 
 def messages_by_role(messages: DataFrame) -> DataFrame:
     counts = messages.groupBy("role").agg(F.count("*").alias("n_messages"))
-    total = counts.agg(F.sum("n_messages").alias("total"))
-    return counts.join(F.broadcast(total)).select(  # one row, joined to one row per role
-        "role", "n_messages", (F.col("n_messages") / F.col("total")).alias("share")
-    )
+    everything = F.sum("n_messages").over(Window.partitionBy())  # over one row per role
+    return counts.withColumn("share", F.col("n_messages") / everything)
 
 
 def row_counts_by_level(messages: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows up to which a lookup side is broadcast. Lookup rows here are a term or an id with a few numbers
-# (about 100 bytes), so this bounds a broadcast to roughly 100 MB whatever the size of the data.
+# Rows and bytes up to which a lookup side is broadcast, whatever the size of the data.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 # Copies made of a lookup side that is too large to broadcast; spreads a hot key over as many tasks.
 SALTS = 16
@@ -44,8 +45,12 @@ def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if `df` has at most `limit` rows. Counting a cut reads file footers only."""
-    return df.count() <= limit
+    """True if `df` has at most `limit` rows, and its strings and arrays at most BROADCAST_BYTES. Without such columns
+    counting a cut reads file footers only."""
+    sizes = [F.sum(F.octet_length(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    sizes += [F.sum(F.size(f.name) * 8) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    counted = df.agg(F.count("*"), *sizes).first()
+    return counted[0] <= limit and sum(s or 0 for s in counted[1:]) <= BROADCAST_BYTES
 
 
 def lookup_join(
@@ -58,9 +63,9 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large table to a lookup table that is unique on `on`.
 
-    The lookup is broadcast only after its row count was checked; otherwise it is copied once per salt and
+    The lookup is broadcast only after its size was checked; otherwise it is copied once per salt and
     the left side spread over the salts, so that a hot key is shared by many tasks. Keys that cannot be hot, such
-    as row ids, need no copies (`hot=False`). `right` should be a cut or a scan because it is counted here.
+    as row ids, need no copies (`hot=False`). `right` should be a cut or a scan because it is measured here.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(right, limit):
