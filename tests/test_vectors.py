@@ -278,3 +278,73 @@ def test_vectors_from_a_model_and_by_projection(spark):
     assert set(vec) == {1, 2, 3} and np.allclose(vec[1], vec[2])
     assert all(np.linalg.norm(v) == pytest.approx(1.0, abs=1e-5) for v in vec.values())
     assert abs(vec[1] @ vec[3]) < 0.5
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_links_between_trees_complete_the_spanning_tree(spark, monkeypatch, metric):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(11)
+    angle = np.concatenate([rng.normal(c, 0.02, size=30) for c in (0.1, 0.6, 1.1, 1.3)])
+    x = np.column_stack([np.cos(angle), np.sin(angle)]) * rng.uniform(1, 1.2, size=(120, 1))
+    points = frame(spark, x)
+    neighbours = knn.knn_graph(points, 4, "k", "vec", metric).cache()
+    edges = density.mutual_reachability(neighbours, 4, "k").withColumn("level", F.lit(0))
+    forest, trees = density.spanning_forest(edges, with_components=True)
+    assert trees.select("comp").distinct().count() > 1
+    core = density.core_distances(neighbours, 4, "k")
+    links = density.link_trees(points, "k", "vec", core, trees, metric)
+    tree = forest.select("u", "v", "w").unionByName(links).collect()
+    single = points.select(F.col("k").alias("node"), F.col("k").alias("comp"))
+    exact = density.link_trees(points, "k", "vec", core, single, metric).collect()
+    d = distances(x, metric)
+    far = np.sort(d + np.eye(len(x)) * 1e9, axis=1)[:, 2]
+    every = [{"u": i, "v": j, "w": max(d[i, j], far[i], far[j])} for i, j in itertools.combinations(range(len(x)), 2)]
+    n, total = brute_forest(every)
+    assert len(tree) == len(exact) == n == 119
+    assert sum(r["w"] for r in exact) == pytest.approx(total)
+    assert total * (1 - 1e-9) <= sum(r["w"] for r in tree) < 1.02 * total
+
+
+def exact_clusters(x, min_samples, min_size):
+    """Every merge of the full hierarchy, by plain union of sorted edges: the most stable clusters as sets."""
+    d = distances(x, "euclidean")
+    core = np.sort(d + np.eye(len(x)) * 1e9, axis=1)[:, min_samples - 2]
+    edges = sorted((max(d[i, j], core[i], core[j]), i, j) for i, j in itertools.combinations(range(len(x)), 2))
+    group = {i: frozenset([i]) for i in range(len(x))}
+    alive = {}  # large set -> [stability, since rate, chosen inside, its stability]
+
+    def close(s, rate):
+        stability = alive[s][0] + len(s) * (alive[s][1] - rate)
+        return ([s], stability) if stability >= alive[s][3] else (alive[s][2], alive[s][3])
+
+    for w, i, j in edges:
+        a, b = group[i], group[j]
+        if a is b:
+            continue
+        rate, both = 1 / w, a | b
+        large = [s for s in (a, b) if len(s) >= min_size]
+        if len(large) == 2:
+            results = [close(s, rate) for s in large]
+            alive[both] = [0.0, rate, results[0][0] + results[1][0], results[0][1] + results[1][1]]
+        elif len(large) == 1:
+            s = large[0]
+            alive[both] = [alive[s][0] + len(s) * (alive[s][1] - rate), rate, alive[s][2], alive[s][3]]
+        elif len(both) >= min_size:
+            alive[both] = [0.0, rate, [], 0.0]
+        for node in both:
+            group[node] = both
+    return alive[group[0]][2]
+
+
+def test_labels_against_the_full_hierarchy(spark):
+    rng = np.random.default_rng(12)
+    parts = [rng.normal((0, 0), 0.3, (70, 2)), rng.normal((2.2, 0), 0.3, (60, 2)), rng.normal((8, 8), 0.8, (50, 2))]
+    x = np.concatenate([*parts, rng.uniform(-3, 11, (20, 2))])
+    expected = exact_clusters(x, 5, 20)
+    for exact in (False, True):
+        h = density.density_hierarchy(frame(spark, x), "k", "vec", 5, smallest=20, exact=exact)
+        rows = density.label_clusters(h, 20).collect()
+        found = {c: {r["k"] for r in rows if r["cluster"] == c} for c in {r["cluster"] for r in rows} - {-1}}
+        assert len(found) == len(expected)
+        for want in expected:  # levels are quantiles, so a few border points may differ
+            assert max(len(want & f) / len(want | f) for f in found.values()) > 0.9
