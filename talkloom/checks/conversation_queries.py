@@ -16,7 +16,10 @@ ASSEMBLED = (
     "conversation_id, first_user_content, all_user_content, all_assistant_content, all_content, conversation_hash, "
     "turn, lang_conv, state, country, hashed_ip"
 )
-FLAT = "conversation_id, conversation_hash, hashed_ip, turn, lang_conv, state, country, pos, turn_identifier, role, content, language_message"
+FLAT = (
+    "conversation_id, conversation_hash, hashed_ip, turn, lang_conv, state, country, pos, turn_identifier, role, content, "
+    "language_message"
+)
 
 
 def nested(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,8 +95,8 @@ def rename_struct_fields(spark, sf):
 def unnest_structs(spark, sf):
     m = flatten.rename_message_fields(flatten.explode_messages(english(spark, sf)))
     flat = flatten.unnest(m, "message", "header")
-    return flat.select("conversation_hash", "hashed_ip", F.col("pos").cast("bigint").alias("pos"), "role", "content", "language_nested",
-                       "model", F.col("accept-language"), F.col("user-agent"))
+    return flat.select("conversation_hash", "hashed_ip", F.col("pos").cast("bigint").alias("pos"), "role", "content",
+                       "language_nested", "model", F.col("accept-language"), F.col("user-agent"))
 
 
 def drop_columns_light(spark, sf):

@@ -123,21 +123,21 @@ def hierarchy(spark, sf) -> density.Hierarchy:
 
 
 def model_vectors(spark, sf):
-    """A stand-in model (hashed character trigrams) through the interface a sentence model uses."""
+    """A stand-in model (characters, spaces and letters e of the whole text) through the interface of a real one."""
 
     def load():
-        import zlib
+        return lambda batch: np.array([[len(t), t.count(" "), t.count("e")] for t in batch], dtype=float)
 
-        def encode(texts):
-            out = np.zeros((len(texts), 64))
-            for i, text in enumerate(texts):
-                codes = [zlib.crc32(text[j : j + 3].encode()) % 64 for j in range(max(len(text) - 2, 1))]
-                np.add.at(out[i], codes, 1.0)
-            return out / np.linalg.norm(out, axis=1, keepdims=True)
+    vectors = embed.embed_with_model(texts(spark, sf), "text", "doc_id", load)
+    parts = [F.col("vec")[i].cast("bigint").alias(c) for i, c in enumerate(("n_chars", "n_spaces", "n_e"))]
+    return vectors.select("doc_id", *parts)
 
-        return encode
 
-    return embed.embed_with_model(texts(spark, sf), "text", "doc_id", load)
+def squared_silhouettes(spark, sf):
+    values = [(m, kmeans.silhouette_squared(ml(spark, sf), given(spark, sf), KEY, m)) for m in ("squaredEuclidean", "cosine")]
+    return spark.createDataFrame(values, "measure string, silhouette double").withColumn(
+        "silhouette", F.round("silhouette", 6)
+    )
 
 
 def _v(select: str) -> str:
@@ -223,16 +223,25 @@ QUERIES = {
         lambda s, d: kmeans.find_optimal_clusters(embeddings(s, d), KEY, VEC, 6, n_init=2)[0], None,
     ),
     "silhouette_squared": (
-        lambda s, d: s.createDataFrame(
-            [(m, kmeans.silhouette_squared(ml(s, d), given(s, d), KEY, m)) for m in ("squaredEuclidean", "cosine")],
-            "measure string, silhouette double",
-        ),
-        None,
+        squared_silhouettes,
+        _v(""", sizes AS (SELECT label, count(*) AS n FROM vectors GROUP BY label),
+        measured AS (SELECT 'squaredEuclidean' AS measure, a, la, lb, d * d AS d FROM pairs
+                     UNION ALL SELECT 'cosine', a, la, lb, 1 - cosine FROM pairs),
+        dists AS (SELECT measure, a, la, lb, sum(d) AS s FROM measured GROUP BY ALL),
+        ab AS (SELECT measure, a, max(CASE WHEN la = lb THEN s / (n - 1) END) AS a_in,
+                      min(CASE WHEN la <> lb THEN s / n END) AS b_out
+               FROM dists JOIN sizes ON sizes.label = lb GROUP BY measure, a)
+        SELECT measure, round(avg(coalesce((b_out - a_in) / greatest(a_in, b_out), 0)), 6) AS silhouette
+        FROM ab GROUP BY measure"""),
     ),
     "hdbscan": (lambda s, d: density.label_clusters(hierarchy(s, d), 8), None),
     "hdbscan_sweep": (lambda s, d: density.hdbscan_sweep(hierarchy(s, d), range(4, 12)), None),
     "embed_text": (lambda s, d: embed.embed_by_projection(texts(s, d), "text", "doc_id"), None),
-    "embed_text_model": (model_vectors, None),
+    "embed_text_model": (
+        model_vectors,
+        """SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_spaces,
+        length(text) - length(replace(text, 'e', '')) AS n_e FROM documents""",
+    ),
     "tfidf_cluster_terms": (lambda s, d: cluster_tfidf(lemmatised(s, d), n_clusters=6, n_init=2)["top_terms"], None),
     "embedding_clusters": (
         lambda s, d: cluster_embeddings(
