@@ -1,0 +1,45 @@
+"""What the physical plans of the heavy steps must look like."""
+
+from pyspark.sql import functions as F
+
+from talkloom.operators import profile, sampling, tfidf
+from talkloom.runtime import cut
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def token_table(spark):
+    rows = [(i, [f"t{j}" for j in range(i % 7)]) for i in range(50)]
+    return cut(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>"), "tokens")
+
+
+def test_tfidf_shuffles_once_by_document(spark):
+    weights = plan(tfidf.tfidf(token_table(spark)).weights)
+    assert weights.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in weights
+    assert "BroadcastHashJoin" in weights
+
+
+def test_profile_reuses_that_shuffle_and_limits_groups_early(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = token_table(spark)
+        labels = cut(docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("cluster")), "labels")
+        top = plan(profile.top_tfidf_terms(tfidf.tfidf(docs).weights, labels))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # token lists and labels by document, partial sums by (cluster, term), n rows per task by cluster
+    assert top.count("Exchange hashpartitioning") == 4
+    assert "partial_sum" in top and "row_number(), 15, Partial" in top
+
+
+def test_document_frequencies_are_counted_before_the_shuffle(spark):
+    assert "partial_count" in plan(tfidf.idf_table(token_table(spark), 50))
+
+
+def test_samples_per_cluster_are_limited_before_the_shuffle(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"))
+    labels = docs.withColumn("cluster", F.col("doc_id") % 2)
+    ranked = sampling.top_n_per_group(labels, ["cluster"], [sampling.sample_hash("doc_id")], 10)
+    assert "row_number(), 10, Partial" in plan(ranked)
