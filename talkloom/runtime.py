@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,15 +17,11 @@ SALTS = 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: `spark.checkpoint.dir`, or a temporary one in local mode only."""
+    """Shared folder for lineage cuts: `spark.checkpoint.dir`, which every executor must reach."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="talkloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir, when the session is built, to a folder that every executor can reach")
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -44,11 +39,28 @@ def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _held_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value holds, 8 for one of fixed width."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.ArrayType):
+        of = lambda total, x: total + _held_bytes(x, kind.elementType)
+        return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), of), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        return _held_bytes(F.map_keys(value), keys) + _held_bytes(F.map_values(value), values)
+    if isinstance(kind, T.StructType):
+        return sum((_held_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    if isinstance(kind, T.UserDefinedType):
+        return _held_bytes(F.unwrap_udt(value), kind.sqlType())
+    return F.lit(8).cast("bigint")
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if `df` has at most `limit` rows, and its strings and arrays at most BROADCAST_BYTES. Without such columns
-    counting a cut reads file footers only."""
-    sizes = [F.sum(F.octet_length(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)]
-    sizes += [F.sum(F.size(f.name) * 8) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    """True if `df` has at most `limit` rows, and its values of variable width at most BROADCAST_BYTES. Without such
+    columns counting a cut reads file footers only."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    sizes = [F.sum(_held_bytes(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema if not isinstance(f.dataType, fixed)]
     counted = df.agg(F.count("*"), *sizes).first()
     return counted[0] <= limit and sum(s or 0 for s in counted[1:]) <= BROADCAST_BYTES
 
