@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkloom.llm import sql
+from talkloom.llm.decontaminate import contamination
 from talkloom.llm.packing import pack
+from talkloom.llm.substrings import remove_repeats
 from talkloom.llm.tables import documents
 from talkloom.llm.token_file import read_token_file, write_token_file
 from talkloom.llm.tokens import default_tokenizer
@@ -20,6 +23,20 @@ def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items.alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), default_tokenizer())
     return pieces.select(
@@ -29,5 +46,7 @@ def op9_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_elias_fano_tokens": (op1_elias_fano_tokens, None),
+    "op5_suffix_array_decontamination": (op5_suffix_array_decontamination, sql.DECONTAMINATION),
+    "op8_difference_cover_dedup": (op8_difference_cover_dedup, sql.SUBSTRINGS),
     "op9_squares_packing": (op9_squares_packing, None),
 }

@@ -59,3 +59,16 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple
         return batches_of(function(rows_of(batches)), arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text as UTF-8 bytes, and row_key: a hash of both, equal for repeated rows only."""
+    return docs.select(
+        docs[doc_id].cast("bigint").alias("doc_id"),
+        docs[text].cast("binary").alias("text"),
+        row_key(docs, doc_id, text).alias("row_key"),
+    )
+
+
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(docs[doc_id].cast("bigint"), docs[text].cast("binary"))
