@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import sql
 from talkloom.llm.decontaminate import contamination
+from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.packing import pack
 from talkloom.llm.substrings import remove_repeats
 from talkloom.llm.tables import documents
@@ -23,6 +24,10 @@ def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).drop("row_key")
+
+
 def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -46,6 +51,7 @@ def op9_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_elias_fano_tokens": (op1_elias_fano_tokens, None),
+    "op3_circulant_minhash": (op3_circulant_minhash, sql.NEAR_DUPLICATES),
     "op5_suffix_array_decontamination": (op5_suffix_array_decontamination, sql.DECONTAMINATION),
     "op8_difference_cover_dedup": (op8_difference_cover_dedup, sql.SUBSTRINGS),
     "op9_squares_packing": (op9_squares_packing, None),

@@ -29,6 +29,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN hit_word USING (doc_id) LEFT JOIN hit_item USING (doc_id)
 """
 
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+    FROM doc, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingle AS a JOIN shingle AS b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+    SELECT a, b FROM common AS c JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b
+    WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+), step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM doc
+    UNION
+    SELECT r.doc_id, s.b FROM reach AS r JOIN step AS s ON s.a = r.other
+), component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM doc JOIN component USING (doc_id) LEFT JOIN size USING (doc_id)
+"""
+
 SUBSTRINGS = r"""
 WITH doc AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
