@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import sql
 from talkloom.llm.decontaminate import contamination
+from talkloom.llm.language import fit, held_out, identify
 from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.packing import pack
 from talkloom.llm.substrings import remove_repeats
@@ -49,10 +50,17 @@ def op9_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = identify(docs, fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_elias_fano_tokens": (op1_elias_fano_tokens, None),
     "op3_circulant_minhash": (op3_circulant_minhash, sql.NEAR_DUPLICATES),
     "op5_suffix_array_decontamination": (op5_suffix_array_decontamination, sql.DECONTAMINATION),
     "op8_difference_cover_dedup": (op8_difference_cover_dedup, sql.SUBSTRINGS),
     "op9_squares_packing": (op9_squares_packing, None),
+    "op10_nearest_centroid_language": (op10_nearest_centroid_language, None),
 }
