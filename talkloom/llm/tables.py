@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows with texts go to Python in batches of this many, so that a batch of long texts stays small.
-BATCH_ROWS = 256
+# Rows become Python values in parts of this many bytes or rows, so that a batch of long texts stays small.
+PART_BYTES, PART_ROWS = 4 << 20, 256
 # Rows made in Python return in batches of this many bytes or rows.
 OUT_BYTES, OUT_ROWS = 4 << 20, 8192
 
@@ -25,8 +25,9 @@ def utf8(column: str = "text") -> Column:
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows as tuples of Python values, a few at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_ROWS):
-            part = batch.slice(at, BATCH_ROWS)
+        step = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
 
