@@ -12,6 +12,7 @@ from talkloom.llm.decontaminate import contamination
 from talkloom.llm.language import fit, held_out, identify
 from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.packing import pack
+from talkloom.llm.permutation import nearest_neighbours
 from talkloom.llm.substrings import remove_repeats
 from talkloom.llm.tables import documents
 from talkloom.llm.token_file import read_token_file, write_token_file
@@ -25,6 +26,10 @@ def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("row_key")
 
@@ -58,6 +63,7 @@ def op10_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_elias_fano_tokens": (op1_elias_fano_tokens, None),
+    "op2_permutation_index": (op2_permutation_index, None),
     "op3_circulant_minhash": (op3_circulant_minhash, sql.NEAR_DUPLICATES),
     "op5_suffix_array_decontamination": (op5_suffix_array_decontamination, sql.DECONTAMINATION),
     "op8_difference_cover_dedup": (op8_difference_cover_dedup, sql.SUBSTRINGS),
