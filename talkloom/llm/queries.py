@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import sql
 from talkloom.llm.decontaminate import contamination
+from talkloom.llm.hilbert import hilbert_shards
 from talkloom.llm.language import fit, held_out, identify
 from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.packing import pack
 from talkloom.llm.permutation import nearest_neighbours
+from talkloom.llm.private import KINDS, personal_data, written
 from talkloom.llm.substrings import remove_repeats
 from talkloom.llm.tables import documents
 from talkloom.llm.token_file import read_token_file, write_token_file
 from talkloom.llm.tokens import default_tokenizer
 from talkloom.runtime import scratch_path
 
+SHARDS = 40
+
 
 def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-file")
@@ -43,6 +47,27 @@ def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = (F.octet_length(data) + 16).cast("bigint").alias("size")
+    docs = documents(spark, sf_dir).select("doc_id", size, F.crc32(data).alias("text_crc32"), "lang", "source")
+    sharded = hilbert_shards(docs, ["lang", "source", "size"], ["doc_id", "text_crc32"], SHARDS)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir))
+    base = {k: F.col(f"base_{k}") for k in KINDS}
+    return found.select(
+        "doc_id", *(F.size(spans).cast("bigint").alias(f"n_{k}") for k, spans in base.items()),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written({k: F.concat(spans, F.col(f"added_{k}")) for k, spans in base.items()}).alias("spans"),
+    )
+
+
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -66,6 +91,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_permutation_index": (op2_permutation_index, None),
     "op3_circulant_minhash": (op3_circulant_minhash, sql.NEAR_DUPLICATES),
     "op5_suffix_array_decontamination": (op5_suffix_array_decontamination, sql.DECONTAMINATION),
+    "op6_hilbert_shards": (op6_hilbert_shards, None),
+    "op7_weak_supervision_pii": (op7_weak_supervision_pii, None),
     "op8_difference_cover_dedup": (op8_difference_cover_dedup, sql.SUBSTRINGS),
     "op9_squares_packing": (op9_squares_packing, None),
     "op10_nearest_centroid_language": (op10_nearest_centroid_language, None),
