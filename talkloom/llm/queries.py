@@ -11,6 +11,7 @@ from talkloom.llm import sql
 from talkloom.llm.decontaminate import contamination
 from talkloom.llm.hilbert import hilbert_shards
 from talkloom.llm.language import fit, held_out, identify
+from talkloom.llm.lines import remove_lines
 from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.packing import pack
 from talkloom.llm.permutation import nearest_neighbours
@@ -38,6 +39,11 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("row_key")
 
 
+def op4_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_lines(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -90,6 +96,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_elias_fano_tokens": (op1_elias_fano_tokens, None),
     "op2_permutation_index": (op2_permutation_index, None),
     "op3_circulant_minhash": (op3_circulant_minhash, sql.NEAR_DUPLICATES),
+    "op4_deletion_neighbourhood_lines": (op4_deletion_neighbourhood_lines, sql.LINES),
     "op5_suffix_array_decontamination": (op5_suffix_array_decontamination, sql.DECONTAMINATION),
     "op6_hilbert_shards": (op6_hilbert_shards, None),
     "op7_weak_supervision_pii": (op7_weak_supervision_pii, None),

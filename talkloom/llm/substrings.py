@@ -5,9 +5,7 @@ modulo PERIOD is in COVER. The differences of COVER give every remainder, so two
 an equal anchor at the same distance from their beginnings. Anchors that occur twice are found first; only windows around
 them are then compared in full, and each word in a window that also begins earlier is removed.
 
-Documents are written once in blocks. A block's different hashes go to the buckets of the hash space as packed arrays, and
-a bit per hash comes back: a window costs eight bytes in the shuffle, and a passage that a third of all documents share
-costs one entry per block.
+Hashes are compared by `exchange`, so that no window is a row.
 """
 
 from __future__ import annotations
@@ -15,46 +13,27 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from talkloom.llm.tables import keyed, map_rows
-from talkloom.llm.words import SPACED, chunks, windows, words
-from talkloom.runtime import cut, lookup_join
+from talkloom.llm.exchange import bits, blocks_of, exchange, n_buckets_for, not_first, order_of, slices, twice
+from talkloom.llm.tables import map_rows
+from talkloom.llm.words import SPACED, windows, words
+from talkloom.runtime import lookup_join
 
 SPAN = 20
 # A perfect difference set: each remainder but 0 is the difference of one pair.
 PERIOD, COVER = 13, (0, 1, 3, 9)
+# Bytes of a usual word, for the number of buckets only.
+WORD_BYTES = 6
 ANCHOR = SPAN - PERIOD + 1  # words; a window holds an anchor at every one of PERIOD distances
 
-BLOCK_BYTES = 1 << 20
-# Bytes of hashes in a bucket.
-BUCKET_BYTES = 8 << 20
-
-_BLOCKS = "block bigint, doc_ids array<bigint>, row_keys array<bigint>, texts array<binary>, n_words bigint"
-_FIRST = np.iinfo(np.int64).min  # a null doc_id comes before all others
-
-
-def _blocks(docs: DataFrame) -> DataFrame:
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        number = TaskContext.get().partitionId() << 33
-        for held in chunks(rows, text=1, limit=BLOCK_BYTES):
-            held.sort(key=lambda r: _FIRST if r[0] is None else r[0])
-            n_words = len(words([r[1] for r in held], SPACED).hashes)
-            yield number, [r[0] for r in held], [r[2] for r in held], [r[1] for r in held], n_words
-            number += 1
-
-    return map_rows(docs, run, _BLOCKS)
-
 
 class _Block:
     """Windows of a block's documents, which are in the order of their ids."""
 
     def __init__(self, row: tuple):
         self.doc_ids, self.row_keys, self.texts = row[1], row[2], row[3]
-        self.order = np.array([_FIRST if d is None else d for d in self.doc_ids], np.int64)
+        self.order = order_of(self.doc_ids)
         self.words = words(self.texts, SPACED)
         n, bounds = len(self.words.hashes), self.words.bounds
         self.text = np.repeat(np.arange(len(self.texts)), np.diff(bounds))
@@ -87,61 +66,6 @@ class _Block:
         return np.cumsum(steps[:-1]) > 0
 
 
-def _slices(values: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
-    """Buckets of sorted hashes: equal parts of the hash space. Those without hashes are left out."""
-    bucket = ((values >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True):
-        if low < high:
-            yield int(bucket[low]), slice(low, high)
-
-
-def _bits(found: list[dict] | None, values: np.ndarray, n_buckets: int) -> np.ndarray:
-    """One bit per hash of a block, from what the buckets sent back."""
-    mask = np.zeros(len(values), bool)
-    sent = {x["bucket"]: x["bits"] for x in found or []}
-    for bucket, part in _slices(values, n_buckets):
-        if bucket in sent:
-            mask[part] = np.unpackbits(np.frombuffer(sent[bucket], np.uint8))[: part.stop - part.start]
-    return mask
-
-
-def _twice(group: pd.DataFrame) -> Iterator[tuple]:
-    """Hashes that more than one block sent."""
-    values = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-    _, index, counts = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    return _returned(group, counts[index] > 1, [len(v) for v in values])
-
-
-def _not_first(group: pd.DataFrame) -> Iterator[tuple]:
-    """Hashes that another block sent with a smaller document, or an equal one in an earlier block."""
-    values = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-    sizes = [len(v) for v in values]
-    hashes, block = np.concatenate(values), np.repeat(group["block"].to_numpy(), sizes)
-    doc = np.concatenate([np.frombuffer(d, np.int64) for d in group["docs"]])
-    order = np.lexsort((block, doc, hashes))
-    later = np.zeros(len(hashes), bool)
-    later[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-    return _returned(group, later, sizes)
-
-
-def _returned(group: pd.DataFrame, mask: np.ndarray, sizes: list[int]) -> Iterator[tuple]:
-    ends = np.cumsum(sizes)
-    for bucket, block, end, size in zip(group["bucket"], group["block"], ends, sizes, strict=True):
-        if (own := mask[end - size : end]).any():
-            yield bucket, block, np.packbits(own).tobytes()
-
-
-def _exchange(sent: DataFrame, judge, label: str) -> DataFrame:
-    """Bits of each block, by bucket, as one list."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(judge(group)), columns=["bucket", "block", "bits"])
-
-    judged = sent.groupBy("bucket").applyInPandas(run, "bucket int, block bigint, bits binary")
-    return cut(judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(label)), label)
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove each word of a window that begins earlier too; one row per document.
 
@@ -154,38 +78,36 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     doc_id, also repeated ones, count as following each other in the order in which they were read. A document shorter
     than a window loses nothing. An empty table gives no rows. Other columns are not read.
     """
-    blocks = cut(_blocks(keyed(docs, doc_id, text)), "substring-blocks")
-    n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(shuffled, 8 * n_words * len(COVER) // PERIOD // BUCKET_BYTES + 1)
-    blocks = blocks.drop("n_words")
+    blocks = blocks_of(docs, doc_id, text)
+    n_buckets = n_buckets_for(blocks, len(COVER) / PERIOD / WORD_BYTES)
+    blocks = blocks.drop("n_bytes")
 
     def send_anchors(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
             block = _Block(row)
-            for bucket, part in _slices(block.anchor_values, n_buckets):
+            for bucket, part in slices(block.anchor_values, n_buckets):
                 yield bucket, row[0], block.anchor_values[part].tobytes()
 
     anchors = map_rows(blocks, send_anchors, "bucket int, block bigint, hashes binary")
-    repeated = _exchange(anchors, _twice, "repeated")
+    repeated = exchange(anchors, twice, "repeated")
 
     def send_windows(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
             block = _Block(row)
-            block.extend(_bits(row[4], block.anchor_values, n_buckets))
+            block.extend(bits(row[4], block.anchor_values, n_buckets))
             docs_of = block.order[block.text[block.starts[block.first]]]
-            for bucket, part in _slices(block.values, n_buckets):
+            for bucket, part in slices(block.values, n_buckets):
                 yield bucket, row[0], block.values[part].tobytes(), docs_of[part].tobytes()
 
     marked = lookup_join(blocks, repeated, "block", "left", hot=False)
     sent = map_rows(marked, send_windows, "bucket int, block bigint, hashes binary, docs binary")
-    earlier = _exchange(sent, _not_first, "earlier")
+    earlier = exchange(sent, not_first, "earlier")
 
     def finish(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
             block = _Block(row)
-            block.extend(_bits(row[4], block.anchor_values, n_buckets))
-            removed = block.removed(_bits(row[5], block.values, n_buckets))
+            block.extend(bits(row[4], block.anchor_values, n_buckets))
+            removed = block.removed(bits(row[5], block.values, n_buckets))
             found = block.words
             for t, (key, row_key) in enumerate(zip(block.doc_ids, block.row_keys, strict=True)):
                 own, gone = found.of(t), removed[found.of(t)]
