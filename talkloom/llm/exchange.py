@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from talkloom.llm.tables import keyed, map_rows
+from talkloom.llm.tables import map_rows, row_key
 from talkloom.llm.words import chunks
 from talkloom.runtime import cut
 
@@ -25,21 +26,28 @@ BUCKET_BYTES = 8 << 20
 # Order of a null doc_id: before all others.
 FIRST = np.iinfo(np.int64).min
 
-_BLOCKS = "block bigint, doc_ids array<bigint>, row_keys array<bigint>, texts array<binary>, n_bytes bigint"
-
 
 def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The documents in blocks, each sorted by doc_id."""
+    """The documents in blocks, each sorted by doc_id: block, doc_ids, row_keys, texts, n_bytes, and rest, structs of the
+    other columns of `docs` (null if there are none)."""
+    others = [docs[c] for c in docs.columns if c not in (doc_id, text)]
+    rest = (F.struct(*others) if others else F.lit(None).cast("boolean")).alias("rest")
+    wide = docs.select(
+        docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("binary").alias("text"),
+        row_key(docs, doc_id, text).alias("row_key"), rest,
+    )
+    schema = StructType.fromDDL("block bigint, doc_ids array<bigint>, row_keys array<bigint>, texts array<binary>")
+    schema = schema.add("n_bytes", LongType()).add("rest", ArrayType(wide.schema["rest"].dataType))
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         number = TaskContext.get().partitionId() << 33
         for held in chunks(rows, text=1, limit=BLOCK_BYTES):
             held.sort(key=lambda r: FIRST if r[0] is None else r[0])
-            n_bytes = sum(len(r[1] or b"") for r in held)
-            yield number, [r[0] for r in held], [r[2] for r in held], [r[1] for r in held], n_bytes
+            keys, texts, row_keys, others = map(list, zip(*held, strict=True))
+            yield number, keys, row_keys, texts, sum(len(t or b"") for t in texts), others
             number += 1
 
-    return cut(map_rows(keyed(docs, doc_id, text), run, _BLOCKS), "blocks")
+    return cut(map_rows(wide, run, schema), "blocks")
 
 
 def n_buckets_for(blocks: DataFrame, hashes_per_byte: float) -> int:

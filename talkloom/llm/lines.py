@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from talkloom.llm.exchange import bits, blocks_of, exchange, n_buckets_for, not_first, order_of, slices, twice
 from talkloom.llm.tables import map_rows
@@ -112,15 +113,15 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept and compared with nothing.
 
     Columns: doc_id, row_key (hash of doc_id and text), n_lines, n_compared (lines that are long enough), n_removed, kept
-    (the other lines, joined by line feeds).
+    (the other lines, joined by line feeds), rest (the other columns of `docs` as a struct; null if there are none).
 
     A null or empty text has no lines and keeps the empty text. A null doc_id is smaller than all others; rows that share a
     doc_id, also repeated ones, count as following each other in the order in which they were read. An empty table gives
-    no rows. Other columns are not read.
+    no rows.
     """
     blocks = blocks_of(docs, doc_id, text)
     n_buckets = n_buckets_for(blocks, 2 * PARTS / LINE_CHARS)
-    blocks = blocks.drop("n_bytes")
+    read = ["block", "doc_ids", "row_keys", "texts"]
 
     def send_lines(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
@@ -129,7 +130,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for bucket, part in slices(held.values, n_buckets):
                 yield bucket, row[0], held.values[part].tobytes(), docs_of[part].tobytes()
 
-    sent = map_rows(blocks, send_lines, "bucket int, block bigint, hashes binary, docs binary")
+    sent = map_rows(blocks.select(read), send_lines, "bucket int, block bigint, hashes binary, docs binary")
     marked = lookup_join(blocks, exchange(sent, not_first, "copies"), "block", "left", hot=False)
 
     def send_keys(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -139,7 +140,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for bucket, part in slices(keys, n_buckets):
                 yield bucket, row[0], keys[part].tobytes()
 
-    sent = map_rows(marked, send_keys, "bucket int, block bigint, hashes binary")
+    sent = map_rows(marked.select(*read, "copies"), send_keys, "bucket int, block bigint, hashes binary")
     marked = lookup_join(marked, exchange(sent, twice, "close"), "block", "left", hot=False)
 
     def send_close(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -148,7 +149,10 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for line in _close_lines(held, row[4], row[5], n_buckets).tolist():
                 yield int(held.docs[line]), row[0], line, held.flat[line]
 
-    close = cut(map_rows(marked, send_close, "doc bigint, block bigint, line int, string string"), "close-lines")
+    close = map_rows(
+        marked.select(*read, "copies", "close"), send_close, "doc bigint, block bigint, line int, string string"
+    )
+    close = cut(close, "close-lines")
     near = _near(close).groupBy("block").agg(F.collect_list("line").alias("near"))
     marked = lookup_join(marked.drop("close"), cut(near, "near-lines"), "block", "left", hot=False)
 
@@ -159,16 +163,16 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             gone[row[5] or []] = True
             compared = held.sizes >= LEAST_CHARS
             at = 0
-            for key, row_key, lines in zip(held.doc_ids, held.row_keys, held.lines, strict=True):
+            for key, row_key, lines, rest in zip(held.doc_ids, held.row_keys, held.lines, row[6], strict=True):
                 own = slice(at, at + len(lines))
                 kept = "\n".join(line for line, out in zip(lines, gone[own].tolist(), strict=True) if not out)
-                yield key, row_key, len(lines), int(compared[own].sum()), int(gone[own].sum()), kept
+                yield key, row_key, len(lines), int(compared[own].sum()), int(gone[own].sum()), kept, rest
                 at = own.stop
 
-    return map_rows(
-        marked, finish,
-        "doc_id bigint, row_key bigint, n_lines bigint, n_compared bigint, n_removed bigint, kept string",
-    )
+    schema = StructType.fromDDL(
+        "doc_id bigint, row_key bigint, n_lines bigint, n_compared bigint, n_removed bigint, kept string"
+    ).add("rest", blocks.schema["rest"].dataType.elementType)
+    return map_rows(marked.select(*read, "copies", "near", "rest"), finish, schema)
 
 
 def _near(close: DataFrame) -> DataFrame:

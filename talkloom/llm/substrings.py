@@ -78,9 +78,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     doc_id, also repeated ones, count as following each other in the order in which they were read. A document shorter
     than a window loses nothing. An empty table gives no rows. Other columns are not read.
     """
-    blocks = blocks_of(docs, doc_id, text)
+    blocks = blocks_of(docs.select(doc_id, text), doc_id, text)
     n_buckets = n_buckets_for(blocks, len(COVER) / PERIOD / WORD_BYTES)
-    blocks = blocks.drop("n_bytes")
+    blocks = blocks.drop("n_bytes", "rest")
 
     def send_anchors(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:

@@ -7,6 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from talkloom.runtime import cut, lookup_join
 
 # Rows become Python values in parts of this many bytes or rows, so that a batch of long texts stays small.
 PART_BYTES, PART_ROWS = 4 << 20, 256
@@ -49,17 +53,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+def map_rows(
+    df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | StructType
+) -> DataFrame:
     """`function` on each partition's rows, as tuples; `schema` names its results."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_of(function(rows_of(batches)), arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,3 +77,10 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(docs[doc_id].cast("bigint"), docs[text].cast("binary"))
+
+
+def without(docs: DataFrame, found: DataFrame, gone: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without the rows whose row_key has `gone` true in `found`. All columns stay."""
+    keys = cut(found.where(gone).select(F.col("row_key").alias("_llm_row_key")).distinct(), "gone")
+    marked = docs.withColumn("_llm_row_key", row_key(docs, doc_id, text))
+    return lookup_join(marked, keys, "_llm_row_key", "left_anti", hot=False).select(*docs.columns)
