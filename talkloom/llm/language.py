@@ -191,7 +191,7 @@ def fit(
         parts = [weighed(part[part.any(axis=1)], idf) for part in parts]
         vectors = np.concatenate(parts)
         if not len(vectors):
-            return pd.DataFrame({"lang": [], "vector": [], "least": []})
+            return pd.DataFrame(columns=["lang", "vector", "least"], dtype=object)
         found = cluster(vectors, centroids)
         least = SLACK * float(np.quantile((vectors @ found.T).max(axis=1), RARE))
         return pd.DataFrame(

@@ -14,6 +14,8 @@ from talkloom.runtime import cut, lookup_join
 
 # Rows become Python values in parts of this many bytes or rows, so that a batch of long texts stays small.
 PART_BYTES, PART_ROWS = 4 << 20, 256
+# Spark sends batches of so many bytes to Python.
+BATCH_BYTES, _BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 # Rows made in Python return in batches of this many bytes or rows.
 OUT_BYTES, OUT_ROWS = 4 << 20, 8192
 
@@ -56,7 +58,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def map_rows(
     df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | StructType
 ) -> DataFrame:
-    """`function` on each partition's rows, as tuples; `schema` names its results."""
+    """`function` on each partition's rows, as tuples; `schema` names its results.
+
+    Where Spark limits the bytes of a batch, the session's limit of 64 MB is set to BATCH_BYTES.
+    """
+    if df.sparkSession.conf.get(_BATCH_KEY, None) == "67108864b":
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
