@@ -1,15 +1,18 @@
 """Line dedup over deletion neighbourhoods: lines that equal an earlier one, or are one edit away from it, go.
 
 Copies are found first, by the lines' hashes. For the first lines of their kind a coarse neighbourhood is compared: the
-line without one of its PARTS parts, for the line's own length and for one character less. Lines that share such a key
-are the only ones that can be one edit apart, and only these emit their full neighbourhood, all strings with one character
-deleted. Two of them are one edit apart if they lack the same place and are equal without it, or if one is the other
-without a character; so each is compared with the earliest of its key, not with all.
+line without one of its PARTS parts, for the line's own length and for one character less. Only lines that share such a key
+can be one edit apart; of these, the same is asked for FINE parts. A line then emits its neighbourhood, the strings with one
+character deleted, for the places in the parts without which it equals another line. Two lines are one edit apart if they
+lack the same place and are equal without it, or if one is the other without a character; so each is compared with the
+earliest of its key, not with all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,7 +26,7 @@ from talkloom.runtime import cut, lookup_join
 
 # Shorter lines are kept and compared with nothing.
 LEAST_CHARS = 16
-PARTS = 4
+PARTS, FINE = 4, 32
 # Characters of a usual line, for the number of buckets only.
 LINE_CHARS = 100
 
@@ -31,6 +34,12 @@ LINE_CHARS = 100
 _SAME, _LONGER, _SHORTER = 0, 1, 2
 
 
+@lru_cache(maxsize=1)
+def _characters() -> np.ndarray:
+    """A random number for each code point."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 class _Lines:
     """Lines of a block's documents, in the order of doc_id and place, as running sums over code points."""
 
@@ -40,9 +49,9 @@ class _Lines:
         self.text = np.repeat(np.arange(len(self.lines)), [len(x) for x in self.lines])
         self.flat = [line for lines in self.lines for line in lines]
         self.sizes = np.array([len(line) for line in self.flat], np.int64)
-        points = np.frombuffer("".join(self.flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points = np.frombuffer("".join(self.flat).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mix(points + np.uint64(1)) * _power(_BASE, len(points)), out=self.sums[1:])
+        np.cumsum(_characters()[points] * _power(_BASE, len(points)), out=self.sums[1:])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.compared = np.flatnonzero(self.sizes >= LEAST_CHARS)
@@ -67,33 +76,41 @@ class _Lines:
         mask[self.firsts(later)] = False
         return mask
 
-    def coarse(self, lines: np.ndarray) -> np.ndarray:
+    def coarse(self, lines: np.ndarray, parts: int = PARTS) -> np.ndarray:
         """Keys of each line, a row per line: for its own length and for one less, without each part. A line of one
         character more lacks that character in one part, which is then longer."""
         columns = []
         size, start, end = self.sizes[lines], self.starts[lines], self.ends[lines]
         for shorter in (0, 1):
             n = size - shorter
-            for part in range(PARTS):
-                low, high = part * n // PARTS, (part + 1) * n // PARTS
+            for part in range(parts):
+                low, high = part * n // parts, (part + 1) * n // parts
                 before, behind = self._hash(start, start + low), self._hash(start + high + shorter, end)
                 key = mix(before + n.astype(np.uint64)) * np.uint64(3) + mix(behind + np.uint64(part))
                 columns.append(mix(key))
         return np.stack(columns, axis=1)
 
-    def neighbourhood(self, line: int) -> Iterator[tuple[int, int]]:
-        """Keys and roles of a line: itself as the shorter one, and each string without one character."""
+    def neighbourhood(self, line: int, columns: list[int], parts: int) -> Iterator[tuple[int, int]]:
+        """Keys and roles of a line: itself as the shorter one, and the strings without one character of the parts whose
+        `columns` of `coarse` it shares."""
         start, end, n = self.starts[line], self.ends[line], int(self.sizes[line])
-        at = np.arange(start, end)
-        whole = self._hash(np.array([start]), np.array([end]))
-        without = self._hash(np.full(n, start), at) + (
-            self._hash(at + 1, np.full(n, end)) * _power(_BASE, n + 1)[at - start]
-        )
-        yield int(mix(whole + np.uint64(n)).view(np.int64)[0]), _SHORTER
-        longer = np.unique(mix(without + np.uint64(n - 1))).view(np.int64)
-        yield from ((key, _LONGER) for key in longer.tolist())
-        same = mix(mix(without + np.uint64(n)) + (at - start).astype(np.uint64)).view(np.int64)
-        yield from ((key, _SAME) for key in same.tolist())
+        for shorter in (0, 1):
+            ranges = [
+                np.arange(c % parts * (n - shorter) // parts, (c % parts + 1) * (n - shorter) // parts + shorter)
+                for c in columns if c // parts == shorter
+            ]
+            if not ranges:
+                continue
+            at = start + np.unique(np.concatenate(ranges))
+            behind = self._hash(at + 1, np.full(len(at), end)) * _power(_BASE, n + 1)[at - start]
+            rest = self._hash(np.full(len(at), start), at) + behind
+            if shorter:
+                keys, role = np.unique(mix(rest + np.uint64(n - 1))), _LONGER
+            else:
+                whole = self._hash(np.array([start]), np.array([end]))
+                yield int(mix(whole + np.uint64(n)).view(np.int64)[0]), _SHORTER
+                keys, role = mix(mix(rest + np.uint64(n)) + (at - start).astype(np.uint64)), _SAME
+            yield from ((key, role) for key in keys.view(np.int64).tolist())
 
 
 def _close_lines(held: _Lines, copy_bits, close_bits, n_buckets: int) -> np.ndarray:
@@ -178,12 +195,27 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def _near(close: DataFrame) -> DataFrame:
     """block and line of the lines with an earlier one an edit away; the lines differ from each other."""
 
-    def expand(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for doc, block, line, string in rows:
-            held = _Lines((block, [doc], [0], [string.encode()]))
-            yield from ((key, role, doc, block, line) for key, role in held.neighbourhood(0))
+    def held_of(strings: Iterable[str]) -> _Lines:
+        return _Lines((0, [None], [0], ["\n".join(strings).encode()]))
+
+    def fine(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for some in batched(rows, 256):
+            keys = held_of(r[2] for r in some).coarse(np.arange(len(some)), FINE).view(np.int64).tolist()
+            for (block, line, _), own in zip(some, keys, strict=True):
+                yield from ((key, column, block, line) for column, key in enumerate(own))
 
-    keys = map_rows(close, expand, "key bigint, role int, doc bigint, block bigint, line int")
+    def expand(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for some in batched(rows, 256):
+            held = held_of(r[3] for r in some)
+            for n, (doc, block, line, _, columns) in enumerate(some):
+                yield from ((key, role, doc, block, line) for key, role in held.neighbourhood(n, columns, FINE))
+
+    parts = map_rows(close.select("block", "line", "string"), fine, "key bigint, part int, block bigint, line int")
+    parts = cut(parts, "line-parts")
+    shared = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = parts.join(shared, "key").groupBy("block", "line").agg(F.collect_set("part").alias("parts"))
+    narrow = close.join(shared, ["block", "line"]).select("doc", "block", "line", "string", "parts")
+    keys = map_rows(narrow, expand, "key bigint, role int, doc bigint, block bigint, line int")
     place = F.struct("doc", "block", "line")
     least = [F.min(F.when(F.col("role") == role, place)).alias(f"least{role}") for role in (_SAME, _LONGER, _SHORTER)]
     keys = cut(keys, "line-keys")
