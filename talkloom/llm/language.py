@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.tables import keyed, map_rows
-from talkloom.runtime import cut
+from talkloom.runtime import cut, lookup_join
 
 # n-grams of one to GRAM letters; a run of other characters counts as one blank.
 GRAM = 3
 # Vector components that the n-grams are hashed to.
 DIMENSIONS = 1 << 14
-# Centroids of a language, and labelled texts they are fitted on: those with the smallest hashes.
+# Centroids of a language, and labelled texts they are fitted on, at most: those with the
+# smallest hashes.
 CENTROIDS, SAMPLE = 4, 1000
 # Clustering steps; each moves the centroids to the means of their texts.
 STEPS = 8
@@ -176,15 +177,12 @@ def fit(
     frequency[list(counts)] = list(counts.values())
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
-    # The largest hash that a language's sample takes; only hashes are ranked.
-    order = Window.partitionBy("lang").orderBy("hash")
-    hashes = known.select("lang", F.xxhash64("text").alias("hash"))
-    ranked = hashes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
-    limits = cut(ranked.groupBy("lang").agg(F.max("hash").alias("limit")), "language-limits")
-    chosen = known.join(F.broadcast(limits), "lang").where(F.xxhash64("text") <= F.col("limit"))  # a row per language
-    # Copies share a hash; the same cut once more keeps the sample bounded.
+    # Hashes are spread evenly: twice the sample is expected below a language's limit, and cut to the sample exactly.
+    share = F.least(F.lit(1.0), 2.0 * sample / F.col("n"))
+    limits = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (2.0**64 * share - 2.0**63).alias("limit"))
+    below = lookup_join(known, cut(limits, "language-limits"), "lang").where(F.xxhash64("text") <= F.col("limit"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    chosen = below.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
 
     def centre(group: pd.DataFrame) -> pd.DataFrame:
         parts = [gram_counts([r[0] for r in held], dimensions) for held in _grouped(zip(group["text"]), 0)]
