@@ -66,9 +66,11 @@ def scan_raw_english(spark, sf):
 
 
 def scan_single_file(spark, sf):
-    path = scratch_path(spark, "raw-one")
-    nested(spark, sf).coalesce(1).write.parquet(path)
-    one = [f for f in spark.read.parquet(path).inputFiles()][0]
+    """One of several files: each state's conversations are written to a file of their own."""
+    path = scratch_path(spark, "raw-by-state")
+    raw = nested(spark, sf).withColumn("part", F.col("state"))
+    raw.repartition("part").write.partitionBy("part").parquet(path)
+    one = spark.read.parquet(path).where("part = 'State 1'").inputFiles()[0]
     return _raw_counts(sources.scan_raw(spark, one))
 
 
@@ -176,7 +178,9 @@ def _m(select: str) -> str:
 
 QUERIES = {
     "scan_raw_english": (scan_raw_english, RAW_SQL),
-    "scan_single_file": (scan_single_file, RAW_SQL),
+    "scan_single_file": (
+        scan_single_file, RAW_SQL.replace("FROM messages", "FROM messages WHERE state = 'State 1'")
+    ),
     "schema_struct_fields": (
         schema_struct_fields,
         _m("""SELECT unnest(['content', 'country', 'hashed_ip', 'header', 'language', 'redacted', 'role', 'state',

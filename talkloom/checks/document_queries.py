@@ -22,7 +22,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark, sf) -> DataFrame:
-    return sources.spread(documents(spark, sf).select("doc_id", "text"))
+    return documents(spark, sf).select("doc_id", "text")
 
 
 def tokenised(spark, sf) -> DataFrame:
@@ -206,10 +206,10 @@ QUERIES = {
         "SELECT doc_id, text FROM documents",
     ),
     "scan_limited": (
-        lambda s, d: sources.scan_columns(s, f"{d}/documents.parquet", ["doc_id"], limit=50_000).agg(
-            F.count("*").alias("n")
+        lambda s, d: sources.scan_columns(s, f"{d}/documents.parquet", ["doc_id", "text"], limit=None).select(
+            "doc_id", F.char_length("text").cast("bigint").alias("n_chars")
         ),
-        "SELECT least(count(*), 50000) AS n FROM documents",
+        "SELECT doc_id, length(text) AS n_chars FROM documents",
     ),
     "parquet_param_sql": (
         lambda s, d: sources.query_file(

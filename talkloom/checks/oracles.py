@@ -17,7 +17,7 @@ MESSAGES = rf"""
 base AS (
   SELECT conv_id, role, text,
          CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) - 1 AS pos
-  FROM conversations WHERE role <> 'system'),
+  FROM conversations),
 cnt AS (
   SELECT conv_id, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS turn,
          max(CASE WHEN {NON_ASCII.format('text')} THEN 1 ELSE 0 END) AS na

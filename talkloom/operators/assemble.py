@@ -103,15 +103,15 @@ def _assemble_in_row(raw: DataFrame) -> DataFrame:
     )
 
 
-def prepare_conversations(raw: DataFrame, null_ids: str = "group") -> DataFrame:
+def prepare_conversations(raw: DataFrame, null_ids: str = "separate") -> DataFrame:
     """Raw conversations to cleaned, assembled conversations without moving text between executors.
 
     All messages of a conversation already lie in one raw row, so they are cleaned and joined there. Only rows
     whose id is null or repeated need grouping: they are found from 8-byte hashes of the id columns (ids that share
     a hash by chance are grouped too, which changes nothing) and take the message route.
 
-    Equal to `assemble_conversations(clean_messages(flatten_messages(raw)))`, where all conversations of unknown
-    users make one row; with `null_ids="separate"` each keeps a row of its own, which is the choice if they are many.
+    A conversation of an unknown user keeps a row of its own. With `null_ids="group"` they make one row, and the result
+    equals `assemble_conversations(clean_messages(flatten_messages(raw)))`; that group is as large as they are many.
     """
     if null_ids not in ("group", "separate"):
         raise ValueError("null_ids must be 'group' or 'separate'")

@@ -36,8 +36,10 @@ def embed_with_model(
 
 
 def embed_by_projection(df: DataFrame, text: str, key: str, dim: int = 384, seed: int = 42) -> DataFrame:
-    """Vectors without a model file: TF-IDF of the raw words, projected on random signs, unit length. Texts without
-    words are left out."""
-    weights = tfidf_raw_text(df.na.drop(subset=[text]), text, key).weights
-    projected = random_projection(weights, dim, seed, unit=True)
-    return projected.select(F.col("doc_id").alias(key), F.col("vec").cast("array<float>").alias("vec"))
+    """Vectors without a model file: TF-IDF of the raw words, projected on random signs, unit length. A text without
+    words has the zero vector."""
+    rows = df.na.drop(subset=[text])
+    projected = random_projection(tfidf_raw_text(rows, text, key).weights, dim, seed, unit=True)
+    projected = projected.select(F.col("doc_id").alias(key), F.col("vec").cast("array<float>").alias("vec"))
+    zero = F.array_repeat(F.lit(0.0), dim).cast("array<float>")
+    return rows.select(key).join(projected, key, "left").withColumn("vec", F.coalesce("vec", zero))

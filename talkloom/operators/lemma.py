@@ -55,28 +55,22 @@ def lemma_dict_and_vocab(
 def lemmatize_tokens(df: DataFrame, token_columns: str | list[str], lemmas: DataFrame, key: str) -> DataFrame:
     """Replace tokens by their lemma; tokens that are not listed stay, order and repetitions too.
 
-    Rows are spread by key before tokens are exploded, so putting them together again needs no second shuffle
-    when the lemmas are broadcast; only changed tokens are looked up. A row's list is the largest group.
+    Lists are taken apart and rebuilt under a number that each row gets, so `key` may be null or repeated; only lists
+    that hold a changed token travel, and other columns join them by that number. A row's list is the largest group.
     """
     columns = _names(token_columns)
-    changes = lemmas.where(F.col("lemma") != F.col("token")).select("token", "lemma")
-    result = df
+    changes = cut(lemmas.where(F.col("lemma") != F.col("token")).select("token", "lemma"), "lemma-changes")
+    result = cut(df.withColumn("_row", F.monotonically_increasing_id()), "lemma-rows")
+    rows = result.select("_row", *columns)
     for column in columns:
-        exploded = (
-            df.select(key, column).repartition(key).select(key, F.posexplode(column).alias("_pos", "token"))
-        )
-        replaced = lookup_join(exploded, changes, "token", "left").select(
-            key, F.struct("_pos", F.coalesce("lemma", "token").alias("token")).alias("_item")
-        )
-        lists = replaced.groupBy(key).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        rebuilt = lists.select(key, F.transform("_items", lambda i: i["token"]).alias("_tokens"))
-        empty = F.when(F.col(column).isNotNull(), F.array().cast("array<string>"))
-        result = (
-            result.join(rebuilt, key, "left")
-            .withColumn(column, F.coalesce("_tokens", empty))
-            .drop("_tokens")
-        )
-    return result
+        exploded = rows.select("_row", F.posexplode(column).alias("_pos", "token"))
+        replaced = lookup_join(exploded, changes, "token", "left")
+        items = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("token"))))
+        lists = replaced.groupBy("_row").agg(items.alias("_items"), F.count("lemma").alias("_changed"))
+        rebuilt = lists.where("_changed > 0").select("_row", F.transform("_items", lambda i: i["token"]).alias("_tokens"))
+        joined = lookup_join(result, cut(rebuilt, "lemma-lists"), "_row", "left", hot=False)
+        result = joined.withColumn(column, F.coalesce("_tokens", column)).drop("_tokens")
+    return result.drop("_row").select(*df.columns)
 
 
 def process_message_tokens(

@@ -9,9 +9,9 @@ from talkloom.functions.vectors import unit
 from talkloom.runtime import cut, lookup_join, top_n_per_group
 
 NOISE = -1
-# Guard against division by zero, and the most panels a grid of clusters shows.
+# Guard against division by zero, and the panels a grid of clusters usually shows.
 EPSILON = 1e-10
-MAX_PANELS = 20
+PANELS = 20
 
 
 def n_clusters(labels: DataFrame) -> int:
@@ -57,10 +57,8 @@ def noise_summary(labels: DataFrame) -> DataFrame:
     )
 
 
-def top_clusters_by_size(labels: DataFrame, n: int = MAX_PANELS, hide_noise: bool = True) -> DataFrame:
+def top_clusters_by_size(labels: DataFrame, n: int = PANELS, hide_noise: bool = True) -> DataFrame:
     """The largest clusters `(cluster, n)`, ties by number."""
-    if n > MAX_PANELS:
-        raise ValueError(f"n must be at most {MAX_PANELS}")
     shown = without_noise(labels) if hide_noise else labels
     return shown.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(n)
 

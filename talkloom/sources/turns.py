@@ -15,8 +15,7 @@ def nest_turns(turns: DataFrame) -> DataFrame:
     The grouping holds one conversation, which is also one value of the result. Hashes, users and languages are
     derived from ids and text so that hash collisions, users with several conversations and empty prompts occur.
     """
-    spoken = turns.where(F.col("role") != "system")
-    grouped = spoken.groupBy("conv_id").agg(
+    grouped = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("spoken"),
         F.sum((F.col("role") == "user").cast("bigint")).alias("turn"),
         F.max(F.col("text").rlike(NON_ASCII)).alias("non_ascii"),

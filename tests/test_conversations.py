@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from talkloom.checks import conversation_queries as C
+from talkloom.checks.oracles import MESSAGES
 from talkloom.operators import assemble, flatten, stats
 from talkloom.sources import raw as sources
 from talkloom.sources.turns import nest_turns
@@ -29,16 +31,27 @@ def test_scan_reads_only_used_fields(spark, raw_path):
     assert sources.message_fields(raw) == [f for f in sources.message_fields(spark.read.parquet(raw_path)) if f in sources.MESSAGE_FIELDS]
 
 
-def test_step_counts(spark, raw_path):
+@pytest.fixture(scope="module")
+def counted():
+    """Number of rows of a step, by SQL on the flat turns."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    return lambda select: con.execute(f"WITH {MESSAGES} {select}").fetchone()
+
+
+def test_step_counts(spark, raw_path, counted):
     m = flatten.flatten_messages(sources.scan_raw(spark, raw_path))
-    assert m.count() == 409
-    assert flatten.empty_prompt_turns(m).count() == 9
+    assert m.where("role = 'system'").count() > 0
+    assert m.count() == counted("SELECT count(*) FROM messages")[0]
+    assert flatten.empty_prompt_turns(m).count() == counted("SELECT count(*) FROM empty_turns")[0]
     after = flatten.drop_empty_turns(m)
-    assert after.count() == 392
-    assert flatten.remove_nolang(after).count() == 376
-    assert flatten.clean_messages(m).count() == 349
+    assert after.count() == counted("SELECT count(*) FROM spoken")[0]
+    known = "SELECT count(*) FROM spoken WHERE language_message <> 'Nolang'"
+    assert flatten.remove_nolang(after).count() == counted(known)[0]
+    assert flatten.clean_messages(m).count() == counted("SELECT count(*) FROM cleaned")[0]
     counts = stats.row_counts_by_level(flatten.clean_messages(m)).first()
-    assert (counts["n_users"], counts["n_conversations"], counts["n_messages"]) == (34, 64, 349)
+    wanted = "SELECT count(DISTINCT hashed_ip), count(DISTINCT conversation_id), count(*) FROM cleaned"
+    assert (counts["n_users"], counts["n_conversations"], counts["n_messages"]) == counted(wanted)
 
 
 def test_in_row_route_equals_message_route(spark, raw_path):
@@ -48,14 +61,14 @@ def test_in_row_route_equals_message_route(spark, raw_path):
     more = odd.unionByName(raw.where(F.col("turn") == 2))
     for df in (raw, odd, more, more.repartition(7), more.orderBy(F.desc("turn")).coalesce(1)):
         by_message = assemble.assemble_conversations(flatten.clean_messages(flatten.flatten_messages(df)))
-        assert rows(assemble.prepare_conversations(df)) == rows(by_message)
+        assert rows(assemble.prepare_conversations(df, null_ids="group")) == rows(by_message)
 
 
-def test_conversations_of_unknown_users_can_stay_apart(spark, raw_path):
+def test_conversations_of_unknown_users_stay_apart(spark, raw_path, counted):
     raw = sources.scan_raw(spark, raw_path).withColumn("hashed_ip", F.lit(None).cast("string"))
-    apart = assemble.prepare_conversations(raw, null_ids="separate")
-    assert apart.count() == 64 and apart.where(F.col("conversation_id").isNotNull()).isEmpty()
-    assert assemble.prepare_conversations(raw).count() == 1
+    apart = assemble.prepare_conversations(raw)
+    assert apart.count() == counted("SELECT count(*) FROM assembled")[0] and apart.where(F.col("conversation_id").isNotNull()).isEmpty()
+    assert assemble.prepare_conversations(raw, null_ids="group").count() == 1
     with pytest.raises(ValueError):
         assemble.prepare_conversations(raw, null_ids="drop")
 
@@ -106,7 +119,7 @@ def test_hot_conversation(spark):
     assert out["all_content"].split("\n\n") == [str(i) for i in range(n) if i % 3 > 0]
 
 
-def test_tables_written_and_read(spark, raw_path, tmp_path):
+def test_tables_written_and_read(spark, raw_path, tmp_path, counted):
     from talkloom.plans.prepare import prepare_tables
 
     tables = prepare_tables(spark, f"{raw_path}/*.parquet", str(tmp_path / "out"))
@@ -114,6 +127,8 @@ def test_tables_written_and_read(spark, raw_path, tmp_path):
     assert vocab == sorted(set(vocab))
     used = tables["conversations"].select(F.explode("first_user_content_tokens")).distinct().collect()
     assert {r[0] for r in used} == set(vocab)
-    assert tables["conversations"].count() == tables["conversations_raw"].count() == 64
+    assert tables["conversations_raw"].count() == counted("SELECT count(*) FROM assembled")[0]
+    with_prompt = "SELECT count(*) FROM assembled WHERE first_user_content IS NOT NULL"
+    assert tables["conversations"].count() == counted(with_prompt)[0]
     english = C.english(spark, SF)
     assert rows(tables["conversations_raw"]) == rows(assemble.prepare_conversations(english))

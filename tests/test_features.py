@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkloom import runtime
 from talkloom.functions.lemmas import IRREGULAR, lemmas_in_row
-from talkloom.operators import lemma, sampling, tfidf
+from talkloom.operators import embed, lemma, sampling, tfidf
 from talkloom.sources import raw as sources
 
 DOCS = [(1, ["cats", "dog", "cats"]), (2, ["dog"]), (3, []), (4, ["cat", "stories", "classes", "bus"])]
@@ -160,3 +160,19 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         runtime.scratch_dir(Session())
+
+
+def test_rows_with_null_or_repeated_keys_keep_their_tokens(spark):
+    docs = spark.createDataFrame(
+        [(None, ["cats", "dogs"], 1), (None, ["mice"], 2), (7, ["cats"], 3), (7, ["dogs", "stay"], 4), (8, None, 5), (9, [], 6)],
+        "key bigint, tokens array<string>, n int",
+    )
+    given = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("mice", "mouse")], "token string, lemma string")
+    found = {r["n"]: r["tokens"] for r in lemma.lemmatize_tokens(docs, "tokens", given, "key").collect()}
+    assert found == {1: ["cat", "dog"], 2: ["mouse"], 3: ["cat"], 4: ["dog", "stay"], 5: None, 6: []}
+
+
+def test_texts_without_words_have_the_zero_vector(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, "? !"), (3, None), (4, "")], "doc_id bigint, text string")
+    found = {r["doc_id"]: sum(abs(x) for x in r["vec"]) for r in embed.embed_by_projection(docs, "text", "doc_id", dim=16).collect()}
+    assert sorted(found) == [1, 2, 4] and found[1] > 0 and found[2] == found[4] == 0
