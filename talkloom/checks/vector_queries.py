@@ -119,7 +119,7 @@ def picture(spark, sf):
 
 def hierarchy(spark, sf) -> density.Hierarchy:
     reduced = reduce.truncated_svd(embeddings(spark, sf), 15, KEY, VEC).rows
-    return density.density_hierarchy(cut(reduced, "reduced"), KEY, "vec", min_samples=5, smallest=4)
+    return density.density_hierarchy(cut(reduced, "reduced"), KEY, "vec", min_samples=5)
 
 
 def model_vectors(spark, sf):

@@ -222,7 +222,7 @@ def test_density_clusters_of_blobs_with_noise(spark):
     rng = np.random.default_rng(10)
     x = np.concatenate([blobs(rng), rng.uniform(-3, 14, size=(12, 2))])
     points = frame(spark, x)
-    h = density.density_hierarchy(points, "k", "vec", min_samples=5, smallest=5)
+    h = density.density_hierarchy(points, "k", "vec", min_samples=5)
     labels = np.array([r["cluster"] for r in density.label_clusters(h, 15).orderBy("k").collect()])
     assert set(labels) - {-1} == {0, 1, 2}
     start = 0
@@ -259,8 +259,7 @@ def test_cluster_choice_and_noise(spark):
     for wrong in ("some", None, 1.5):
         with pytest.raises(TypeError):
             profile.select_clusters(labels, wrong)
-    with pytest.raises(ValueError):
-        profile.top_clusters_by_size(labels, 21)
+    assert profile.top_clusters_by_size(labels, n=21).count() == 2
     assert profile.top_clusters_by_size(labels, 5, hide_noise=False).count() == 3
     summary = profile.noise_summary(labels).first()
     assert (summary["n_clusters"], summary["noise_pct"]) == (2, pytest.approx(100 / 6))
@@ -336,15 +335,58 @@ def exact_clusters(x, min_samples, min_size):
     return alive[group[0]][2]
 
 
+def clusters_of(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r["cluster"], set()).add(r["k"])
+    found.pop(-1, None)
+    return sorted(map(sorted, found.values()))
+
+
 def test_labels_against_the_full_hierarchy(spark):
     rng = np.random.default_rng(12)
     parts = [rng.normal((0, 0), 0.3, (70, 2)), rng.normal((2.2, 0), 0.3, (60, 2)), rng.normal((8, 8), 0.8, (50, 2))]
     x = np.concatenate([*parts, rng.uniform(-3, 11, (20, 2))])
+    h = density.density_hierarchy(frame(spark, x), "k", "vec", 5, exact=True)
+    for size in (5, 20):
+        assert clusters_of(density.label_clusters(h, size).collect()) == sorted(map(sorted, exact_clusters(x, 5, size)))
+    approximate = density.density_hierarchy(frame(spark, x), "k", "vec", 5)
+    found = clusters_of(density.label_clusters(approximate, 20).collect())
     expected = exact_clusters(x, 5, 20)
-    for exact in (False, True):
-        h = density.density_hierarchy(frame(spark, x), "k", "vec", 5, smallest=20, exact=exact)
-        rows = density.label_clusters(h, 20).collect()
-        found = {c: {r["k"] for r in rows if r["cluster"] == c} for c in {r["cluster"] for r in rows} - {-1}}
-        assert len(found) == len(expected)
-        for want in expected:  # levels are quantiles, so a few border points may differ
-            assert max(len(want & f) / len(want | f) for f in found.values()) > 0.9
+    assert len(found) == len(expected)
+    for want in expected:  # the neighbour graph's tree is not always that of all pairs
+        assert max(len(want & set(f)) / len(want | set(f)) for f in found) > 0.9
+    swept = {r["min_cluster_size"]: r for r in density.hdbscan_sweep(h, [5, 20]).collect()}
+    for size in (5, 20):
+        wanted = exact_clusters(x, 5, size)
+        assert swept[size]["n_clusters"] == len(wanted)
+        assert abs(swept[size]["noise_pct"] - 100 * (1 - sum(map(len, wanted)) / len(x))) < 1e-9
+
+
+def test_nine_grids_in_three_groups(spark):
+    grid = np.array(list(itertools.product(range(7), range(7))), float)
+    centres = [(100 * g, 7.5 * i) for g in range(3) for i in range(3)]
+    x = np.concatenate([grid + c for c in centres])
+    assert sorted(map(len, exact_clusters(x, 3, 20))) == [147, 147, 147]
+    found = clusters_of(density.hdbscan(frame(spark, x), "k", "vec", 20, min_samples=3).collect())
+    assert found == [list(range(147 * g, 147 * (g + 1))) for g in range(3)]
+
+
+def test_merges_do_not_depend_on_the_size_of_problems(spark):
+    rng = np.random.default_rng(5)
+    n = 80
+    edges = [(i, int(rng.integers(i)), float(rng.integers(20))) for i in range(1, n)]
+    points = spark.createDataFrame([(i,) for i in range(n)], "k bigint")
+    forest = spark.createDataFrame(edges, "u bigint, v bigint, w double")
+    tables = [density.hierarchy_of(points, "k", forest, size) for size in (1000, 12)]
+    merges = [
+        sorted((r["node"], frozenset([(r["left"], r["n_left"]), (r["right"], r["n_right"])]), r["w"]) for r in h.merges.collect())
+        for h in tables
+    ]
+    assert merges[0] == merges[1] and len(merges[0]) == n - 1
+    parent = {}
+    for r in tables[0].merges.orderBy("node").collect():
+        assert r["w"] >= 0 and r["left"] not in parent and r["right"] not in parent
+        parent[r["left"]] = parent[r["right"]] = r["node"]
+    assert len(parent) == 2 * n - 2
+
