@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.checks.document_queries import documents, lemmatised, texts
@@ -11,7 +11,7 @@ from talkloom.checks.oracles import VECTORS
 from talkloom.functions.vectors import ml_vectors
 from talkloom.operators import density, embed, kmeans, knn, profile, reduce
 from talkloom.operators import tfidf as features
-from talkloom.plans.cluster import cluster_embeddings, cluster_tfidf
+from talkloom.plans.cluster import cluster_embeddings, cluster_tfidf, cluster_tfidf_by_density, describe
 from talkloom.runtime import cut
 
 KEY, VEC = "vec_id", "embedding"
@@ -75,7 +75,8 @@ def reachability(spark, sf):
 
 
 def forest(spark, sf):
-    return density.minimum_spanning_forest(density.mutual_reachability(euclidean(spark, sf), 10, KEY))
+    found = density.minimum_spanning_forest(density.mutual_reachability(euclidean(spark, sf), 10, KEY))
+    return found.select("u", "v", F.round("w", 6).alias("w"))
 
 
 def points_2d(spark, sf) -> DataFrame:
@@ -107,14 +108,155 @@ def svd(spark, sf):
     return rows.select(KEY, F.round(length, 5).alias("length"))
 
 
+def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The columns of two results of one row."""
+    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def axes(rows: DataFrame, k: int) -> DataFrame:
+    """What singular vectors must show: rows, axes, products of different axes next to the largest one, and whether the
+    axes' lengths fall."""
+    vec = F.col("vec")
+    products = F.flatten(F.transform(vec, lambda x, i: F.transform(F.slice(vec, i + 1, k), lambda y: x * y)))
+    summed = rows.select(F.posexplode(products).alias("cell", "p")).groupBy("cell").agg(F.sum("p").alias("p"))
+    cells = summed.agg(F.sort_array(F.collect_list(F.struct("cell", "p"))).alias("cells"))  # k (k + 1) / 2 numbers
+    own = [sum(k - j for j in range(i)) for i in range(k)]
+    values = F.transform("cells", lambda c: c["p"])
+    squares = F.transform(F.array(*map(F.lit, own)), lambda i: F.get(values, i))
+    others = F.filter(values, lambda p, i: ~F.array_contains(F.array(*map(F.lit, own)), i))
+    falling = F.forall(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.get(squares, i) <= F.get(squares, i - 1))
+    off = F.aggregate(others, F.lit(0.0), lambda a, p: F.greatest(a, F.abs(p))) / F.get(squares, 0)
+    checked = cells.select(F.round(off, 4).alias("off_diagonal"), falling.alias("falling"))
+    n = rows.agg(F.count("*").alias("n_rows"), F.max(F.size("vec")).cast("bigint").alias("n_axes"))
+    return _beside(n, checked)
+
+
+AXES_SQL = "SELECT count(*) AS n_rows, {k} AS n_axes, 0.0 AS off_diagonal, true AS falling FROM {table}"
+
+
+def svd_axes(spark, sf):
+    return axes(reduce.truncated_svd(embeddings(spark, sf), 15, KEY, VEC).rows, 15)
+
+
 def svd_terms(spark, sf):
     t = features.tfidf(lemmatised(spark, sf))
     reduced = reduce.truncated_svd_terms(t.weights, 50, docs=documents(spark, sf).select("doc_id"))
-    return reduced.rows
+    return axes(cut(reduced.rows, "svd-terms"), 50)
 
 
 def picture(spark, sf):
-    return reduce.project_2d(reduce.truncated_svd(embeddings(spark, sf), 50, KEY, VEC).rows, KEY)
+    """The picture's coordinates as two axes."""
+    data = reduce.project_2d(reduce.truncated_svd(embeddings(spark, sf), 50, KEY, VEC).rows, KEY)
+    return axes(data.select(F.array("x", "y").alias("vec")), 2)
+
+
+def spectral(spark, sf):
+    """Rows, coordinates and rows with a coordinate that isn't a number."""
+    rows = reduce.neighbour_embedding(embeddings(spark, sf), KEY, VEC, dim=15, n_neighbours=200)
+    odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.max(F.size("vec")).cast("bigint").alias("n_axes"),
+        F.coalesce(F.sum(odd.cast("bigint")), F.lit(0)).alias("n_odd"),
+    )
+
+
+def kmeans_rows(spark, sf):
+    """Rows, clusters, rows that are nearer to another label's mean, and inertia against the sum of squared distances."""
+    points, fitted = embeddings(spark, sf), kmeans.kmeans(ml(spark, sf), 10, KEY)
+    labels = cut(fitted.labels, "labels")
+    nearest = kmeans.assign_clusters(points, kmeans.cluster_centres(points, labels, KEY, VEC), KEY, VEC)
+    both = nearest.withColumnRenamed("cluster", "nearest").join(labels, KEY)
+    return both.agg(
+        F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+        F.sum((F.col("nearest") != F.col("cluster")).cast("bigint")).alias("n_nearer"),
+        (F.abs(F.sum(F.pow("distance", F.lit(2))) / fitted.inertia - 1) < 1e-6).alias("is_inertia"),
+    )
+
+
+def sweep(spark, sf):
+    """Which k were tried, and whether more clusters than one bring the inertia down."""
+    whole = kmeans.inertia_of_one(ml(spark, sf))
+    swept = kmeans.kmeans_sweep(ml(spark, sf), range(10, 25), KEY)
+    return swept.select("k", F.col("inertia").between(0.0, whole).alias("below_one"))
+
+
+def best_k(spark, sf):
+    """The inertia of a single cluster, and whether the other values are in their range."""
+    table, best = kmeans.find_optimal_clusters(embeddings(spark, sf), KEY, VEC, 6)
+    whole = F.max(F.when(F.col("k") == 1, F.col("inertia"))).over(Window.partitionBy())  # a row per k
+    top = F.max("silhouette").over(Window.partitionBy())
+    return table.select(
+        "k", F.round(F.when(F.col("k") == 1, F.col("inertia")), 6).alias("inertia"),
+        (F.col("inertia") <= whole).alias("below_one"),
+        ((F.col("k") == best) == F.coalesce(F.col("silhouette") == top, F.lit(False))).alias("is_best"),
+    )
+
+
+def grid_clusters(spark, sf):
+    """Density clusters of a picture with known groups: five square grids far apart, a point for each embedding. A
+    cluster is named by its smallest id."""
+    i = F.col(KEY)
+    x, y = 10_000 * (i % 5) + F.floor(i / 5) % 10, F.floor(i / 50)
+    points = embeddings(spark, sf).select(KEY, F.array(x.cast("double"), y.cast("double")).alias("vec"))
+    labels = density.hdbscan(points, KEY, "vec", 20, min_samples=3)
+    name = F.min(KEY).over(Window.partitionBy("cluster"))
+    return labels.select(KEY, F.when(F.col("cluster") >= 0, name).alias("first_id"))
+
+
+def swept_sizes(spark, sf):
+    """Minimum sizes with noise in its range; no size has more clusters than fit."""
+    swept = density.hdbscan_sweep(hierarchy(spark, sf), range(4, 12))
+    n = embeddings(spark, sf).count()
+    fits = F.col("n_clusters") * F.col("min_cluster_size") <= n * (1 - F.col("noise_pct") / 100) + 1e-6
+    return swept.select("min_cluster_size", F.col("noise_pct").between(0.0, 100.0).alias("in_range"), fits.alias("fits"))
+
+
+def projected(spark, sf):
+    """Length of each text's vector."""
+    vectors = embed.embed_by_projection(texts(spark, sf), "text", "doc_id")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return vectors.select("doc_id", F.round(length, 4).alias("length"), F.size("vec").cast("bigint").alias("n_axes"))
+
+
+def _profiled(found: dict[str, DataFrame], n_terms: int = 15) -> DataFrame:
+    """Labelled rows, clusters without `n_terms` ranked terms, and terms that rank above one with a higher mean."""
+    before = F.lag("mean_w").over(Window.partitionBy("cluster").orderBy("rank"))
+    terms = found["top_terms"].withColumn("risen", (F.col("mean_w") > before).cast("bigint"))
+    per = terms.groupBy("cluster").agg(F.max("rank").alias("n"), F.sum("risen").alias("risen"))
+    checked = per.agg(
+        F.coalesce(F.sum((F.col("n") != n_terms).cast("bigint")), F.lit(0)).alias("n_short"),
+        F.coalesce(F.sum("risen"), F.lit(0)).alias("n_risen"),
+    )
+    return _beside(found["labels"].agg(F.count("*").alias("n_rows")), checked)
+
+
+PROFILED_SQL = "SELECT count(*) AS n_rows, 0 AS n_short, 0 AS n_risen FROM documents WHERE text IS NOT NULL"
+
+
+def embedded_clusters(spark, sf) -> DataFrame:
+    vectors = embed.embed_by_projection(texts(spark, sf), "text", "doc_id", dim=384)
+    return cut(cluster_embeddings(vectors, min_cluster_size=8, min_samples=5, dim=15, key="doc_id"), "labels")
+
+
+def embedding_clusters(spark, sf):
+    """Labelled texts, and clusters below the minimum size."""
+    sizes = embedded_clusters(spark, sf).groupBy("cluster").agg(F.count("*").alias("n"))
+    small = (F.col("cluster") >= 0) & (F.col("n") < 8)
+    return sizes.agg(F.sum("n").alias("n_rows"), F.sum(small.cast("bigint")).alias("n_small"))
+
+
+def embedding_cluster_terms(spark, sf):
+    weights = cut(features.tfidf(lemmatised(spark, sf)).weights, "weights")
+    return _profiled(describe(weights, embedded_clusters(spark, sf)))
+
+
+def fitted_comparison(spark, sf):
+    """k-means on TF-IDF against density clusters of the sentence vectors: rows in all cells, and whether the shares of
+    each label add up."""
+    by_terms = cluster_tfidf(lemmatised(spark, sf), n_clusters=6)["labels"]
+    cells = profile.compare_clusterings(by_terms, embedded_clusters(spark, sf), "doc_id")
+    rows = cells.groupBy("cluster_a").agg(F.sum("n").alias("n"), F.sum("share_a").alias("share"))
+    return rows.agg(F.sum("n").alias("n_rows"), F.max(F.abs(F.col("share") - 1) < 1e-9).alias("adds_up"))
 
 
 def hierarchy(spark, sf) -> density.Hierarchy:
@@ -151,6 +293,23 @@ centres AS (SELECT cluster, list(c ORDER BY i) AS centre FROM axis GROUP BY clus
 NEAR = """nn AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM pairs QUALIFY rank <= 10),
 core AS (SELECT a, d AS core FROM nn WHERE rank = 9)"""
 
+# Trees grown a point at a time by the lightest edge that leaves them.
+FOREST_SQL = f"""WITH RECURSIVE {VECTORS}, {NEAR},
+near AS (SELECT least(a, b) AS u, greatest(a, b) AS v, min(d) AS d FROM nn GROUP BY ALL),
+graph AS MATERIALIZED (
+  SELECT u, near.v AS v, greatest(d, cu.core, cv.core) AS w
+  FROM near JOIN core cu ON cu.a = u JOIN core cv ON cv.a = near.v),
+grown(reached, e) AS (
+  SELECT [min(vec_id)], NULL::STRUCT(w DOUBLE, u BIGINT, v BIGINT) FROM embeddings
+  UNION ALL
+  SELECT list_append(reached, CASE
+           WHEN e IS NULL THEN (SELECT min(vec_id) FROM embeddings WHERE NOT list_contains(reached, vec_id))
+           WHEN list_contains(reached, e.u) THEN e.v ELSE e.u END), e
+  FROM (SELECT reached, (SELECT min({{'w': w, 'u': u, 'v': v}}) FROM graph
+                         WHERE list_contains(reached, u) <> list_contains(reached, v)) AS e FROM grown)
+  WHERE len(reached) < (SELECT count(*) FROM embeddings))
+SELECT e.u AS u, e.v AS v, round(e.w, 6) AS w FROM grown WHERE e IS NOT NULL"""
+
 XY = "xy AS (SELECT vec_id, label AS cluster, v[1] * 100 AS x, v[2] * 100 AS y FROM vectors)"
 
 QUERIES = {
@@ -194,7 +353,7 @@ QUERIES = {
         SELECT u, edges.v AS v, round(greatest(d, cu.core, cv.core), 6) AS w
         FROM edges JOIN core cu ON cu.a = u JOIN core cv ON cv.a = edges.v"""),
     ),
-    "minimum_spanning_forest": (forest, None),
+    "minimum_spanning_forest": (forest, FOREST_SQL),
     "nearest_point_2d": (
         near_point,
         _v(f""", {XY}, far AS (SELECT *, sqrt((x - 6) ** 2 + y ** 2) AS distance FROM xy),
@@ -211,16 +370,21 @@ QUERIES = {
     "svd_row_lengths": (
         svd, _v("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 5) AS length FROM vectors"),
     ),
-    "truncated_svd": (lambda s, d: reduce.truncated_svd(embeddings(s, d), 15, KEY, VEC).rows, None),
-    "truncated_svd_terms": (svd_terms, None),
-    "project_2d": (picture, None),
-    "umap_reduce": (
-        lambda s, d: reduce.neighbour_embedding(embeddings(s, d), KEY, VEC, dim=15, n_neighbours=30), None,
+    "truncated_svd": (svd_axes, AXES_SQL.format(k=15, table="embeddings")),
+    "truncated_svd_terms": (svd_terms, AXES_SQL.format(k=50, table="documents")),
+    "project_2d": (picture, AXES_SQL.format(k=2, table="embeddings")),
+    "umap_reduce": (spectral, "SELECT count(*) AS n_rows, 15 AS n_axes, 0 AS n_odd FROM embeddings"),
+    "kmeans": (
+        kmeans_rows, "SELECT count(*) AS n_rows, 10 AS n_clusters, 0 AS n_nearer, true AS is_inertia FROM embeddings",
     ),
-    "kmeans": (lambda s, d: kmeans.kmeans(ml(s, d), 10, KEY).labels, None),
-    "kmeans_sweep": (lambda s, d: kmeans.kmeans_sweep(ml(s, d), range(1, 8), KEY, n_init=2), None),
+    "kmeans_sweep": (sweep, "SELECT k, true AS below_one FROM range(10, 25) AS t(k)"),
     "kmeans_best_k": (
-        lambda s, d: kmeans.find_optimal_clusters(embeddings(s, d), KEY, VEC, 6, n_init=2)[0], None,
+        best_k,
+        """WITH comp AS (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
+                    FROM embeddings),
+        one AS (SELECT round(sum(s), 6) AS inertia FROM (SELECT var_pop(x) * count(*) AS s FROM comp GROUP BY i))
+        SELECT k, CASE WHEN k = 1 THEN inertia END AS inertia, true AS below_one, true AS is_best
+        FROM range(1, 6) AS t(k), one""",
     ),
     "silhouette_squared": (
         squared_silhouettes,
@@ -234,20 +398,29 @@ QUERIES = {
         SELECT measure, round(avg(coalesce((b_out - a_in) / greatest(a_in, b_out), 0)), 6) AS silhouette
         FROM ab GROUP BY measure"""),
     ),
-    "hdbscan": (lambda s, d: density.label_clusters(hierarchy(s, d), 8), None),
-    "hdbscan_sweep": (lambda s, d: density.hdbscan_sweep(hierarchy(s, d), range(4, 12)), None),
-    "embed_text": (lambda s, d: embed.embed_by_projection(texts(s, d), "text", "doc_id"), None),
+    "hdbscan": (grid_clusters, "SELECT vec_id, min(vec_id) OVER (PARTITION BY vec_id % 5) AS first_id FROM embeddings"),
+    "hdbscan_sweep": (
+        swept_sizes, "SELECT min_cluster_size, true AS in_range, true AS fits FROM range(4, 12) AS t(min_cluster_size)",
+    ),
+    "embed_text": (
+        projected,
+        r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]{2}') THEN 1.0 ELSE 0.0 END AS length, 384 AS n_axes
+        FROM documents WHERE text IS NOT NULL""",
+    ),
     "embed_text_model": (
         model_vectors,
         """SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_spaces,
         length(text) - length(replace(text, 'e', '')) AS n_e FROM documents""",
     ),
-    "tfidf_cluster_terms": (lambda s, d: cluster_tfidf(lemmatised(s, d), n_clusters=6, n_init=2)["top_terms"], None),
+    "tfidf_cluster_terms": (lambda s, d: _profiled(cluster_tfidf(lemmatised(s, d), n_clusters=6)), PROFILED_SQL),
+    "tfidf_density_clusters": (
+        lambda s, d: _profiled(cluster_tfidf_by_density(lemmatised(s, d), min_cluster_size=8, min_samples=5)), PROFILED_SQL,
+    ),
     "embedding_clusters": (
-        lambda s, d: cluster_embeddings(
-            embed.embed_by_projection(texts(s, d), "text", "doc_id", dim=64),
-            min_cluster_size=8, min_samples=5, dim=15,
-        ),
-        None,
+        embedding_clusters, "SELECT count(*) AS n_rows, 0 AS n_small FROM documents WHERE text IS NOT NULL",
+    ),
+    "embedding_cluster_terms": (embedding_cluster_terms, PROFILED_SQL),
+    "fitted_comparison": (
+        fitted_comparison, "SELECT count(*) AS n_rows, true AS adds_up FROM documents WHERE text IS NOT NULL",
     ),
 }

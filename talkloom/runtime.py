@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
 
-# Copies made of a lookup side that is too large to broadcast; spreads a hot key over as many tasks.
-SALTS = 16
+# Copies made of a lookup side that is too large to broadcast: at least so many, and one for each PARTITIONS_PER_SALT
+# shuffle partitions. A hot key is spread over as many tasks.
+SALTS, PARTITIONS_PER_SALT = 16, 32
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -84,8 +85,10 @@ def lookup_join(
         return left.join(F.broadcast(right), keys, how)
     if not hot:
         return left.join(right, keys, how)
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(SALTS, partitions // PARTITIONS_PER_SALT)
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
