@@ -105,8 +105,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards
     n = ordered.count()
     rank = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     ranked = ordered.join(F.broadcast(offsets), "_part").withColumn("_rank", rank)
-    shard = F.floor(F.col("_rank") * shards / n) if n == 0 else F.expr(f"(_rank * {shards}) div {n}")
-    ranked = ranked.withColumn("shard", shard.cast("int"))
+    ranked = ranked.withColumn("shard", F.expr(f"(_rank * {shards}) div {max(n, 1)}").cast("int"))
     first = F.expr(f"(cast(shard AS bigint) * {n} + {shards - 1}) div {shards}")
     return ranked.select(*kept, F.col("_curve").alias("curve"), "shard", (F.col("_rank") - first).alias("slot"))
 

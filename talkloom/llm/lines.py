@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from talkloom.llm.exchange import bits, blocks_of, exchange, n_buckets_for, not_first, order_of, slices, twice
 from talkloom.llm.tables import map_rows
-from talkloom.llm.words import _BASE, _INVERSE, _power, mix
+from talkloom.llm.words import BASE, INVERSE, mix, power
 from talkloom.runtime import cut, lookup_join
 
 # Shorter lines are kept and compared with nothing.
@@ -51,7 +51,7 @@ class _Lines:
         self.sizes = np.array([len(line) for line in self.flat], np.int64)
         points = np.frombuffer("".join(self.flat).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_characters()[points] * _power(_BASE, len(points)), out=self.sums[1:])
+        np.cumsum(_characters()[points] * power(BASE, len(points)), out=self.sums[1:])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.compared = np.flatnonzero(self.sizes >= LEAST_CHARS)
@@ -64,7 +64,7 @@ class _Lines:
 
     def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Polynomial of the characters from start to end, the first one times 1."""
-        return (self.sums[end] - self.sums[start]) * _power(_INVERSE, len(self.sums))[start]
+        return (self.sums[end] - self.sums[start]) * power(INVERSE, len(self.sums))[start]
 
     def firsts(self, later: np.ndarray) -> np.ndarray:
         """Lines without an earlier copy, `later` being the values that have one in another block."""
@@ -102,7 +102,7 @@ class _Lines:
             if not ranges:
                 continue
             at = start + np.unique(np.concatenate(ranges))
-            behind = self._hash(at + 1, np.full(len(at), end)) * _power(_BASE, n + 1)[at - start]
+            behind = self._hash(at + 1, np.full(len(at), end)) * power(BASE, n + 1)[at - start]
             rest = self._hash(np.full(len(at), start), at) + behind
             if shorter:
                 keys, role = np.unique(mix(rest + np.uint64(n - 1))), _LONGER

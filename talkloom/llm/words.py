@@ -15,9 +15,9 @@ import numpy as np
 # Texts are hashed together up to this many bytes; a longer text is hashed by itself.
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+BASE = 0x9E3779B97F4A7C15 | 5
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
 def _class(excluded: Iterable[int]) -> np.ndarray:
@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     if len(_powers[base]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
@@ -57,7 +57,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def _sums(values: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(_BASE, len(values)), out=sums[1:])
+    np.cumsum(values * power(BASE, len(values)), out=sums[1:])
     return sums
 
 
@@ -86,7 +86,7 @@ def words(texts: list[bytes | None], word_bytes: np.ndarray, lower: bool = False
     edges = np.flatnonzero(is_word[1:] != is_word[:-1])
     starts, ends = edges[0::2], edges[1::2]
     sums = _sums((_LOWER_VALUES if lower else _VALUES)[data])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    hashes = mix((sums[ends] - sums[starts]) * power(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
     return Words(hashes, np.searchsorted(starts, first), starts, ends, joined)
 
 
@@ -96,7 +96,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     sums = _sums(hashes)
-    return mix((sums[size:] - sums[:n]) * _power(_INVERSE, n) + np.uint64(size))
+    return mix((sums[size:] - sums[:n]) * power(INVERSE, n) + np.uint64(size))
 
 
 def chunks(rows: Iterable[tuple], text: int = -1, limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
