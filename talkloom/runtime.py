@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,8 +19,13 @@ SALTS, PARTITIONS_PER_SALT = 16, 32
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: `spark.checkpoint.dir`, which every executor must reach."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for lineage cuts: `spark.checkpoint.dir`, or the context's checkpoint folder, which is made in local
+    mode if there is none."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="talkloom-"))
+        configured = context.getCheckpointDir()
     if not configured:
         raise ValueError("set spark.checkpoint.dir, when the session is built, to a folder that every executor can reach")
     return configured.rstrip("/")

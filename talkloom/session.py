@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "talkloom") -> SparkSession:
     """Single-machine session for tests and the benchmark. A cluster brings its own settings."""
-    SparkContext._ensure_initialized()  # for the defaults of the installation
-    if not SparkConf().get("spark.checkpoint.dir"):
-        SparkSession.builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="talkloom-"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
