@@ -18,11 +18,13 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from talkloom.llm.tables import map_rows, row_key
 from talkloom.llm.words import chunks
-from talkloom.runtime import cut
+from talkloom.runtime import cut, scratch_path
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 # Bytes of hashes in a bucket.
 BUCKET_BYTES = 8 << 20
+# Blocks of a row group, since a reader holds one as a whole.
+_ROW_GROUPS = {"parquet.block.row.count.limit": 16}
 # Order of a null doc_id: before all others.
 FIRST = np.iinfo(np.int64).min
 
@@ -47,7 +49,9 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield number, keys, row_keys, texts, sum(len(t or b"") for t in texts), others
             number += 1
 
-    return cut(map_rows(wide, run, schema), "blocks")
+    path = scratch_path(docs.sparkSession, "blocks")
+    map_rows(wide, run, schema).write.options(**_ROW_GROUPS).parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def n_buckets_for(blocks: DataFrame, hashes_per_byte: float) -> int:
