@@ -153,13 +153,25 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark):
             return None
 
     class Context:
-        master = "spark://host:7077"
+        folder = None
+
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = f"file:{folder}"
 
     class Session:
-        conf, sparkContext = Conf(), Context()
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), Context(master)
 
     with pytest.raises(ValueError):
-        runtime.scratch_dir(Session())
+        runtime.scratch_dir(Session("spark://host:7077"))
+    local = Session("local[2]")
+    assert runtime.scratch_dir(local).startswith("file:") and runtime.scratch_dir(local) == runtime.scratch_dir(local)
 
 
 def test_rows_with_null_or_repeated_keys_keep_their_tokens(spark):

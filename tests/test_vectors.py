@@ -235,17 +235,19 @@ def test_density_clusters_of_blobs_with_noise(spark):
     assert sweep[1]["n_clusters"] <= 2
 
 
-def test_nested_split_prefers_the_more_stable_side():
-    rows = [  # two tight groups that merge early against one loose group far away
-        {"level": 0, "comp": 1, "size": 20, "parent": 1}, {"level": 0, "comp": 50, "size": 20, "parent": 1},
-        {"level": 1, "comp": 1, "size": 40, "parent": 1}, {"level": 1, "comp": 90, "size": 30, "parent": 90},
-        {"level": 2, "comp": 1, "size": 41, "parent": 1}, {"level": 2, "comp": 90, "size": 32, "parent": 1},
-        {"level": 3, "comp": 1, "size": 80, "parent": None},
-    ]
-    picks = density._stable_clusters(rows, [0.9, 1.0, 5.0, 6.0], 10)
-    assert sorted(p[:2] for p in picks) == [(2, 1), (2, 90)]
-    assert density._stable_clusters(rows, [0.01, 1.0, 1.05, 6.0], 10)[0][:2] == (0, 1)
-    assert density._stable_clusters([], [], 10) == []
+@pytest.mark.parametrize("tight,far,expected", [(0.9, 6.0, [40, 30]), (0.01, 1.05, [30, 20, 20])])
+def test_nested_split_prefers_the_more_stable_side(spark, tight, far, expected):
+    """Two tight groups that meet at 1 and a loose one that joins them at `far`."""
+    loose = 5.0 if far > 5 else 1.0
+    edges = [(i, i + 1, tight) for i in (*range(19), *range(20, 39))] + [(0, 20, 1.0)]
+    edges += [(i, i + 1, loose) for i in range(40, 69)] + [(0, 40, far)]
+    points = spark.createDataFrame([(i,) for i in range(70)], "k bigint")
+    forest = spark.createDataFrame(edges, "u bigint, v bigint, w double")
+    labels = density.label_clusters(density.hierarchy_of(points, "k", forest), 10)
+    sizes = {r["cluster"]: r["count"] for r in labels.groupBy("cluster").count().collect()}
+    assert [sizes[c] for c in range(len(expected))] == expected and sum(sizes.values()) == 70
+    nothing = density.hierarchy_of(points.limit(0), "k", forest.limit(0))
+    assert density.label_clusters(nothing, 10).count() == 0
 
 
 def test_cluster_choice_and_noise(spark):
