@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.tables import map_rows
 from talkloom.llm.tokens import END_ID, encoder, widened
+from talkloom.runtime import cut, lookup_join
 
 BLOCK_TOKENS = 1 << 16
 BLOCK_DOCS = 1 << 14
@@ -116,6 +117,7 @@ def write_token_file(
                 keys, parts, size, block = [], [], 0, block + 1
         if keys:
             yield _block(shard, block, keys, parts, encode.dtype)
+        encode.forget()
 
     keyed = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("binary").alias("text"))
     tie = F.xxhash64("text")
@@ -146,6 +148,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a token file: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned
     32-bit integers)."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
+    starts = cut(block_starts(blocks), "token-starts")
+    placed = lookup_join(blocks, starts, ["shard", "block"], hot=False).select(*blocks.columns, "first")
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
@@ -153,13 +157,9 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
             ends = coded.decode().astype(np.int64)
             for key, start, end in zip(keys, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 part = ids[start * dtype.itemsize : end * dtype.itemsize]
-                yield row[0], row[1], key, start, end - start, widened(part, dtype)
+                yield key, row[-1] + start, end - start, widened(part, dtype)
 
-    inside = map_rows(blocks, run, "shard int, block int, doc_id bigint, inner bigint, n_tokens bigint, ids binary")
-    return (
-        inside.join(block_starts(blocks), ["shard", "block"])
-        .select("doc_id", (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids")
-    )
+    return map_rows(placed, run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
