@@ -112,12 +112,14 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def cluster(vectors: np.ndarray, k: int, steps: int = STEPS) -> np.ndarray:
     """Centroids of length one, at most `k`: the means of equal parts along the direction in which the vectors vary most,
     then moved to the means of the vectors nearest to them."""
-    centred = vectors - vectors.mean(axis=0)
-    direction = centred[np.abs(centred).sum(axis=1).argmax()]
+    mean = vectors.mean(axis=0)
+    direction = vectors[(vectors @ mean).argmin()] - mean
     for _ in range(steps):
-        direction = centred.T @ (centred @ direction)
+        along = vectors @ direction
+        along -= along.mean()
+        direction = along @ vectors  # centred vectors give the same, without a copy of all
         direction /= max(np.linalg.norm(direction), 1e-12)
-    parts = np.array_split(np.argsort(centred @ direction, kind="stable"), min(k, len(vectors)))
+    parts = np.array_split(np.argsort(vectors @ direction, kind="stable"), min(k, len(vectors)))
     centroids = _unit(np.array([vectors[part].mean(axis=0) for part in parts]))
     for _ in range(steps):
         own = (vectors @ centroids.T).argmax(axis=1)
@@ -185,9 +187,13 @@ def fit(
     chosen = below.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
 
     def centre(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [gram_counts([r[0] for r in held], dimensions) for held in _grouped(zip(group["text"]), 0)]
-        parts = [weighed(part[part.any(axis=1)], idf) for part in parts]
-        vectors = np.concatenate(parts)
+        vectors, n = np.zeros((len(group), dimensions), np.float32), 0
+        for held in _grouped(zip(group["text"]), 0):
+            part = weighed(gram_counts([r[0] for r in held], dimensions), idf)
+            part = part[part.any(axis=1)]
+            vectors[n : n + len(part)] = part
+            n += len(part)
+        vectors = vectors[:n]
         if not len(vectors):
             return pd.DataFrame(columns=["lang", "vector", "least"], dtype=object)
         found = cluster(vectors, centroids)

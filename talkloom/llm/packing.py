@@ -144,6 +144,7 @@ def pack(
                 yield key, start, len(ids), total, number, offset, widened(ids.tobytes(), encode.dtype)
                 offset += len(ids)
             number += 1
+        encode.forget()
 
     keyed = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("binary").alias("text"))
     return map_rows(keyed, run, PIECES)

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 # Encoded words kept by a task; the store is emptied when it is full, which changes no result.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 18
 # Id put behind each document.
 END_ID = 1
 
@@ -81,6 +81,10 @@ class WordEncoder:
                 return self._bytes([t.id for t in self._tokenizer.model.tokenize(text.translate(self._seen))])
         return self._kept[low] + self._marks[mark] if mark else self._kept[low]
 
+    def forget(self) -> None:
+        """Empty the store, which a worker would keep between its tasks."""
+        self._kept.clear()
+
     def __call__(self, text: bytes | None) -> bytes:
         """Ids of `text`, then the end id; None counts as empty."""
         if not self._by_word:
