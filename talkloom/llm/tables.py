@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -55,6 +56,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, as Spark uses a worker for many tasks. Only the GNU library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | StructType
 ) -> DataFrame:
@@ -68,7 +77,8 @@ def map_rows(
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_of(function(rows_of(batches)), arrow)
+        yield from batches_of(function(rows_of(batches)), arrow)
+        release_memory()
 
     return df.mapInArrow(run, kind)
 
