@@ -43,7 +43,7 @@ _LOOSE = {
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
 }
 # A text without a match of these has none of the above.
-_TRIGGERS = {"email": r"@|[\[({]at[\])}]", "ip": r"[0-9][.:]|[A-Fa-f]:", "card": "[0-9]{2}", "phone": "[0-9]"}
+_TRIGGERS = {"email": r"@|[\[({]at[\])}]", "ip": r"[0-9][.:]|[A-Fa-f]:", "card": "[0-9][ -]?[0-9]", "phone": "[0-9]"}
 _CONTEXT = {
     "email": "mail|contact|write|reach|kontakt|correo|courriel",
     "ip": r"\bip\b|address|host|server|adresse",

@@ -54,6 +54,16 @@ def test_base_spans_like_the_patterns(spark):
     assert personal_data(frame(spark, [])).count() == 0
 
 
+def test_cards_of_single_digits(spark):
+    """No two digits of the text stand side by side."""
+    card = "4111111111111111"
+    texts = ["-".join(card), " ".join(card), f"pay with {' '.join(card)}, please", "-".join("371449635398431"), "1-2 3"]
+    found = {r["doc_id"]: r for r in personal_data(frame(spark, list(enumerate(texts)))).collect()}
+    for n, text in enumerate(texts):
+        assert [tuple(s) for s in found[n]["base_card"]] == plain(text)["card"]
+    assert [len(found[n]["base_card"]) for n in range(5)] == [1, 1, 1, 0, 0]
+
+
 def test_written(spark):
     row = spark.range(1).select(
         written({
