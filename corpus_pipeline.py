@@ -19,6 +19,11 @@ from talkloom.llm.tokens import default_tokenizer
 from talkloom.runtime import cut
 
 
+# Near-duplicates have four fifths of their five-word shingles in common. A pair at that threshold is missed with probability
+# (1 - 0.8 ** ROWS) ** BANDS = 1.3e-7.
+PERCENT, BANDS, ROWS = 80, 40, 5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model, fitted on their labels, doesn't reject."""
     found = identify(docs, fit(docs.where(~held_out())))
@@ -40,7 +45,7 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    return without(docs, near_duplicates(docs), ~F.col("kept"))
+    return without(docs, near_duplicates(docs, PERCENT, BANDS, ROWS), ~F.col("kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 import numpy as np
-from cases import components, without_lines
+from cases import components, frame, shingles, without_lines
 from test_decontaminate import plain
 from tokenizers import Tokenizer
 
@@ -49,6 +49,27 @@ def test_each_stage_on_its_own_input(spark):
     assert set(pieces.doc_id) == set(clean)
 
 
+def test_near_dedup_like_all_pairs_at_80(spark):
+    """Pairs that share from 0.7 to 0.95 of their shingles, and a chain."""
+    rows = []
+    for n in range(60):
+        words = [f"w{n}x{i}" for i in range(104)]
+        changed = [f"c{n}x{i}" for i in range(3 + n % 15)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[: -len(changed)] + changed))]
+        if n % 5 == 0:
+            rows.append((10 * n + 2, " ".join(["y"] * 8 + words[8 : -len(changed)] + changed)))
+    sets = {i: shingles(t) for i, t in rows}
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i // 10 == j // 10 and i < j}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) >= 10
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for (i, j), x in share.items():
+            if x >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+    found = pipeline.one_of_each_group(spark, frame(spark, rows), SF)
+    assert set(rows_of(found)) == {i for i, r in root.items() if i == r}
+
+
 def test_run_is_all_stages(spark):
     assert [name for name, _ in pipeline.STAGES] == [
         "language ID", "line dedup", "MinHash near-dedup", "benchmark decontamination", "packing"
