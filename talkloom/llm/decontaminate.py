@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.tables import keyed, map_rows
 from talkloom.llm.words import ALPHANUMERIC, chunks, words
+from talkloom.runtime import cut
 
 WINDOW = 13
 # A document with hits is contaminated if at least one word in so many is hit.
@@ -24,7 +25,7 @@ SHARD_BYTES = 1 << 20
 # Text of the items that are searched in one pass.
 ITEM_BYTES = 16 << 20
 
-_STATE = "n_words bigint, hits binary, n_hit bigint, items array<string>, longest bigint, longest_item string, longest_at bigint"
+_STATE = "n_words bigint, hits binary, n_hit bigint, items array<string>, unnamed boolean, longest bigint, longest_item string, longest_at bigint"
 
 
 class SuffixArray:
@@ -104,7 +105,7 @@ class SuffixArray:
 class Items:
     """The different windows of a part of the items, and where each occurs in them."""
 
-    names: list[str]  # sorted
+    names: list[str | None]  # sorted, null last
     patterns: np.ndarray
     lengths: np.ndarray
     first: np.ndarray  # occurrences of window w are first[w] to first[w + 1]
@@ -112,8 +113,8 @@ class Items:
     offset: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[str, bytes | None]], window: int) -> Items:
-        rows = sorted(rows, key=lambda r: r[0])
+    def of(cls, rows: list[tuple[str | None, bytes | None]], window: int) -> Items:
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
         found = words([text for _, text in rows], ALPHANUMERIC, lower=True)
         parts = [], [], [], []
         for i in range(len(rows)):
@@ -166,8 +167,8 @@ def _search(texts: list[bytes | None], items: Items) -> list[tuple]:
         if mine.start < mine.stop:
             best = mine.start + int(spans[mine].argmax())
             longest = (int(spans[best]), items.names[item[begins[best]]], int(at[begins[best]] - own.start))
-        names = [items.names[i] for i in np.unique(item[begins[mine]])]
-        inside.append((n, np.packbits(hit[own]).tobytes(), int(hit[own].sum()), names, *(longest or (0, None, None))))
+        names = {items.names[i] for i in np.unique(item[begins[mine]])}
+        inside.append((n, np.packbits(hit[own]).tobytes(), int(hit[own].sum()), sorted(names - {None}), None in names, *(longest or (0, None, None))))
     return inside
 
 
@@ -176,7 +177,7 @@ def _merged(old: tuple | None, new: tuple) -> tuple:
         return new
     hits = np.frombuffer(old[1], np.uint8) | np.frombuffer(new[1], np.uint8)
     n_hit = int(np.unpackbits(hits).sum())  # bits behind the last word are 0
-    return new[0], hits.tobytes(), n_hit, sorted({*old[3], *new[3]}), *max(old[4:], new[4:], key=lambda x: x[0])
+    return new[0], hits.tobytes(), n_hit, sorted({*old[3], *new[3]}), old[4] or new[4], *max(old[5:], new[5:], key=lambda x: x[0])
 
 
 def contamination(
@@ -194,14 +195,14 @@ def contamination(
     of an item, or the whole of a shorter one; a document's words inside any occurrence of a window are hit.
 
     Columns: doc_id, row_key (hash of doc_id and text), n_words, n_hit, items (ids of the items with occurring windows, as
-    sorted strings), longest (words of the longest verbatim match), longest_item, longest_at (its first word),
+    different, sorted strings), unnamed (an item of null id occurs), longest (words of the longest verbatim match), longest_item, longest_at (its first word),
     contaminated (some words are hit, and at least one in 20). Of equally long matches the first item's first counts.
 
     A null or empty text, or one without words, has no words and isn't contaminated. Items that are null, empty or without
-    words, or whose id is null, match nothing; rows that share an item_id are items of one name. Repeated documents give
+    words match nothing; one whose id is null hits words like others, without a name; rows that share an item_id are items of one name. Repeated documents give
     repeated rows; empty tables give no rows, or rows without hits. Other columns are not read.
     """
-    wanted = benchmark.where(F.col(item_id).isNotNull()).select(
+    wanted = benchmark.select(
         F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("binary").alias("text")
     )
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -215,6 +216,9 @@ def contamination(
             state, _pass(items, first=part == 0, last=part == n_parts - 1),
             f"doc_id bigint, text binary, row_key bigint, {_STATE}",
         )
+        if part < n_parts - 1:
+            state = cut(state, "benchmark-pass")  # this part is searched before the next one is read
+            del rows, items
     enough = (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))
     return state.drop("text", "hits").withColumn("contaminated", enough)
 

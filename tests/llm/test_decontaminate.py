@@ -60,6 +60,18 @@ def test_hits_like_a_search_of_windows(spark, item_bytes):
     assert found(contamination(frame(spark, docs), benchmark, item_bytes=item_bytes)) == plain(docs, items)
 
 
+@pytest.mark.parametrize("item_bytes", [1 << 20, 100])
+def test_items_of_null_or_equal_ids(spark, item_bytes):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(20)) for c in "abc")
+    rows = [(None, one), (2, two), (2, three), (1, three)]
+    benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = frame(spark, [(1, one), (2, f"{two} and {three}"), (3, f"{one} {two}"), (4, "nothing")])
+    found = contamination(docs, benchmark, item_bytes=item_bytes)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["unnamed"], r["contaminated"]) for r in found.collect()}
+    assert got == {1: (20, [], True, True), 2: (40, ["1", "2"], False, True), 3: (40, ["2"], True, True), 4: (0, [], False, False)}
+
+
 def test_odd_texts(spark):
     docs = [r for r in odd_texts() if r[0] not in (13, 14)]
     items = [(1, PASSAGE), (2, "日本語 text")]
