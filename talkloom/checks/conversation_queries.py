@@ -66,12 +66,11 @@ def scan_raw_english(spark, sf):
 
 
 def scan_single_file(spark, sf):
-    """One of several files: each state's conversations are written to a file of their own."""
+    """One of several files: each state's conversations are written to a file of their own, in a folder with a plain name."""
     path = scratch_path(spark, "raw-by-state")
-    raw = nested(spark, sf).withColumn("part", F.col("state"))
+    raw = nested(spark, sf).withColumn("part", F.regexp_replace("state", "[^A-Za-z0-9]", "_"))
     raw.repartition("part").write.partitionBy("part").parquet(path)
-    one = spark.read.parquet(path).where("part = 'State 1'").inputFiles()[0]
-    return _raw_counts(sources.scan_raw(spark, one))
+    return _raw_counts(sources.scan_raw(spark, f"{path}/part=State_1"))
 
 
 def schema_struct_fields(spark, sf):
@@ -179,7 +178,7 @@ def _m(select: str) -> str:
 QUERIES = {
     "scan_raw_english": (scan_raw_english, RAW_SQL),
     "scan_single_file": (
-        scan_single_file, RAW_SQL.replace("FROM messages", "FROM messages WHERE state = 'State 1'")
+        scan_single_file, RAW_SQL.replace("FROM messages GROUP", "FROM messages WHERE state = 'State 1' GROUP")
     ),
     "schema_struct_fields": (
         schema_struct_fields,
