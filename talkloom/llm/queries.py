@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import sql
+from talkloom.llm import quality, sql
+from talkloom.llm.collocations import collocations
 from talkloom.llm.decontaminate import contamination
 from talkloom.llm.hilbert import hilbert_shards
 from talkloom.llm.language import fit, held_out, identify
@@ -16,6 +17,7 @@ from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.packing import pack
 from talkloom.llm.permutation import nearest_neighbours
 from talkloom.llm.private import KINDS, personal_data, written
+from talkloom.llm.ranked import rank_documents
 from talkloom.llm.substrings import remove_repeats
 from talkloom.llm.tables import documents
 from talkloom.llm.token_file import read_token_file, write_token_file
@@ -93,6 +95,22 @@ def op10_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_follow_the_leader_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out())
+    found = quality.score(docs, quality.fit(docs, labels))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
+
+
+def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_blas_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_elias_fano_tokens": (op1_elias_fano_tokens, None),
     "op2_permutation_index": (op2_permutation_index, None),
@@ -104,4 +122,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_difference_cover_dedup": (op8_difference_cover_dedup, sql.SUBSTRINGS),
     "op9_squares_packing": (op9_squares_packing, None),
     "op10_nearest_centroid_language": (op10_nearest_centroid_language, None),
+    "op11_follow_the_leader_quality": (op11_follow_the_leader_quality, None),
+    "op12_setm_collocations": (op12_setm_collocations, sql.COLLOCATIONS),
+    "op13_blas_ranked_search": (op13_blas_ranked_search, sql.RANKED),
 }

@@ -96,3 +96,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS
             lambda x: x[1]) END, chr(10))) AS kept_sha256
 FROM doc LEFT JOIN removed USING (doc_id)
 """
+
+COLLOCATIONS = r"""
+WITH piece AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), total AS (SELECT lang, sum(len(w)) AS n FROM piece GROUP BY 1),
+gram AS (
+    SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f
+    FROM piece, range(1, 6) AS t(m), unnest(range(1, len(w) - m + 2)) AS u(i) GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+        array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+    FROM gram, unnest(range(1, m)) AS u(k) WHERE m > 1
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, 1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS score
+    FROM cuts AS c JOIN gram AS x ON x.lang = c.lang AND x.phrase = head
+    JOIN gram AS y ON y.lang = c.lang AND y.phrase = rest JOIN total AS t ON t.lang = c.lang
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), held AS (
+    SELECT DISTINCT c.lang, c.phrase FROM gram AS c JOIN gram AS d ON c.lang = d.lang AND c.f = d.f AND c.m < d.m
+    WHERE contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest ANTI JOIN held USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+RANKED = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), total AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM doc WHERE len(w) > 0),
+posting AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM doc) GROUP BY ALL),
+query AS (
+    SELECT item_id, t, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+    ) GROUP BY ALL
+), weight AS (
+    SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT t, count(*) AS df FROM posting GROUP BY 1), total
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) //
+        (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM query JOIN posting USING (t) JOIN weight USING (t), total GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
