@@ -25,11 +25,11 @@ from talkloom.runtime import cut
 # Cells that n-grams are hashed to; n-grams of one to WORDS tokens and of one to SHAPES shapes.
 CELLS, WORDS, SHAPES = 1 << 18, 2, 3
 # Labelled texts that are learned from, at most: those whose ids have the smallest hashes.
-SAMPLE = 32_768
+SAMPLE = 16_384
 # Shards are run through in parallel, ROUNDS times.
-SHARDS, ROUNDS = 4, 4
+SHARDS, ROUNDS = 4, 12
 # Rate, its damping, and the penalties on absolute and squared weights.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 1e-4
 # Texts are hashed together up to so many bytes, in segments if one is longer.
 CHUNK_BYTES = 1 << 18
 
