@@ -17,9 +17,11 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +44,11 @@ _TABLE = bytes(
 )  # ends of pieces as line feeds, tabs as blanks, A-Z as a-z
 _BREAK = re.compile(b"[ \n]")
 
-_WORDS = "block bigint, places binary, words array<struct<lang:string,word:binary,n:bigint>>"
+_WORDS = "block bigint, places binary, hashes binary, counts binary, words array<binary>, totals array<struct<lang:string,n:bigint>>"
 _PHRASES = "block bigint, places binary, prefixes binary, suffixes binary, counts binary"
-_MARKS = "bucket int, block bigint, bits binary, ids binary, prefixes binary, suffixes binary, counts binary"
+_MARKS = "bucket int, block bigint, bits binary, ranks binary, words array<binary>, prefixes binary, suffixes binary, counts binary"
+# Behind a language in the bytes that stand for one of its words; UTF-8 has no such byte.
+_OF = b"\xff"
 
 
 class _Block:
@@ -60,11 +64,20 @@ class _Block:
             self.places.append(-1)
 
     def row(self, block: int) -> tuple:
+        """The block with its words in the order of their hashes."""
         places = np.frombuffer(self.places, np.int32)
-        named = sorted((code, lang, word) for lang, known in self.words.items() for word, code in known.items())
-        counts = np.bincount(places[places >= 0], minlength=len(named)).tolist()
-        words = [{"lang": lang, "word": word, "n": counts[code]} for code, lang, word in named]
-        return block, places.astype("<i4").tobytes(), words
+        named = [(code, lang.encode() + _OF + word) for lang, known in self.words.items() for word, code in known.items()]
+        codes = np.array([code for code, _ in named])
+        hashes = np.array([xxhash.xxh3_64_intdigest(word) for _, word in named], np.uint64)
+        counts = np.bincount(places[places >= 0], minlength=len(named))
+        order = np.argsort(hashes, kind="stable")
+        rank = np.full(len(named) + 1, -1, np.int32)
+        rank[codes[order]] = np.arange(len(named), dtype=np.int32)
+        totals = [{"lang": lang, "n": int(counts[list(known.values())].sum())} for lang, known in self.words.items() if known]
+        return (
+            block, rank[places].astype("<i4").tobytes(), hashes[order].astype("<u8").tobytes(),
+            counts[codes[order]].astype("<i4").tobytes(), [named[i][1] for i in order], totals,
+        )
 
 
 def _read_words(rows: Iterable[tuple], block_words: int) -> Iterator[tuple]:
@@ -112,78 +125,129 @@ def _join(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
 def _joined(block: int, places: bytes, ids: np.ndarray) -> Iterator[tuple]:
     longer, prefixes, suffixes, counts = _join(np.frombuffer(places, "<i4"), ids)
     if len(counts):
-        yield block, longer.astype("<i4").tobytes(), *(x.astype("<i8").tobytes() for x in (prefixes, suffixes, counts))
+        yield block, *(x.tobytes() for x in (longer, prefixes, suffixes, counts.astype("<i4")))
 
 
-def _judge(group: pd.DataFrame, least: int) -> Iterator[tuple]:
-    """Adds the counts that the blocks sent to a bucket: the frequent phrases' ids for each block, and the phrases."""
-    bucket = int(group["bucket"].iloc[0])
-    prefixes, suffixes, counts = (
-        np.concatenate([np.frombuffer(x, "<i8") for x in group[c]]) for c in ("prefixes", "suffixes", "counts")
-    )
+def _groups(group: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the group of each phrase (or word) that the blocks sent to a bucket, and a phrase of each group."""
+    if kind == "word":
+        number, _ = pd.factorize(np.concatenate([np.array([*w, None], object)[:-1] for w in group["words"]]))
+        return number, np.unique(number, return_index=True)[1]
+    prefixes, suffixes = (np.concatenate([np.frombuffer(x, kind) for x in group[c]]) for c in ("prefixes", "suffixes"))
     order = np.lexsort((suffixes, prefixes))
     new = np.ones(len(order), bool)
     new[1:] = (prefixes[order[1:]] != prefixes[order[:-1]]) | (suffixes[order[1:]] != suffixes[order[:-1]])
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(counts[order], first)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _judge(group: pd.DataFrame, least: int, kind: str) -> Iterator[tuple]:
+    """Adds the counts that the blocks sent to a bucket: the frequent phrases' ranks in the bucket for each block, and the
+    phrases themselves in the order of their ranks."""
+    bucket, counts = int(group["bucket"].iloc[0]), np.concatenate([np.frombuffer(x, "<i4") for x in group["counts"]])
+    number, first = _groups(group, kind)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, number, counts)
     frequent = total >= least
-    id_of = np.where(frequent, (bucket << 32) + np.cumsum(frequent) - 1, -1)
-    ids = np.empty(len(order), np.int64)
-    ids[order] = id_of[np.cumsum(new) - 1]
+    ranks = np.where(frequent, np.cumsum(frequent) - 1, -1)[number].astype("<i4")
     end = 0
     for block, sent in zip(group["block"], group["counts"], strict=True):
-        start, end = end, end + len(sent) // 8
-        own = ids[start:end]
+        start, end = end, end + len(sent) // 4
+        own = ranks[start:end]
         if (own >= 0).any():
-            yield bucket, block, np.packbits(own >= 0).tobytes(), own[own >= 0].astype("<i8").tobytes(), None, None, None
-    at = order[first[frequent]]
-    yield bucket, None, None, None, prefixes[at].tobytes(), suffixes[at].tobytes(), total[frequent].tobytes()
-
-
-def _ids(prefixes: bytes, suffixes: bytes, marks: list[dict], n_buckets: int) -> np.ndarray:
-    """Ids of a block's phrases, -1 where they aren't frequent."""
-    keys = _key(np.frombuffer(prefixes, "<i8"), np.frombuffer(suffixes, "<i8"))
-    ids, sent = np.full(len(keys), -1, np.int64), {m["bucket"]: m for m in marks}
-    for bucket, part in slices(keys, n_buckets):
+            yield bucket, block, np.packbits(own >= 0).tobytes(), own[own >= 0].tobytes(), None, None, None, None
+    at, packed = first[frequent], (None, None, None)
+    if kind == "word":
+        words = list(itertools.chain.from_iterable(group["words"]))
+        packed = [words[i] for i in at], None, None
+    else:
+        packed = None, *(np.concatenate([np.frombuffer(x, kind) for x in group[c]])[at].tobytes() for c in ("prefixes", "suffixes"))
+    yield bucket, None, None, None, *packed, total[frequent].astype("<i8").tobytes()
+
+
+def _ids(keys: np.ndarray, marks: list[dict] | None, offsets: np.ndarray, kind: str) -> np.ndarray:
+    """Ids of a block's phrases with these hashes, -1 where they aren't frequent."""
+    ids, sent = np.full(len(keys), -1, kind), {m["bucket"]: m for m in marks or []}
+    for bucket, part in slices(keys, len(offsets)):
         if bucket in sent:
             mask = np.unpackbits(np.frombuffer(sent[bucket]["bits"], np.uint8))[: part.stop - part.start].astype(bool)
-            ids[part][mask] = np.frombuffer(sent[bucket]["ids"], "<i8")
+            ids[part][mask] = offsets[bucket] + np.frombuffer(sent[bucket]["ranks"], "<i4")
     return ids
 
 
-def _count(relation: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """Frequent phrases of a relation and their ids for each block, as rows of _MARKS; the number of buckets."""
-    spark = relation.sparkSession
-    sent_bytes = 3 * (relation.agg(F.sum(F.octet_length("counts"))).first()[0] or 0)
+@dataclass
+class _Counted:
+    """Frequent phrases of one length as their buckets found them."""
+
+    rows: DataFrame  # of _MARKS
+    offsets: np.ndarray  # id of the first phrase of each bucket
+    kind: str  # of ids: four bytes while those do
+    sides: str  # of the ids that the phrases were joined from
+
+    @property
+    def marks(self) -> DataFrame:
+        sent = self.rows.where("block IS NOT NULL").groupBy("block")
+        return cut(sent.agg(F.collect_list(F.struct("bucket", "bits", "ranks")).alias("marks")), "marks")
+
+    @property
+    def phrases(self) -> DataFrame:
+        """id, a (the count), the word with its language or else the ids of the phrases that were joined."""
+        offsets, kind = self.offsets, self.sides
+
+        def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+            for bucket, words, prefixes, suffixes, counts in rows:
+                counts, at = np.frombuffer(counts, "<i8").tolist(), int(offsets[bucket])
+                sides = [[None] * len(counts) if x is None else np.frombuffer(x, kind).tolist() for x in (prefixes, suffixes)]
+                yield from zip(itertools.count(at), counts, words or [None] * len(counts), *sides)
+
+        packed = self.rows.where("block IS NULL").select("bucket", "words", "prefixes", "suffixes", "counts")
+        return map_rows(packed, run, "id bigint, a bigint, word binary, prefix bigint, suffix bigint")
+
+
+def _count(relation: DataFrame, least: int, kind: str) -> _Counted:
+    """Frequent phrases of a relation; `kind` is that of the ids they were joined from, or `word`."""
+    spark, is_word = relation.sparkSession, kind == "word"
+    held = [F.octet_length("counts"), F.octet_length("hashes" if is_word else "prefixes")]
+    sent_bytes = 2 * (relation.agg(F.sum(held[0] + held[1])).first()[0] or 0)
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sent_bytes // BUCKET_BYTES + 1)
 
     def send(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for block, *packed in rows:
-            prefixes, suffixes, counts = (np.frombuffer(x, "<i8") for x in packed)
-            for bucket, part in slices(_key(prefixes, suffixes), n_buckets):
-                yield bucket, block, prefixes[part].tobytes(), suffixes[part].tobytes(), counts[part].tobytes()
+        for block, counts, *packed in rows:
+            counts = np.frombuffer(counts, "<i4")
+            if is_word:
+                words, keys = packed[0], np.frombuffer(packed[1], "<u8")
+                for bucket, part in slices(keys, n_buckets):
+                    yield bucket, block, words[part], None, None, counts[part].tobytes()
+            else:
+                prefixes, suffixes = (np.frombuffer(x, kind) for x in packed)
+                for bucket, part in slices(_key(prefixes, suffixes), n_buckets):
+                    yield bucket, block, None, prefixes[part].tobytes(), suffixes[part].tobytes(), counts[part].tobytes()
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_judge(group, least)), columns=[c.split()[0] for c in _MARKS.split(", ")])
+        return pd.DataFrame(list(_judge(group, least, kind)), columns=[c.split()[0] for c in _MARKS.split(", ")])
 
+    columns = ["words", "hashes"] if is_word else ["prefixes", "suffixes"]
     sent = map_rows(
-        relation.select("block", "prefixes", "suffixes", "counts"), send,
-        "bucket int, block bigint, prefixes binary, suffixes binary, counts binary",
+        relation.select("block", "counts", *columns), send,
+        "bucket int, block bigint, words array<binary>, prefixes binary, suffixes binary, counts binary",
     )
-    return cut(sent.groupBy("bucket").applyInPandas(judge, _MARKS), "phrase-counts"), n_buckets
-
-
-def _phrases(marks: DataFrame) -> DataFrame:
-    """Frequent phrases: id, the ids they were joined from, count."""
-
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for bucket, *packed in rows:
-            columns = (np.frombuffer(x, "<i8").tolist() for x in packed)
-            for rank, (prefix, suffix, n) in enumerate(zip(*columns, strict=True)):
-                yield (bucket << 32) + rank, prefix, suffix, n
-
-    packed = marks.where("block IS NULL").select("bucket", "prefixes", "suffixes", "counts")
-    return map_rows(packed, run, "id bigint, prefix bigint, suffix bigint, a bigint")
+    rows = cut(sent.groupBy("bucket").applyInPandas(judge, _MARKS), "phrase-counts")
+    sizes = np.zeros(n_buckets + 1, np.int64)
+    for r in rows.where("block IS NULL").select("bucket", (F.octet_length("counts") / 8).cast("int").alias("n")).collect():
+        sizes[r["bucket"] + 1] = r["n"]
+    ends = np.cumsum(sizes)
+    return _Counted(rows, ends[:-1], "<i4" if ends[-1] < 1 << 31 else "<i8", "<i8" if is_word else kind)
+
+
+def _first(words: DataFrame) -> DataFrame:
+    """Frequent words as the shortest phrases."""
+    of = F.expr("position(X'FF', word)")
+    lang, word = F.expr("substring(word, 1, of - 1)").cast("string"), F.expr("substring(word, of + 1)").cast("string")
+    none = F.array().cast("array<bigint>")
+    return words.withColumn("of", of).select(
+        "id", "a", lang.alias("lang"), word.alias("phrase"), word.alias("last"), none.alias("ls"), none.alias("rs")
+    )
 
 
 def _named(phrases: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -239,50 +303,30 @@ def collocations(
     """
     spark = docs.sparkSession
     read = docs.select(F.coalesce(docs[lang].cast("string"), F.lit(UNKNOWN)).alias("lang"), utf8(text).alias("text"))
-    path = scratch_path(spark, "occurrences")
-    map_rows(read, lambda rows: _read_words(rows, block_words), _WORDS).write.options(**_FILES).parquet(path)
-    blocks = spark.read.schema(_WORDS).parquet(path)
-
-    words = blocks.select("block", F.posexplode("words").alias("code", "w")).select("block", "code", "w.*")
-    totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-    counted = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    frequent = cut(counted.withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    kept = lookup_join(words.drop("n"), frequent.drop("a"), ["lang", "word"])
-    marks = cut(kept.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("marks")), "marks")
-    marked = lookup_join(
-        blocks.select("block", "places", F.size("words").alias("n_words")), marks, "block", hot=False
-    )
 
-    def pairs(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for block, places, n_words, found in rows:
-            ids = np.full(n_words, -1, np.int64)
-            ids[[m["code"] for m in found]] = [m["id"] for m in found]
-            yield from _joined(block, places, ids)
+    def kept(rows: DataFrame, schema: str) -> DataFrame:
+        path = scratch_path(spark, "occurrences")
+        rows.write.options(**_FILES).parquet(path)
+        return spark.read.schema(schema).parquet(path)
 
-    word = F.col("word").cast("string")
-    none = F.array().cast("array<bigint>")
-    levels = [
-        cut(frequent.select("id", "a", "lang", word.alias("phrase"), word.alias("last"), none.alias("ls"), none.alias("rs")),
-            "phrases")
-    ]
-    longer = map_rows(marked, pairs, _PHRASES)
+    relation = kept(map_rows(read, lambda rows: _read_words(rows, block_words), _WORDS), _WORDS)
+    totals = relation.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
+    totals = cut(totals, "word-totals")
+    counted = _count(relation, least, "word")
+    levels = [cut(_first(counted.phrases), "phrases")]
     for length in range(2, longest + 1):
-        path = scratch_path(spark, f"occurrences-{length}")
-        longer.write.options(**_FILES).parquet(path)
-        relation = spark.read.schema(_PHRASES).parquet(path)
-        found, n_buckets = _count(relation, least)
-        levels.append(cut(_named(_phrases(found), levels[-1]), "phrases"))
-        if length == longest:
-            break
-        sent = found.where("block IS NOT NULL").groupBy("block")
-        marks = cut(sent.agg(F.collect_list(F.struct("bucket", "bits", "ids")).alias("marks")), "marks")
-        marked = lookup_join(relation.drop("counts"), marks, "block", hot=False)
-
-        def extended(rows: Iterable[tuple], n_buckets: int = n_buckets) -> Iterator[tuple]:
-            for block, places, prefixes, suffixes, found in rows:
-                yield from _joined(block, places, _ids(prefixes, suffixes, found, n_buckets))
-
-        longer = map_rows(marked, extended, _PHRASES)
+        columns = ["hashes"] if length == 2 else ["prefixes", "suffixes"]
+        marked = lookup_join(relation.select("block", "places", *columns), counted.marks, "block", hot=False)
+
+        def longer(rows: Iterable[tuple], counted: tuple = (counted.offsets, counted.kind, counted.sides)) -> Iterator[tuple]:
+            offsets, kind, sides = counted
+            for block, places, *packed, marks in rows:
+                keys = np.frombuffer(packed[0], "<u8") if len(packed) == 1 else _key(*(np.frombuffer(x, sides) for x in packed))
+                yield from _joined(block, places, _ids(keys, marks, offsets, kind))
+
+        relation, kind = kept(map_rows(marked, longer, _PHRASES), _PHRASES), counted.kind
+        counted = _count(relation, least, kind)
+        levels.append(cut(_named(counted.phrases.drop("word"), levels[-1]), "phrases"))
 
     candidates = None
     for level, above in zip(levels[1:], [*levels[2:], None], strict=True):

@@ -3,10 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from cases import odd_texts
 
-from talkloom.llm.collocations import _join, _judge, collocations
-from talkloom.llm.exchange import slices
+from talkloom.llm.collocations import _ids, _join, _judge, collocations
 
 SCHEMA = "doc_id string, text string, lang string, block int, words string, places string, n double, id int"
 
@@ -92,19 +92,33 @@ def test_join_keeps_places():
     assert at == {0: (70, 90), 1: (90, 70), 2: (70, 90), 7: (50, 50)}
 
 
-def test_bucket_adds_counts():
-    import pandas as pd
+def pack(x, kind="<i4"):
+    return np.array(x, kind).tobytes()
 
-    def pack(x):
-        return np.array(x, "<i8").tobytes()
 
+def test_bucket_adds_counts():
     group = pd.DataFrame({
         "bucket": [3, 3], "block": [10, 11], "prefixes": [pack([1, 1, 2]), pack([2, 1])], "suffixes": [pack([5, 6, 5]), pack([5, 7])],
         "counts": [pack([4, 1, 6]), pack([4, 10])],
     })
-    *blocks, phrases = _judge(group, 10)
-    read = [np.frombuffer(x, "<i8").tolist() for x in phrases[4:]]
-    assert read == [[1, 2], [7, 5], [10, 10]]
-    base = 3 << 32
-    assert [(b[1], np.frombuffer(b[3], "<i8").tolist()) for b in blocks] == [(10, [base + 1]), (11, [base + 1, base])]
-    assert list(slices(np.array([0, 1 << 62, 1 << 63], np.uint64), 2)) == [(0, slice(0, 2)), (1, slice(2, 3))]
+    *blocks, phrases = _judge(group, 10, "<i4")
+    assert [np.frombuffer(x, k).tolist() for x, k in zip(phrases[5:], ("<i4", "<i4", "<i8"))] == [[1, 2], [7, 5], [10, 10]]
+    assert [(b[1], np.frombuffer(b[3], "<i4").tolist()) for b in blocks] == [(10, [1]), (11, [1, 0])]
+    # Eight bytes an id give the same.
+    wide = group.assign(**{c: [pack(np.frombuffer(x, "<i4"), "<i8") for x in group[c]] for c in ("prefixes", "suffixes")})
+    assert [b[:4] for b in _judge(wide, 10, "<i8")] == [b[:4] for b in [*blocks, phrases]]
+
+
+def test_bucket_adds_counts_of_words():
+    words = [[b"en\xffa", b"de\xffa"], [b"de\xffa"]]
+    group = pd.DataFrame({"bucket": [0, 0], "block": [1, 2], "words": words, "counts": [pack([9, 5]), pack([5])]})
+    *blocks, found = _judge(group, 10, "word")
+    assert found[4] == [b"de\xffa"] and np.frombuffer(found[7], "<i8").tolist() == [10]
+    assert [(b[1], np.unpackbits(np.frombuffer(b[2], np.uint8))[:2].tolist()) for b in blocks] == [(1, [0, 1]), (2, [1, 0])]
+
+
+def test_ids_of_a_block():
+    keys = np.array([1, 2, 1 << 63, (1 << 63) + 5], np.uint64)
+    marks = [{"bucket": 1, "bits": np.packbits([False, True]).tobytes(), "ranks": pack([4])}]
+    assert _ids(keys, marks, np.array([0, 100]), "<i4").tolist() == [-1, -1, -1, 104]
+    assert _ids(keys, None, np.array([0, 100]), "<i8").tolist() == [-1] * 4
