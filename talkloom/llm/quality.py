@@ -12,15 +12,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm.segments import segments
 from talkloom.llm.tables import keyed, map_rows
 from talkloom.llm.words import BASE, INVERSE, chunks, mix, power
-from talkloom.runtime import cut
+from talkloom.runtime import cut, scratch_path
 
 # Cells that n-grams are hashed to; n-grams of one to WORDS tokens and of one to SHAPES shapes.
 CELLS, WORDS, SHAPES = 1 << 18, 2, 3
@@ -136,8 +137,8 @@ def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def _features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, cells: int) -> DataFrame:
-    """Different labelled texts as sparse vectors, with the mean of their labels."""
+def _features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, cells: int) -> str:
+    """Writes the different labelled texts as sparse vectors, with the mean of their labels, by shard; the folder."""
     known = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("binary").alias("text"))
     joined = known.where("text IS NOT NULL").join(F.broadcast(labels), "doc_id").select(
         F.xxhash64("text").alias("order"), "label", "text"
@@ -154,7 +155,23 @@ def _features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, cells:
     merged = found.groupBy("order").agg(
         F.avg("label").alias("label"), F.first("cells").alias("cells"), F.first("values").alias("values")
     )
-    return cut(merged.withColumn("shard", F.pmod("order", F.lit(SHARDS)).cast("int")), "labelled-vectors")
+    path = scratch_path(docs.sparkSession, "labelled-vectors")
+    sharded = merged.withColumn("shard", F.pmod("order", F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard")
+    sharded.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return path
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled vectors, each shard in one task in the order of its hashes; read anew every round, without a shuffle."""
+    kind = "order bigint, label double, cells binary, `values` binary"
+    numbers = [r["shard"] for r in spark.read.schema(f"{kind}, shard int").parquet(path).select("shard").distinct().collect()]
+    shards = [
+        spark.read.schema(kind).parquet(f"{path}/shard={n}").coalesce(1).sortWithinPartitions("order").select(
+            F.lit(n).alias("shard"), "label", "cells", "values"
+        )
+        for n in sorted(numbers)
+    ]
+    return reduce(DataFrame.unionByName, shards) if shards else spark.createDataFrame([], f"shard int, {kind}").drop("order")
 
 
 def sampled(labels: DataFrame, doc_id: str, label: str, sample: int) -> DataFrame:
@@ -187,7 +204,7 @@ def fit(
     and all scores one half. Each round the driver gets the state of each of SHARDS shards, two numbers per cell.
     """
     chosen = sampled(labels, doc_id, label, sample)
-    rows = _features(docs, chosen, doc_id, text, cells).repartition(SHARDS, "shard").sortWithinPartitions("shard", "order")
+    rows = _shards(docs.sparkSession, _features(docs, chosen, doc_id, text, cells))
     state = Leader.new(cells)
     for _ in range(rounds):
 
@@ -203,7 +220,7 @@ def fit(
             if shard is not None:
                 yield shard, own.z.astype("<f8").tobytes(), own.n.astype("<f8").tobytes()
 
-        states = map_rows(rows.select("shard", "label", "cells", "values"), run, "shard int, z binary, n binary").collect()
+        states = map_rows(rows, run, "shard int, z binary, n binary").collect()
         if not states:
             break
         states.sort(key=lambda r: r["shard"])
