@@ -52,7 +52,7 @@ def test_far_blocks_are_skipped(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(100 * c, 0.1, size=(100, 4)) for c in range(6)])
     rows = frame(spark, x, "key")
-    packed = blocks.pack_blocks(knn._with_cells(rows, len(x), 42), "key", ["vec"], "cell")
+    packed = blocks.pack_blocks(knn.with_cells(rows, len(x), 42), "key", ["vec"], "cell")
     packed = packed.cache()
     pairs = knn._near_pairs(knn._block_bounds(packed, 5)).count()
     n = packed.count()
@@ -306,6 +306,27 @@ def test_links_between_trees_complete_the_spanning_tree(spark, monkeypatch, metr
     assert total * (1 - 1e-9) <= sum(r["w"] for r in tree) < 1.02 * total
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_linking_skips_blocks_that_are_too_far(spark, monkeypatch, metric):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    angle = np.linspace(0.05, 1.5, 24)[:, None] + rng.normal(0, 0.004, size=(24, 25))
+    x = np.column_stack([np.cos(angle.ravel()), np.sin(angle.ravel())]) * rng.uniform(1, 1.001, size=(600, 1))
+    points = frame(spark, x)
+    core = points.select("k", F.lit(0.0).alias("core"))
+    trees = points.select(F.col("k").alias("node"), F.floor(F.col("k") / 25).alias("comp"))
+    counts = []
+    links = density.link_trees(points, "k", "vec", core, trees, metric, counts).collect()
+    d = distances(x, metric)
+    groups = np.arange(600) // 25
+    between = [[d[np.ix_(groups == a, groups == b)].min() for b in range(24)] for a in range(24)]
+    every = [{"u": a, "v": b, "w": between[a][b]} for a, b in itertools.combinations(range(24), 2)]
+    n, total = brute_forest(every)
+    assert len(links) == n == 23 and sum(r["w"] for r in links) == pytest.approx(total)
+    assert sum(compared for compared, _ in counts) < 0.5 * sum(possible for _, possible in counts)
+
+
 def exact_clusters(x, min_samples, min_size):
     """Every merge of the full hierarchy, by plain union of sorted edges: the most stable clusters as sets."""
     d = distances(x, "euclidean")
