@@ -206,10 +206,10 @@ QUERIES = {
         "SELECT doc_id, text FROM documents",
     ),
     "scan_limited": (
-        lambda s, d: sources.scan_columns(s, f"{d}/documents.parquet", ["doc_id", "text"], limit=None).select(
+        lambda s, d: sources.scan_columns(s, f"{d}/documents.parquet", ["doc_id", "text"], limit=50_000, order="doc_id").select(
             "doc_id", F.char_length("text").cast("bigint").alias("n_chars")
         ),
-        "SELECT doc_id, length(text) AS n_chars FROM documents",
+        "SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY doc_id LIMIT 50000",
     ),
     "parquet_param_sql": (
         lambda s, d: sources.query_file(

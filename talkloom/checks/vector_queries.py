@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from talkloom.checks.document_queries import documents, lemmatised, texts
 from talkloom.checks.oracles import VECTORS
-from talkloom.functions.vectors import ml_vectors
-from talkloom.operators import density, embed, kmeans, knn, profile, reduce
+from talkloom.functions.vectors import as_doubles, ml_vectors
+from talkloom.operators import density, embed, kmeans, knn, minibatch, profile, reduce
 from talkloom.operators import tfidf as features
 from talkloom.plans.cluster import cluster_embeddings, cluster_tfidf, cluster_tfidf_by_density, describe
 from talkloom.runtime import cut
@@ -173,11 +173,50 @@ def kmeans_rows(spark, sf):
     )
 
 
+def seeds(spark, sf, k) -> np.ndarray:
+    """Given seeds: the first k embeddings."""
+    rows = embeddings(spark, sf).orderBy(KEY).select(as_doubles(VEC)).limit(k).collect()
+    return np.array([r[0] for r in rows])
+
+
 def sweep(spark, sf):
-    """Which k were tried, and whether more clusters than one bring the inertia down."""
-    whole = kmeans.inertia_of_one(ml(spark, sf))
-    swept = kmeans.kmeans_sweep(ml(spark, sf), range(10, 25), KEY)
-    return swept.select("k", F.col("inertia").between(0.0, whole).alias("below_one"))
+    """Inertia of each k after three rounds of mini-batches from given seeds."""
+    swept = minibatch.minibatch_kmeans_sweep(
+        embeddings(spark, sf), range(10, 25), KEY, VEC, batch_size=10_000, max_iter=3, seeds=seeds(spark, sf, 24), starved_below=0
+    )
+    return swept.withColumn("inertia", F.round("inertia", 4))
+
+
+def minibatch_steps(spark, sf):
+    """Centres after a step on each of four given batches, which are all rows, from given seeds."""
+    points, models = embeddings(spark, sf), [minibatch.Centres.at(seeds(spark, sf, 10))]
+    for number in range(4):
+        models = minibatch.minibatch_update(points.where(F.pmod(KEY, F.lit(4)) == number), models, VEC)
+    rows = [
+        (c, i + 1, round(float(x), 6), int(models[0].seen[c])) for c, centre in enumerate(models[0].points) for i, x in enumerate(centre)
+    ]
+    return spark.createDataFrame(rows, "cluster bigint, axis bigint, x double, seen bigint")
+
+
+def minibatch_rows(spark, sf):
+    """Mini-batches with seeds of their own: clusters, rows, rows that are nearer to another centre, and inertia against the
+    sum of squared distances."""
+    fitted = minibatch.minibatch_kmeans(embeddings(spark, sf), 10, KEY, VEC, batch_size=256)
+    centres = [(i, c.tolist()) for i, c in enumerate(fitted.models[10].points)]
+    nearest = kmeans.assign_clusters(
+        embeddings(spark, sf), spark.createDataFrame(centres, "cluster int, centre array<double>"), KEY, VEC
+    )
+    both = nearest.withColumnRenamed("cluster", "nearest").join(fitted.labels(10), KEY)
+    return both.agg(
+        F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+        F.sum((F.col("nearest") != F.col("cluster")).cast("bigint")).alias("n_nearer"),
+        (F.abs(F.sum(F.pow("distance", F.lit(2))) / fitted.inertia[10] - 1) < 1e-6).alias("is_inertia"),
+    )
+
+
+def density_labels(spark, sf):
+    """Density clusters of the embeddings, noise -1."""
+    return density.label_clusters(hierarchy(spark, sf), 8)
 
 
 def best_k(spark, sf):
@@ -312,6 +351,25 @@ SELECT e.u AS u, e.v AS v, round(e.w, 6) AS w FROM grown WHERE e IS NOT NULL"""
 
 XY = "xy AS (SELECT vec_id, label AS cluster, v[1] * 100 AS x, v[2] * 100 AS y FROM vectors)"
 
+
+
+def _nearest(step: int, where: str = "true") -> str:
+    return f"""SELECT k, vec_id, min({{'d': list_distance(v, centre), 'c': cluster}}) AS near
+        FROM vectors CROSS JOIN c{step} WHERE {where} GROUP BY k, vec_id"""
+
+
+def _step(step: int, where: str = "true") -> str:
+    """A step of mini-batch k-means on the rows of a condition, from centres c<step> to c<step + 1>."""
+    return f"""near{step} AS MATERIALIZED ({_nearest(step, where)}),
+        sum{step} AS (SELECT k, near.c AS cluster, i, sum(x) AS s, count(*) AS n
+                      FROM near{step} JOIN comp USING (vec_id) GROUP BY ALL),
+        tot{step} AS (SELECT k, cluster, list(s ORDER BY i) AS s, min(n) AS n FROM sum{step} GROUP BY ALL),
+        c{step + 1} AS MATERIALIZED (
+            SELECT k, cluster, seen + coalesce(n, 0) AS seen, CASE WHEN n IS NULL THEN centre ELSE list_transform(
+                list_zip(centre, s), lambda z: z[1] + (z[2] - n * z[1]) / (seen + n)) END AS centre
+            FROM c{step} LEFT JOIN tot{step} USING (k, cluster))"""
+
+
 QUERIES = {
     "cluster_cohesion": (
         cohesion,
@@ -377,7 +435,27 @@ QUERIES = {
     "kmeans": (
         kmeans_rows, "SELECT count(*) AS n_rows, 10 AS n_clusters, 0 AS n_nearer, true AS is_inertia FROM embeddings",
     ),
-    "kmeans_sweep": (sweep, "SELECT k, true AS below_one FROM range(10, 25) AS t(k)"),
+    "kmeans_sweep": (
+        sweep,
+        _v(f""", comp AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+        seed AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cluster, v FROM vectors QUALIFY cluster < 24),
+        c0 AS (SELECT k, cluster, 0 AS seen, v AS centre FROM range(10, 25) AS t(k) JOIN seed ON cluster < k),
+        {", ".join(_step(s) for s in range(3))}, last AS ({_nearest(3)})
+        SELECT k, round(sum(near.d * near.d), 4) AS inertia FROM last GROUP BY k"""),
+    ),
+    "minibatch_steps": (
+        minibatch_steps,
+        _v(f""", comp AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+        c0 AS (SELECT 10 AS k, row_number() OVER (ORDER BY vec_id) - 1 AS cluster, 0 AS seen, v AS centre FROM vectors
+               QUALIFY cluster < 10),
+        {", ".join(_step(s, f"vec_id % 4 = {s}") for s in range(4))}
+        SELECT cluster, generate_subscripts(centre, 1) AS axis, round(unnest(centre), 6) AS x, CAST(seen AS BIGINT) AS seen
+        FROM c4"""),
+    ),
+    "minibatch_kmeans": (
+        minibatch_rows,
+        "SELECT count(*) AS n_rows, 10 AS n_clusters, 0 AS n_nearer, true AS is_inertia FROM embeddings",
+    ),
     "kmeans_best_k": (
         best_k,
         """WITH comp AS (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
@@ -398,7 +476,8 @@ QUERIES = {
         SELECT measure, round(avg(coalesce((b_out - a_in) / greatest(a_in, b_out), 0)), 6) AS silhouette
         FROM ab GROUP BY measure"""),
     ),
-    "hdbscan": (grid_clusters, "SELECT vec_id, min(vec_id) OVER (PARTITION BY vec_id % 5) AS first_id FROM embeddings"),
+    "hdbscan": (density_labels, None),
+    "hdbscan_grid": (grid_clusters, "SELECT vec_id, min(vec_id) OVER (PARTITION BY vec_id % 5) AS first_id FROM embeddings"),
     "hdbscan_sweep": (
         swept_sizes, "SELECT min_cluster_size, true AS in_range, true AS fits FROM range(4, 12) AS t(min_cluster_size)",
     ),

@@ -55,8 +55,8 @@ def lemma_dict_and_vocab(
 def lemmatize_tokens(df: DataFrame, token_columns: str | list[str], lemmas: DataFrame, key: str) -> DataFrame:
     """Replace tokens by their lemma; tokens that are not listed stay, order and repetitions too.
 
-    Lists are taken apart and rebuilt under a number that each row gets, so `key` may be null or repeated; only lists
-    that hold a changed token travel, and other columns join them by that number. A row's list is the largest group.
+    Lists are taken apart and rebuilt under a number that each row gets, so `key` may be null or repeated; the rebuilt
+    lists that differ join the other columns by that number. A row's list is the largest group.
     """
     columns = _names(token_columns)
     changes = cut(lemmas.where(F.col("lemma") != F.col("token")).select("token", "lemma"), "lemma-changes")

@@ -227,11 +227,13 @@ def minibatch_kmeans(
     seed: int = 42,
     seeds: np.ndarray | None = None,
     patience: int = PATIENCE,
+    starved_below: float = STARVED,
 ) -> MiniBatches:
     """Mini-batch k-means of `(key, vec)` for one k or several, with at most `max_iter` rounds through the rows.
 
     Given `seeds`, the first k of them start the model for k; else seeds are drawn. A model ends when the running mean of
-    the inertia has not fallen for `patience` steps. Starved centres are put on rows of the batch. Vectors must not be null.
+    the inertia has not fallen for `patience` steps. Centres that have seen less than a share of `starved_below` of the
+    fullest one's rows are put on rows of the batch. Vectors must not be null.
     The driver holds centres only, k times dimensions for each k, and gets as many from each task of a step.
     """
     ks = [ks] if isinstance(ks, int) else sorted(set(ks))
@@ -253,11 +255,11 @@ def minibatch_kmeans(
             if n.sum():
                 models[k] = models[k].move(sums, n)
                 models[k].watch(inertia / n.sum(), weight)
-        starved = [k for k in running if (models[k].seen < STARVED * models[k].seen.max()).any()]
+        starved = [k for k in running if (models[k].seen < starved_below * models[k].seen.max()).any()]
         if starved:
             rows = batches.first_rows(step, max(starved))
             for k in starved:
-                models[k].reseed(rows)
+                models[k].reseed(rows, starved_below)
         running = [k for k in running if models[k].idle < patience]
         step += 1
     whole = _sums(batches.all(), vec, [models[k].points for k in ks])

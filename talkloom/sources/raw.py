@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -54,10 +57,18 @@ def scan_raw(
     return df.withColumnRenamed("language", "lang_conv")
 
 
-def scan_columns(spark: SparkSession, path: str, columns: list[str], limit: int | None = None) -> DataFrame:
-    """Projected scan; `limit` takes any n rows, as a quick look does."""
+def scan_columns(
+    spark: SparkSession, path: str, columns: list[str], limit: int | None = None, order: str | None = None
+) -> DataFrame:
+    """Projected scan; `limit` takes any n rows, as a quick look does, or with `order` the first n by that column. The n-th
+    value is found from that column alone, so that other columns are not sorted."""
     df = spark.read.parquet(path).select(*columns)
-    return df if limit is None else df.limit(limit)
+    if limit is None or order is None:
+        return df if limit is None else df.limit(limit)
+    below = df.select(order).orderBy(order).limit(limit).agg(F.max(order), F.count("*")).first()
+    if below[1] < limit:
+        return df
+    return df.where(F.col(order).isNull() | (F.col(order) <= below[0])).orderBy(order).limit(limit)
 
 
 def query_file(spark: SparkSession, path: str, sql: str, **params) -> DataFrame:
@@ -91,12 +102,45 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return dense_index(terms.distinct(), "term")
 
 
-def load_or_compute(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read a feature table if it was saved at `path`, else compute, save and read it."""
+def fingerprint(spark: SparkSession, inputs: list[str], parameters: dict | None = None) -> str:
+    """Hash of the input files (names, sizes and times of change; nothing of them is read) and the parameters."""
+    known = "path string, modificationTime timestamp, length bigint, content binary"
+    state = hashlib.sha256(json.dumps(parameters or {}, sort_keys=True, default=str).encode())
+    for path in sorted(inputs):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(known).load(path)
+        line = F.concat_ws(" ", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+        # A number per file is added up, so that any number of files needs no list on the driver.
+        low, high = (F.sum(F.xxhash64(F.lit(i), line).cast("decimal(20,0)")) for i in (0, 1))
+        state.update(repr((path, *files.agg(F.count("*"), low, high).first())).encode())
+    return state.hexdigest()
+
+
+def load_or_compute(
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    inputs: list[str] | None = None,
+    parameters: dict | None = None,
+) -> DataFrame:
+    """The feature table below `path` that was built from the same `inputs` (paths) with the same parameters; if there is
+    none, it is built, saved and read.
+
+    Each build has a folder of its own, named by a manifest that is written last: changed inputs or parameters give another
+    table, and a build that was interrupted has no manifest and is made anew.
+    """
+    manifest = f"{path}/manifest-{fingerprint(spark, inputs or [], parameters)}"
+    known = "folder string, kind string"
     try:
-        return spark.read.parquet(path)
+        found = spark.read.schema(known).json(manifest).first()
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    write_table(build(), path)
-    return spark.read.parquet(path)
+        found = None
+    if found is None:
+        table, folder = build(), f"data-{uuid.uuid4().hex}"
+        write_table(table, f"{path}/{folder}")
+        row = [(folder, table.schema.json())]
+        spark.createDataFrame(row, known).coalesce(1).write.mode("overwrite").json(manifest)
+        found = row[0]
+    folder, kind = found
+    return spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(f"{path}/{folder}")

@@ -188,3 +188,39 @@ def test_texts_without_words_have_the_zero_vector(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, "? !"), (3, None), (4, "")], "doc_id bigint, text string")
     found = {r["doc_id"]: sum(abs(x) for x in r["vec"]) for r in embed.embed_by_projection(docs, "text", "doc_id", dim=16).collect()}
     assert sorted(found) == [1, 2, 4] and found[1] > 0 and found[2] == found[4] == 0
+
+
+def test_features_follow_their_inputs(spark, tmp_path):
+    source, store, calls = str(tmp_path / "in"), str(tmp_path / "store"), []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 AS twice")
+
+    def load(**parameters):
+        rows = sources.load_or_compute(spark, store, build, [source], parameters)
+        return sorted(r["twice"] for r in rows.collect())
+
+    spark.range(3).write.parquet(source)
+    assert load() == load() == [0, 2, 4] and len(calls) == 1
+    assert load(width=2) == [0, 2, 4] and len(calls) == 2
+    spark.range(3, 5).write.mode("append").parquet(source)
+    assert load() == [0, 2, 4, 6, 8] and len(calls) == 3
+
+
+def test_interrupted_build_is_made_anew(spark, tmp_path):
+    store = str(tmp_path / "store")
+    fail = F.when(F.col("id") == 1, F.raise_error(F.lit("lost"))).otherwise(F.col("id"))
+    with pytest.raises(Exception, match="lost"):
+        sources.load_or_compute(spark, store, lambda: spark.range(2).select(fail.alias("id")))
+    assert sources.load_or_compute(spark, store, lambda: spark.range(2)).count() == 2
+    empty = sources.load_or_compute(spark, store, lambda: spark.range(0), parameters={"n": 0})
+    assert empty.columns == ["id"] and empty.count() == 0
+
+
+def test_first_rows_by_a_column(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(100).selectExpr("(id * 37) % 100 AS k", "id").repartition(5).write.parquet(path)
+    assert [r["k"] for r in sources.scan_columns(spark, path, ["k", "id"], 7, "k").collect()] == list(range(7))
+    assert sources.scan_columns(spark, path, ["k"], 200, "k").count() == 100
+    assert sources.scan_columns(spark, path, ["k"], 5).count() == 5
