@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from talkloom.checks.document_queries import documents, lemmatised, texts
 from talkloom.checks.oracles import VECTORS
 from talkloom.functions.vectors import as_doubles, ml_vectors
-from talkloom.operators import density, embed, kmeans, knn, minibatch, profile, reduce
+from talkloom.operators import density, descent, embed, kmeans, knn, minibatch, profile, reduce
 from talkloom.operators import tfidf as features
 from talkloom.plans.cluster import cluster_embeddings, cluster_tfidf, cluster_tfidf_by_density, describe
 from talkloom.runtime import cut
@@ -66,6 +66,12 @@ def knn_query(spark, sf):
     )
 
 
+def approximate(spark, sf):
+    """Neighbours by descent, with the recall measured on a sample."""
+    found = descent.approximate_knn(embeddings(spark, sf), 10, KEY, VEC, "cosine")
+    return found.lists.withColumn("recall", F.lit(found.recall))
+
+
 def core(spark, sf):
     return density.core_distances(euclidean(spark, sf), 10, KEY).withColumn("core", F.round("core", 6))
 
@@ -404,6 +410,7 @@ QUERIES = {
         _v("""SELECT a AS vec_id, b AS neighbour, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank,
         round(1 - cosine, 6) AS distance FROM pairs QUALIFY rank <= 10"""),
     ),
+    "approximate_neighbours": (approximate, None),
     "core_distances": (core, _v(f", {NEAR} SELECT a AS vec_id, round(core, 6) AS core FROM core")),
     "mutual_reachability": (
         reachability,
