@@ -61,7 +61,7 @@ def shingles(text: str | None, size: int = 5) -> set:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def components(rows: list[tuple]) -> list[int]:
+def components(rows: list[tuple], percent: int = 85) -> list[int]:
     """For each row the number of the first row that links reach."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -74,7 +74,7 @@ def components(rows: list[tuple]) -> list[int]:
     for i, a in enumerate(sets):
         for j in range(i):
             common = len(a & sets[j])
-            if a and sets[j] and 100 * common >= 85 * (len(a) + len(sets[j]) - common):
+            if a and sets[j] and 100 * common >= percent * (len(a) + len(sets[j]) - common):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(rows))]
 

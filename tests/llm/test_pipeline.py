@@ -28,13 +28,12 @@ def test_each_stage_on_its_own_input(spark):
     assert known == {i: r for i, r in first.items() if i not in rejected}
 
     left = without_lines([(i, r["text"]) for i, r in known.items()])
-    compared = {i: sum(len(x) >= 16 for x in (r["text"] or "").split("\n")) for i, r in known.items()}
-    kept = {i: t for i, (_, n, t) in left.items() if not n or n < compared[i]}
+    kept = {i: t for i, (_, n, t) in left.items() if not n or t.strip(" \t\n\v\f\r")}
     assert {i: r["text"] for i, r in lined.items()} == kept
     assert all(r["n_chars"] == len(r["text"]) for i, r in lined.items() if left[i][1])
 
     order = sorted(lined)
-    root = components([(i, lined[i]["text"]) for i in order])
+    root = components([(i, lined[i]["text"]) for i in order], pipeline.PERCENT)
     assert single == {order[n]: lined[order[n]] for n, r in enumerate(root) if r == n}
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
