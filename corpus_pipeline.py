@@ -31,9 +31,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one equals or nearly equals; n_chars counts what is left. A document
-    whose every line that is long enough to compare went is a repetition and goes as a whole."""
-    left = remove_lines(docs).where("n_removed = 0 OR n_removed < n_compared")
+    """Documents without the lines that an earlier one equals or nearly equals; n_chars counts what is left. A document that
+    loses lines goes as a whole only if no line with more than white space is left of it."""
+    left = remove_lines(docs).where(F.expr("n_removed = 0") | F.col("kept").rlike(r"[^ \t-\r]"))
     changed = {
         "doc_id": F.col("doc_id"), "text": F.col("kept"),
         "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("rest.n_chars")),
