@@ -4,7 +4,7 @@ A relation holds the occurrences of all phrases of one length, in the order of t
 itself at the next place gives the phrases that are one word longer; they are counted by group over all relations, and
 occurrences of groups below the least count leave before the next join. Words and phrases are counted per language.
 
-The relations lie in blocks of about four million words: an array of places, holding a block's own number of the phrase that
+The relations lie in blocks of about two million words: an array of places, holding a block's own number of the phrase that
 begins there, or -1. Blocks send each of their different phrases once, with its count, to a bucket, which adds the counts
 and gives frequent phrases an id. A phrase is the pair of the ids of the two phrases that it was joined from, so nothing is
 decided by a hash alone.
@@ -33,7 +33,7 @@ from talkloom.llm.words import mix
 from talkloom.runtime import cut, lookup_join, scratch_path, top_n_per_group
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
 UNKNOWN = "und"
 # A block to a row group, since a reader holds one as a whole.
 _FILES = {"parquet.block.row.count.limit": 1, "compression": "zstd"}
@@ -44,11 +44,11 @@ _TABLE = bytes(
 )  # ends of pieces as line feeds, tabs as blanks, A-Z as a-z
 _BREAK = re.compile(b"[ \n]")
 
-_WORDS = "block bigint, places binary, hashes binary, counts binary, words array<binary>, totals array<struct<lang:string,n:bigint>>"
+_WORDS = "block bigint, places binary, hashes binary, counts binary, words binary, totals array<struct<lang:string,n:bigint>>"
 _PHRASES = "block bigint, places binary, prefixes binary, suffixes binary, counts binary"
-_MARKS = "bucket int, block bigint, bits binary, ranks binary, words array<binary>, prefixes binary, suffixes binary, counts binary"
-# Behind a language in the bytes that stand for one of its words; UTF-8 has no such byte.
-_OF = b"\xff"
+_MARKS = "bucket int, block bigint, bits binary, ranks binary, words binary, prefixes binary, suffixes binary, counts binary"
+# Behind a language in the bytes that stand for one of its words, and between words; UTF-8 has no such bytes.
+_OF, _NEXT = b"\xff", b"\xfe"
 
 
 class _Block:
@@ -76,7 +76,7 @@ class _Block:
         totals = [{"lang": lang, "n": int(counts[list(known.values())].sum())} for lang, known in self.words.items() if known]
         return (
             block, rank[places].astype("<i4").tobytes(), hashes[order].astype("<u8").tobytes(),
-            counts[codes[order]].astype("<i4").tobytes(), [named[i][1] for i in order], totals,
+            counts[codes[order]].astype("<i4").tobytes(), _NEXT.join([named[i][1] for i in order]), totals,
         )
 
 
@@ -128,10 +128,14 @@ def _joined(block: int, places: bytes, ids: np.ndarray) -> Iterator[tuple]:
         yield block, *(x.tobytes() for x in (longer, prefixes, suffixes, counts.astype("<i4")))
 
 
+def _words(group: pd.DataFrame) -> list[bytes]:
+    return list(itertools.chain.from_iterable(w.split(_NEXT) for w in group["words"]))
+
+
 def _groups(group: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Number of the group of each phrase (or word) that the blocks sent to a bucket, and a phrase of each group."""
     if kind == "word":
-        number, _ = pd.factorize(np.concatenate([np.array([*w, None], object)[:-1] for w in group["words"]]))
+        number, _ = pd.factorize(np.array([*_words(group), None], object)[:-1])
         return number, np.unique(number, return_index=True)[1]
     prefixes, suffixes = (np.concatenate([np.frombuffer(x, kind) for x in group[c]]) for c in ("prefixes", "suffixes"))
     order = np.lexsort((suffixes, prefixes))
@@ -159,8 +163,8 @@ def _judge(group: pd.DataFrame, least: int, kind: str) -> Iterator[tuple]:
             yield bucket, block, np.packbits(own >= 0).tobytes(), own[own >= 0].tobytes(), None, None, None, None
     at, packed = first[frequent], (None, None, None)
     if kind == "word":
-        words = list(itertools.chain.from_iterable(group["words"]))
-        packed = [words[i] for i in at], None, None
+        words = _words(group)
+        packed = _NEXT.join([words[i] for i in at]), None, None
     else:
         packed = None, *(np.concatenate([np.frombuffer(x, kind) for x in group[c]])[at].tobytes() for c in ("prefixes", "suffixes"))
     yield bucket, None, None, None, *packed, total[frequent].astype("<i8").tobytes()
@@ -199,7 +203,8 @@ class _Counted:
             for bucket, words, prefixes, suffixes, counts in rows:
                 counts, at = np.frombuffer(counts, "<i8").tolist(), int(offsets[bucket])
                 sides = [[None] * len(counts) if x is None else np.frombuffer(x, kind).tolist() for x in (prefixes, suffixes)]
-                yield from zip(itertools.count(at), counts, words or [None] * len(counts), *sides)
+                named = [None] * len(counts) if words is None else words.split(_NEXT)
+                yield from zip(itertools.count(at), counts, named, *sides)
 
         packed = self.rows.where("block IS NULL").select("bucket", "words", "prefixes", "suffixes", "counts")
         return map_rows(packed, run, "id bigint, a bigint, word binary, prefix bigint, suffix bigint")
@@ -216,9 +221,9 @@ def _count(relation: DataFrame, least: int, kind: str) -> _Counted:
         for block, counts, *packed in rows:
             counts = np.frombuffer(counts, "<i4")
             if is_word:
-                words, keys = packed[0], np.frombuffer(packed[1], "<u8")
+                words, keys = packed[0].split(_NEXT), np.frombuffer(packed[1], "<u8")
                 for bucket, part in slices(keys, n_buckets):
-                    yield bucket, block, words[part], None, None, counts[part].tobytes()
+                    yield bucket, block, _NEXT.join(words[part]), None, None, counts[part].tobytes()
             else:
                 prefixes, suffixes = (np.frombuffer(x, kind) for x in packed)
                 for bucket, part in slices(_key(prefixes, suffixes), n_buckets):
@@ -230,7 +235,7 @@ def _count(relation: DataFrame, least: int, kind: str) -> _Counted:
     columns = ["words", "hashes"] if is_word else ["prefixes", "suffixes"]
     sent = map_rows(
         relation.select("block", "counts", *columns), send,
-        "bucket int, block bigint, words array<binary>, prefixes binary, suffixes binary, counts binary",
+        "bucket int, block bigint, words binary, prefixes binary, suffixes binary, counts binary",
     )
     rows = cut(sent.groupBy("bucket").applyInPandas(judge, _MARKS), "phrase-counts")
     sizes = np.zeros(n_buckets + 1, np.int64)

@@ -110,10 +110,10 @@ def test_bucket_adds_counts():
 
 
 def test_bucket_adds_counts_of_words():
-    words = [[b"en\xffa", b"de\xffa"], [b"de\xffa"]]
+    words = [b"en\xffa\xfede\xffa", b"de\xffa"]
     group = pd.DataFrame({"bucket": [0, 0], "block": [1, 2], "words": words, "counts": [pack([9, 5]), pack([5])]})
     *blocks, found = _judge(group, 10, "word")
-    assert found[4] == [b"de\xffa"] and np.frombuffer(found[7], "<i8").tolist() == [10]
+    assert found[4] == b"de\xffa" and np.frombuffer(found[7], "<i8").tolist() == [10]
     assert [(b[1], np.unpackbits(np.frombuffer(b[2], np.uint8))[:2].tolist()) for b in blocks] == [(1, [0, 1]), (2, [1, 0])]
 
 
