@@ -4,7 +4,7 @@ A relation holds the occurrences of all phrases of one length, in the order of t
 itself at the next place gives the phrases that are one word longer; they are counted by group over all relations, and
 occurrences of groups below the least count leave before the next join. Words and phrases are counted per language.
 
-The relations lie in blocks of about two million words: an array of places, holding a block's own number of the phrase that
+The relations lie in blocks of about half a million words: an array of places, holding a block's own number of the phrase that
 begins there, or -1. Blocks send each of their different phrases once, with its count, to a bucket, which adds the counts
 and gives frequent phrases an id. A phrase is the pair of the ids of the two phrases that it was joined from, so nothing is
 decided by a hash alone.
@@ -33,7 +33,7 @@ from talkloom.llm.words import mix
 from talkloom.runtime import cut, lookup_join, scratch_path, top_n_per_group
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
 UNKNOWN = "und"
 # A block to a row group, since a reader holds one as a whole.
 _FILES = {"parquet.block.row.count.limit": 1, "compression": "zstd"}
