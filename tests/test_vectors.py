@@ -154,6 +154,23 @@ def test_truncated_svd_equals_numpy(spark):
     assert (picture["x"], picture["y"]) == (got[0, 0], got[0, 1])
 
 
+@pytest.mark.parametrize("fan_bytes", [64 << 20, 0])
+def test_singular_values_of_an_ill_conditioned_matrix(spark, monkeypatch, fan_bytes):
+    monkeypatch.setattr(reduce, "TRIANGLE_BYTES", fan_bytes)
+    rng = np.random.default_rng(8)
+    u, v = np.linalg.qr(rng.normal(size=(300, 10)))[0], np.linalg.qr(rng.normal(size=(10, 10)))[0]
+    s = 10.0 ** -np.arange(10)
+    x = (u * s) @ v.T
+    values, vectors = reduce.right_singular(frame(spark, x).repartition(5), "vec", 10)
+    assert (np.abs(values - s) < 1e-8 * s + 1e-15).all()
+    assert np.abs(vectors.T @ v) == pytest.approx(np.eye(10), abs=1e-5)
+    by_gram = np.sqrt(np.maximum(np.linalg.eigvalsh(x.T @ x)[::-1], 0))
+    assert abs(by_gram[-1] - s[-1]) > 1e-8 * s[-1]  # squared, the smallest is lost
+    assert reduce.right_singular(frame(spark, x), "vec", 10, 3)[1].shape == (10, 3)
+    few, basis = reduce.right_singular(frame(spark, x[:2]), "vec", 10)
+    assert few[:2] == pytest.approx(np.linalg.svd(x[:2])[1]) and not few[2:].any() and basis.shape == (10, 10)
+
+
 @pytest.mark.parametrize("max_bytes", [1 << 30, 0])
 def test_svd_of_long_rows(spark, max_bytes):
     rng = np.random.default_rng(8)
