@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from talkloom.llm.exchange import bits, blocks_of, exchange, n_buckets_for, not_first, order_of, slices, twice
 from talkloom.llm.tables import map_rows
-from talkloom.llm.words import BASE, INVERSE, mix, power
+from talkloom.llm.words import Sums, followed, hashed, mix
 from talkloom.runtime import cut, lookup_join
 
 # Shorter lines are kept and compared with nothing.
@@ -50,22 +50,16 @@ class _Lines:
         self.flat = [line for lines in self.lines for line in lines]
         self.sizes = np.array([len(line) for line in self.flat], np.int64)
         points = np.frombuffer("".join(self.flat).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_characters()[points] * power(BASE, len(points)), out=self.sums[1:])
+        self.sums = Sums(_characters()[points])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.compared = np.flatnonzero(self.sizes >= LEAST_CHARS)
         own = self.compared
         self.values, self.first, self.index = np.unique(
-            mix(self._hash(self.starts[own], self.ends[own]) + self.sizes[own].astype(np.uint64)),
-            return_index=True, return_inverse=True,
+            hashed(self.sums.of(self.starts[own], self.ends[own]), self.sizes[own]), return_index=True, return_inverse=True
         )
         self.docs = order_of(self.doc_ids)[self.text]
 
-    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Polynomial of the characters from start to end, the first one times 1."""
-        return (self.sums[end] - self.sums[start]) * power(INVERSE, len(self.sums))[start]
-
     def firsts(self, later: np.ndarray) -> np.ndarray:
         """Lines without an earlier copy, `later` being the values that have one in another block."""
         return self.compared[self.first[~later]]
@@ -85,8 +79,9 @@ class _Lines:
             n = size - shorter
             for part in range(parts):
                 low, high = part * n // parts, (part + 1) * n // parts
-                before, behind = self._hash(start, start + low), self._hash(start + high + shorter, end)
-                key = mix(before + n.astype(np.uint64)) * np.uint64(3) + mix(behind + np.uint64(part))
+                before = hashed(self.sums.of(start, start + low), n)
+                behind = hashed(self.sums.of(start + high + shorter, end), part)
+                key = before * np.uint64(3) + behind
                 columns.append(mix(key))
         return np.stack(columns, axis=1)
 
@@ -102,14 +97,14 @@ class _Lines:
             if not ranges:
                 continue
             at = start + np.unique(np.concatenate(ranges))
-            behind = self._hash(at + 1, np.full(len(at), end)) * power(BASE, n + 1)[at - start]
-            rest = self._hash(np.full(len(at), start), at) + behind
+            before = self.sums.of(np.full(len(at), start), at)
+            rest = followed(before, self.sums.of(at + 1, np.full(len(at), end)), at - start)
             if shorter:
-                keys, role = np.unique(mix(rest + np.uint64(n - 1))), _LONGER
+                keys, role = np.unique(hashed(rest, n - 1)), _LONGER
             else:
-                whole = self._hash(np.array([start]), np.array([end]))
-                yield int(mix(whole + np.uint64(n)).view(np.int64)[0]), _SHORTER
-                keys, role = mix(mix(rest + np.uint64(n)) + (at - start).astype(np.uint64)), _SAME
+                whole = self.sums.of(np.array([start]), np.array([end]))
+                yield int(hashed(whole, n).view(np.int64)[0]), _SHORTER
+                keys, role = mix(hashed(rest, n) + (at - start).astype(np.uint64)), _SAME
             yield from ((key, role) for key in keys.view(np.int64).tolist())
 
 

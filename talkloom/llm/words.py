@@ -1,14 +1,18 @@
 """Word and window hashes of many texts at once, as numpy arrays inside tasks.
 
-Words are runs of bytes of a given class in the UTF-8 text. A word's hash is a polynomial over a random value per byte,
-mixed with its length; a window's hash is a polynomial over its words' hashes. Both are 64 bits wide and come from
-running sums, so their cost does not depend on the window's length.
+Words are runs of bytes of a given class in the UTF-8 text. A word's hash is a pair of polynomials over random values per
+byte, modulo a prime and at two bases, mixed with its length; a window's hash is the same over its words' hashes. They come
+from running sums, so their cost does not depend on the window's length. Two given sequences of n values have one hash with
+a probability of (n / 2^31)^2 at most, whatever they hold.
+
+A text is hashed as a whole, with some 40 bytes of arrays per byte; no table grows with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,6 +23,11 @@ BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
+# Prime of the hashes, their bases, and how many powers of a base are kept.
+PRIME = (1 << 31) - 1
+BASES = (1_583_458_089, 784_558_817)
+TABLE = 1 << 18
+
 
 def _class(excluded: Iterable[int]) -> np.ndarray:
     table = np.ones(256, bool)
@@ -31,6 +40,7 @@ SPACED = _class([0x20, *range(0x09, 0x0E)])
 # Runs of ASCII letters, digits and all that is not ASCII.
 ALPHANUMERIC = _class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
+# Two numbers of 31 bits per byte are taken from each.
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
 _LOWER_VALUES = _VALUES.copy()
 _LOWER_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
@@ -48,6 +58,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def power(base: int, n: int) -> np.ndarray:
+    """Powers modulo 2^64, for cells of features; sequences whose equality matters are hashed by `Sums`."""
+    if n > 2 * CHUNK_BYTES:
+        return np.cumprod(np.concatenate(([1], np.full(n - 1, base, np.uint64))), dtype=np.uint64)
     if len(_powers[base]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
@@ -55,10 +68,64 @@ def power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power(BASE, len(values)), out=sums[1:])
-    return sums
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo PRIME: below 2^32 for x below 2^62."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """Remainders modulo PRIME."""
+    x = _fold(_fold(x))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+@lru_cache(maxsize=4)
+def _table(base: int) -> np.ndarray:
+    powers = np.ones(1, np.uint64)
+    while len(powers) < TABLE:
+        powers = np.concatenate((powers, _rest(powers * np.uint64(pow(base, len(powers), PRIME)))))
+    return powers
+
+
+def _at(base: int, exponents: np.ndarray) -> np.ndarray:
+    """Powers of the base modulo PRIME."""
+    table = _table(base)
+    if not len(exponents) or (top := int(exponents.max()) // TABLE) == 0:
+        return table[exponents]
+    large = np.array([pow(base, TABLE * i, PRIME) for i in range(top + 1)], np.uint64)
+    return _rest(table[exponents % TABLE] * large[exponents // TABLE])
+
+
+class Sums:
+    """Running sums over a sequence of 64-bit values, for the hashes of its parts."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = []
+        for base, shift in zip(BASES, (0, 33), strict=True):
+            sums = np.zeros(len(values) + 1, np.uint64)
+            for at in range(0, len(values), TABLE):
+                part = (values[at : at + TABLE] >> np.uint64(shift)) & np.uint64(PRIME)
+                powers = _table(base)[: len(part)]
+                if at:
+                    powers = _rest(powers * np.uint64(pow(base, at, PRIME)))
+                sums[at + 1 : at + 1 + len(part)] = _fold(part * powers)
+            self.sums.append(np.cumsum(sums, out=sums))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two remainders, a column for each part from start to end."""
+        inverse = (pow(base, -1, PRIME) for base in BASES)
+        return np.stack([_rest(_rest(s[end] - s[start]) * _at(i, start)) for s, i in zip(self.sums, inverse, strict=True)])
+
+
+def followed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Remainders of the sequences `a`, of n values each, followed by `b`."""
+    return np.stack([_rest(x + y * _at(base, n)) for x, y, base in zip(a, b, BASES, strict=True)])
+
+
+def hashed(remainders: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Hashes of sequences of n values."""
+    size = mix(np.asarray(n).astype(np.uint64).reshape(-1))
+    return mix(((remainders[0] << np.uint64(31)) | remainders[1]) ^ size)
 
 
 @dataclass
@@ -85,8 +152,7 @@ def words(texts: list[bytes | None], word_bytes: np.ndarray, lower: bool = False
     is_word[1:-1] = word_bytes[_LOWER_CLASS[data] if lower else data]
     edges = np.flatnonzero(is_word[1:] != is_word[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    sums = _sums((_LOWER_VALUES if lower else _VALUES)[data])
-    hashes = mix((sums[ends] - sums[starts]) * power(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    hashes = hashed(Sums((_LOWER_VALUES if lower else _VALUES)[data]).of(starts, ends), ends - starts)
     return Words(hashes, np.searchsorted(starts, first), starts, ends, joined)
 
 
@@ -95,8 +161,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = _sums(hashes)
-    return mix((sums[size:] - sums[:n]) * power(INVERSE, n) + np.uint64(size))
+    starts = np.arange(n)
+    return hashed(Sums(hashes).of(starts, starts + size), size)
 
 
 def chunks(rows: Iterable[tuple], text: int = -1, limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:

@@ -24,9 +24,16 @@ def odd_texts() -> list[tuple]:
         (13, long), (14, long + " end"), (15, "!!! ... 123"), (-3, "Ünïcode wörds, “quotes” and 日本語 text\nline two"),
         (16, PASSAGE), (17, "before " + PASSAGE + " behind"), (18, PASSAGE + " " + PASSAGE),
         (2**62, "x" * 50_000),
+        # Words and lines of 1,024 characters on which polynomials modulo 2^64 agree, whatever their base.
+        (20, twin("ab")), (21, twin("ba")), (22, " ".join([twin("ab")] * 30)), (23, " ".join([twin("ba")] * 30)),
     ]
 
 
+def twin(letters: str) -> str:
+    """1,024 of the two letters, chosen by the parity of the bits in the place's number."""
+    return "".join(letters[i.bit_count() % 2] for i in range(1024))
+
+
 def random_texts(seed: int, n: int = 60) -> list[tuple]:
     """(doc_id, text): texts over a small vocabulary, many of them edited copies of others, some with shared passages."""
     rng = random.Random(seed)
