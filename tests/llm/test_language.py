@@ -1,3 +1,7 @@
+import base64
+import random
+import string
+
 import numpy as np
 from cases import frame, odd_texts
 
@@ -18,6 +22,40 @@ def test_held_out_documents(spark):
     assert [r["rejected"] for r in identify(other, model).collect()] == [True, True]
 
 
+OTHERS = {
+    "fi": "Suomi on pohjoismaa, jonka naapurimaita ovat Ruotsi, Norja ja Venäjä. Kaupungin kadut olivat hiljaisia, kun kävelimme kotiin.",
+    "tr": "Her yıl milyonlarca turist bu şehre gelir. Dün akşam arkadaşlarımla birlikte yemek yedik ve sonra eve döndük.",
+    "pl": "Wczoraj wieczorem poszliśmy do kina, a potem wróciliśmy do domu przez park. Kraj leży w środkowej Europie.",
+}
+
+
+def test_junk_and_other_languages_of_the_script_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit(docs.where(~held_out()))
+    rng = random.Random(7)
+    alphabet = string.ascii_lowercase + "   "
+    junk = {
+        "letters": ["".join(rng.choices(alphabet, k=n)) for n in (30, 100, 300, 2000) for _ in range(25)],
+        "base64": [base64.b64encode(rng.randbytes(n)).decode() for n in (30, 100, 300, 2000) for _ in range(25)],
+    }
+    for lang, text in OTHERS.items():
+        junk[lang] = [text[at : at + n] for n in (40, 80) for at in range(0, len(text) - n, 3)] + [text, text * 9]
+    for kind, texts in junk.items():
+        assert np.mean([rejected for _, _, rejected in model.nearest(texts)]) >= 0.9, kind
+    known = identify(docs.where("lang IS NOT NULL"), model).toPandas()
+    assert known.rejected[known.lang_pred != "und"].mean() < 0.005
+    # Without the limits nothing is.
+    model.least[:] = 0
+    assert not any(rejected for texts in junk.values() for _, _, rejected in model.nearest(texts))
+
+
+def test_copies_fill_one_place_of_the_sample(spark):
+    rows = [("the cat and the dog and the bird", "en")] * 50 + [(f"a text of its own number {'abcdefgh'[i]}", "en") for i in range(8)]
+    frame_ = spark.createDataFrame(rows, "text string, lang string")
+    assert len(fit(frame_, sample=9).vectors) == 4
+    assert np.array_equal(fit(frame_, sample=100).vectors, fit(frame_, sample=1000).vectors)
+
+
 def test_odd_texts(spark):
     rows = odd_texts()
     labelled = spark.createDataFrame(
