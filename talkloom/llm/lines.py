@@ -208,18 +208,20 @@ def _near(close: DataFrame) -> DataFrame:
     parts = map_rows(close.select("block", "line", "string"), fine, "key bigint, part int, block bigint, line int")
     parts = cut(parts, "line-parts")
     shared = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = parts.join(shared, "key").groupBy("block", "line").agg(F.collect_set("part").alias("parts"))
+    # Lines of one template share a key: their rows are spread over salts.
+    shared = lookup_join(parts, cut(shared, "line-shared"), "key").groupBy("block", "line").agg(F.collect_set("part").alias("parts"))
     narrow = close.join(shared, ["block", "line"]).select("doc", "block", "line", "string", "parts")
     keys = map_rows(narrow, expand, "key bigint, role int, doc bigint, block bigint, line int")
     place = F.struct("doc", "block", "line")
     least = [F.min(F.when(F.col("role") == role, place)).alias(f"least{role}") for role in (_SAME, _LONGER, _SHORTER)]
     keys = cut(keys, "line-keys")
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
+    groups = cut(groups, "line-groups")
     # Each line's rivals: the earliest with the same gap, the shorter one, or the earliest longer one.
     rival = F.when(F.col("role") == _SAME, F.col(f"least{_SAME}")).when(
         F.col("role") == _LONGER, F.col(f"least{_SHORTER}")
     ).otherwise(F.col(f"least{_LONGER}"))
-    pairs = keys.join(groups, "key").select("doc", "block", "line", rival.alias("rival"))
+    pairs = lookup_join(keys, groups, "key").select("doc", "block", "line", rival.alias("rival"))
     pairs = pairs.where(F.col("rival") < place).select("block", "line", "rival.block", "rival.line").toDF(
         "block", "line", "other_block", "other_line"
     ).distinct()

@@ -26,8 +26,8 @@ SHINGLE = 5
 PERCENT = 85
 # A pair at the threshold is missed with probability (1 - 0.85 ** ROWS) ** BANDS = 3e-7.
 BANDS, ROWS = 32, 6
-# Shingle sets that are compared together.
-BLOCK_BYTES = 1 << 20
+# Shingle sets that are compared together: their bytes, and how many, since the work is quadratic in their number.
+BLOCK_BYTES, BLOCK_SETS = 1 << 20, 1024
 
 
 def _second(x: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def _compare(sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(parts.sortWithinPartitions("cluster", "part"), run, "a bigint, b bigint")
 
 
-def _parted(sets: DataFrame, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _parted(sets: DataFrame, percent: int, block_bytes: int, block_sets: int) -> tuple[DataFrame, DataFrame]:
     """Large clusters as pairs of blocks, and the links to their leaders.
 
     A cluster's leader is the class that shares most bands. Classes linked to it are connected already, so that blocks of
@@ -158,7 +158,9 @@ def _parted(sets: DataFrame, percent: int, block_bytes: int) -> tuple[DataFrame,
     )
     judged = cut(judged, "minhash-judged")
     size = F.octet_length("shingles").cast("bigint")
-    width = lambda on: F.greatest(F.ceil(F.sum(F.when(on, size)) / block_bytes), F.lit(1)).cast("bigint")
+    width = lambda on: F.greatest(
+        F.ceil(F.sum(F.when(on, size)) / block_bytes), F.ceil(F.count(F.when(on, 1)) / block_sets), F.lit(1)
+    ).cast("bigint")
     n_blocks = judged.groupBy("cluster").agg(width(F.col("near")).alias("n_near"), width(~F.col("near")).alias("n_far"))
     dealt = lookup_join(judged, cut(n_blocks, "minhash-blocks"), "cluster")
     # Blocks 0 .. n_far - 1 are of the others, the next n_near of the leader's.
@@ -177,6 +179,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     block_bytes: int = BLOCK_BYTES,
+    block_sets: int = BLOCK_SETS,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -200,16 +203,20 @@ def near_duplicates(
     classes = cut(classes, "minhash-classes")
     posted = classes.select("class", F.explode("bands").alias("key"))
     met = posted.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-    met = cut(posted.join(met, "key").select(F.col("class").alias("a"), F.col("least").alias("b")), "minhash-met")
+    # A large group of near copies has one key per band: its rows are spread over salts.
+    met = lookup_join(posted, cut(met.select("key", "least"), "minhash-keys"), "key")
+    met = cut(met.select(F.col("class").alias("a"), F.col("least").alias("b")), "minhash-met")
     clusters = connected_components(met).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     shared = met.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("shared"))
     members = cut(clusters.join(shared, "class").join(classes.select("class", "row_key"), "class"), "minhash-members")
 
     sets = cut(_sets(docs, members, doc_id, text), "minhash-sets")
-    weights = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles").cast("bigint")).alias("_bytes"))
-    large = cut(weights.where(F.col("_bytes") > block_bytes).select("cluster"), "minhash-large")
+    weights = sets.groupBy("cluster").agg(
+        F.sum(F.octet_length("shingles").cast("bigint")).alias("_bytes"), F.count("*").alias("_sets")
+    )
+    large = cut(weights.where((F.col("_bytes") > block_bytes) | (F.col("_sets") > block_sets)).select("cluster"), "minhash-large")
     whole = lookup_join(sets, large, "cluster", "left_anti").withColumn("part", F.lit("0-0"))
-    paired, links = _parted(lookup_join(sets, large, "cluster", "left_semi"), percent, block_bytes)
+    paired, links = _parted(lookup_join(sets, large, "cluster", "left_semi"), percent, block_bytes, block_sets)
     found = _compare(whole.select(*paired.columns).unionByName(paired), percent).unionByName(links)
 
     roots = connected_components(cut(found, "minhash-links")).withColumnRenamed("node", "class")

@@ -9,10 +9,11 @@ from talkloom.llm.minhash import near_duplicates
 from talkloom.llm.substrings import remove_repeats
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 600])
-def test_near_duplicates_like_all_pairs(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "block_sets"), [(1 << 20, 1024), (600, 1024), (1 << 20, 2)])
+def test_near_duplicates_like_all_pairs(spark, block_bytes, block_sets):
     rows = random_texts(3, 80)
-    found = {r["doc_id"]: r for r in near_duplicates(frame(spark, rows), block_bytes=block_bytes).collect()}
+    near = near_duplicates(frame(spark, rows), block_bytes=block_bytes, block_sets=block_sets)
+    found = {r["doc_id"]: r for r in near.collect()}
     root = components(rows)
     least: dict = {}
     for (key, _), r in zip(rows, root):
@@ -55,6 +56,15 @@ def test_substrings_of_odd_texts(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_lines_of_one_template(spark):
+    """All lines share their coarse keys; numbers written twice differ in two places at least."""
+    line = "2024-01-01 00:00:00 INFO worker {0:05d}{0:05d} has taken the next of the tasks that were waiting in its queue".format
+    rows = [(i, "\n".join(line(n) for n in range(100 * i, 100 * i + 100))) for i in range(200)]
+    rows += [(1000, line(7)), (1001, line(8).replace("INFO", "INFOS")), (1002, line(9).replace("next", "text"))]
+    found = {r["doc_id"]: r["n_removed"] for r in remove_lines(frame(spark, rows)).collect()}
+    assert {k for k, n in found.items() if n} == {1000, 1001, 1002}
+
+
 def test_lines_like_all_pairs(spark):
     base = ["a line that many documents hold", "another one of them, with more in it", "short", "", "ünïcode líne of wörds 日本"]
     edits = [lambda s: s, lambda s: s[1:], lambda s: s + "x", lambda s: s[:7] + "q" + s[8:], lambda s: s[:-1] + "zz"]
