@@ -23,10 +23,11 @@ BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
-# Prime of the hashes, their bases, and how many powers of a base are kept.
+# Prime of the hashes, their bases, and how many powers of a base and of its inverse are kept (as powers of two).
 PRIME = (1 << 31) - 1
 BASES = (1_583_458_089, 784_558_817)
-TABLE = 1 << 18
+INVERSES = tuple(pow(base, -1, PRIME) for base in BASES)
+TABLE_BITS, SMALL_BITS = 20, 16
 
 
 def _class(excluded: Iterable[int]) -> np.ndarray:
@@ -79,42 +80,48 @@ def _rest(x: np.ndarray) -> np.ndarray:
     return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
 
 
-@lru_cache(maxsize=4)
-def _table(base: int) -> np.ndarray:
+@lru_cache(maxsize=8)
+def _table(base: int, bits: int) -> np.ndarray:
     powers = np.ones(1, np.uint64)
-    while len(powers) < TABLE:
+    while len(powers) < 1 << bits:
         powers = np.concatenate((powers, _rest(powers * np.uint64(pow(base, len(powers), PRIME)))))
-    return powers
+    return powers.astype(np.uint32)
 
 
 def _at(base: int, exponents: np.ndarray) -> np.ndarray:
     """Powers of the base modulo PRIME."""
-    table = _table(base)
-    if not len(exponents) or (top := int(exponents.max()) // TABLE) == 0:
-        return table[exponents]
-    large = np.array([pow(base, TABLE * i, PRIME) for i in range(top + 1)], np.uint64)
-    return _rest(table[exponents % TABLE] * large[exponents // TABLE])
+    table = _table(base, SMALL_BITS)
+    if not len(exponents) or (top := int(exponents.max()) >> SMALL_BITS) == 0:
+        return table[exponents].astype(np.uint64)
+    large = np.array([pow(base, i << SMALL_BITS, PRIME) for i in range(top + 1)], np.uint64)
+    return _rest(large[exponents >> SMALL_BITS] * table[exponents & ((1 << SMALL_BITS) - 1)])
 
 
 class Sums:
     """Running sums over a sequence of 64-bit values, for the hashes of its parts."""
 
     def __init__(self, values: np.ndarray):
-        self.sums = []
-        for base, shift in zip(BASES, (0, 33), strict=True):
-            sums = np.zeros(len(values) + 1, np.uint64)
-            for at in range(0, len(values), TABLE):
-                part = (values[at : at + TABLE] >> np.uint64(shift)) & np.uint64(PRIME)
-                powers = _table(base)[: len(part)]
-                if at:
-                    powers = _rest(powers * np.uint64(pow(base, at, PRIME)))
-                sums[at + 1 : at + 1 + len(part)] = _fold(part * powers)
-            self.sums.append(np.cumsum(sums, out=sums))
+        self.sums = [self._of_base(values, base, shift) for base, shift in zip(BASES, (0, 33), strict=True)]
+
+    @staticmethod
+    def _of_base(values: np.ndarray, base: int, shift: int) -> np.ndarray:
+        sums, table = np.zeros(len(values) + 1, np.uint64), _table(base, TABLE_BITS)
+        for at in range(0, len(values), len(table)):
+            terms = values[at : at + len(table)] >> np.uint64(shift)
+            terms &= np.uint64(PRIME)
+            terms *= table[: len(terms)]
+            if at:
+                terms = _rest(terms) * np.uint64(pow(base, at, PRIME))
+            high = terms >> np.uint64(31)
+            terms &= np.uint64(PRIME)
+            terms += high
+            np.cumsum(terms, out=sums[at + 1 : at + 1 + len(terms)])
+            sums[at + 1 : at + 1 + len(terms)] += sums[at]
+        return sums
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Two remainders, a column for each part from start to end."""
-        inverse = (pow(base, -1, PRIME) for base in BASES)
-        return np.stack([_rest(_rest(s[end] - s[start]) * _at(i, start)) for s, i in zip(self.sums, inverse, strict=True)])
+        return np.stack([_rest(_rest(s[end] - s[start]) * _at(i, start)) for s, i in zip(self.sums, INVERSES, strict=True)])
 
 
 def followed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
