@@ -28,9 +28,9 @@ DIMENSIONS = 1 << 14
 CENTROIDS, SAMPLE = 4, 1000
 # Clustering steps; each moves the centroids to the means of their texts.
 STEPS = 8
-# A text is rejected below SLACK times the cosine that all but RARE of the language's sample reach. Measured on invented prose:
-# the shortest texts of a learned language, of a word or two, reach half of that cosine; random letters and texts in
-# other languages of the same script a third.
+# A text is rejected below SLACK times the cosine that all but RARE of the language's sample reach. On the sf0.01 documents the
+# shortest labelled texts, of a word or two, have cosines of 0.22 to 0.37, random letters, base64 and a sentence each of
+# Finnish, Turkish and Polish at most 0.15.
 RARE, SLACK = 0.01, 0.4
 UNKNOWN = "und"
 
