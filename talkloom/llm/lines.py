@@ -1,7 +1,7 @@
 """Line dedup over deletion neighbourhoods: lines that equal an earlier one, or are one edit away from it, go.
 
-Copies are found first, by the lines' hashes. For the first lines of their kind a coarse neighbourhood is compared: the
-line without one of its PARTS parts, for the line's own length and for one character less. Only lines that share such a key
+Copies are found first, by the hashes of all lines that are not blank. For the first lines of their kind, if they are long
+enough, a coarse neighbourhood is compared: the line without one of its PARTS parts, for the line's own length and for one character less. Only lines that share such a key
 can be one edit apart; of these, the same is asked for FINE parts. A line then emits its neighbourhood, the strings with one
 character deleted, for the places in the parts without which it equals another line. Two lines are one edit apart if they
 lack the same place and are equal without it, or if one is the other without a character; so each is compared with the
@@ -24,9 +24,11 @@ from talkloom.llm.tables import map_rows
 from talkloom.llm.words import Sums, followed, hashed, mix
 from talkloom.runtime import cut, lookup_join
 
-# Shorter lines are kept and compared with nothing.
+# Shorter lines go only as copies: of a few characters, many differ in one.
 LEAST_CHARS = 16
 PARTS, FINE = 4, 32
+# Characters of blank lines.
+_BLANK = " \t\v\f\r"
 # Characters of a usual line, for the number of buckets only.
 LINE_CHARS = 100
 
@@ -53,16 +55,17 @@ class _Lines:
         self.sums = Sums(_characters()[points])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.compared = np.flatnonzero(self.sizes >= LEAST_CHARS)
+        self.compared = np.flatnonzero(np.array([bool(line.strip(_BLANK)) for line in self.flat], bool))
         own = self.compared
         self.values, self.first, self.index = np.unique(
             hashed(self.sums.of(self.starts[own], self.ends[own]), self.sizes[own]), return_index=True, return_inverse=True
         )
         self.docs = order_of(self.doc_ids)[self.text]
 
-    def firsts(self, later: np.ndarray) -> np.ndarray:
+    def firsts(self, later: np.ndarray, least_chars: int = 0) -> np.ndarray:
         """Lines without an earlier copy, `later` being the values that have one in another block."""
-        return self.compared[self.first[~later]]
+        lines = self.compared[self.first[~later]]
+        return lines[self.sizes[lines] >= least_chars]
 
     def copies(self, later: np.ndarray) -> np.ndarray:
         mask = np.zeros(len(self.flat), bool)
@@ -108,29 +111,33 @@ class _Lines:
             yield from ((key, role) for key in keys.view(np.int64).tolist())
 
 
-def _close_lines(held: _Lines, copy_bits, close_bits, n_buckets: int) -> np.ndarray:
+def _close_lines(held: _Lines, copy_bits, close_bits, n_buckets: int, least_chars: int) -> np.ndarray:
     """First lines of their kind that share a coarse key with another one."""
-    lines = held.firsts(bits(copy_bits, held.values, n_buckets))
+    lines = held.firsts(bits(copy_bits, held.values, n_buckets), least_chars)
     keys = held.coarse(lines)
     values, index, counts = np.unique(keys, return_inverse=True, return_counts=True)
     close = bits(close_bits, values, n_buckets) | (counts > 1)
     return lines[close[index.reshape(keys.shape)].any(axis=1)]
 
 
-def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS
+) -> DataFrame:
     """Remove each line that an earlier one equals, or differs from by one inserted, deleted or replaced character.
 
     Lines end at line feeds. Earlier is a line of a smaller doc_id, or a line before it in the same document; lines are
-    judged on the input, so a line also goes if the earlier one went itself. Lines of fewer than LEAST_CHARS characters are
-    kept and compared with nothing.
+    judged on the input, so a line also goes if the earlier one went itself. A line of fewer than `least_chars` characters
+    (at least one) goes only if an earlier one equals it; blank lines, of ASCII white space or nothing, all stay.
 
-    Columns: doc_id, row_key (hash of doc_id and text), n_lines, n_compared (lines that are long enough), n_removed, kept
+    Columns: doc_id, row_key (hash of doc_id and text), n_lines, n_compared (lines that are not blank), n_removed, kept
     (the other lines, joined by line feeds), rest (the other columns of `docs` as a struct; null if there are none).
 
     A null or empty text has no lines and keeps the empty text. A null doc_id is smaller than all others; rows that share a
     doc_id, also repeated ones, count as following each other in the order in which they were read. An empty table gives
     no rows.
     """
+    if least_chars < 1:
+        raise ValueError("least_chars: at least one")
     blocks = blocks_of(docs, doc_id, text)
     n_buckets = n_buckets_for(blocks, 2 * PARTS / LINE_CHARS)
     read = ["block", "doc_ids", "row_keys", "texts"]
@@ -148,7 +155,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def send_keys(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
             held = _Lines(row)
-            keys = np.unique(held.coarse(held.firsts(bits(row[4], held.values, n_buckets))))
+            keys = np.unique(held.coarse(held.firsts(bits(row[4], held.values, n_buckets), least_chars)))
             for bucket, part in slices(keys, n_buckets):
                 yield bucket, row[0], keys[part].tobytes()
 
@@ -158,7 +165,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def send_close(rows: Iterable[tuple]) -> Iterator[tuple]:
         for row in rows:
             held = _Lines(row)
-            for line in _close_lines(held, row[4], row[5], n_buckets).tolist():
+            for line in _close_lines(held, row[4], row[5], n_buckets, least_chars).tolist():
                 yield int(held.docs[line]), row[0], line, held.flat[line]
 
     close = map_rows(
@@ -173,7 +180,8 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             held = _Lines(row)
             gone = held.copies(bits(row[4], held.values, n_buckets))
             gone[row[5] or []] = True
-            compared = held.sizes >= LEAST_CHARS
+            compared = np.zeros(len(held.flat), bool)
+            compared[held.compared] = True
             at = 0
             for key, row_key, lines, rest in zip(held.doc_ids, held.row_keys, held.lines, row[6], strict=True):
                 own = slice(at, at + len(lines))

@@ -76,16 +76,17 @@ LINES = r"""
 WITH doc AS (
     SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS w FROM documents
 ), line AS (
-    SELECT doc_id, i, w[i] AS s FROM doc, unnest(range(1, len(w) + 1)) AS u(i) WHERE length(w[i]) >= 16
+    SELECT doc_id, i, w[i] AS s FROM doc, unnest(range(1, len(w) + 1)) AS u(i) WHERE regexp_matches(w[i], '[^\x20\x09-\x0D]')
 ), ranked AS (
     SELECT *, row_number() OVER (ORDER BY doc_id, i) AS place FROM line
 ), kind AS (SELECT s, min(place) AS place FROM ranked GROUP BY 1),
 without AS (
     SELECT s, place, k, substr(s, 1, k - 1) || substr(s, k + 1) AS v FROM kind, unnest(range(1, length(s) + 1)) AS u(k)
+    WHERE length(s) >= 16
 ), near AS (
     SELECT a.s FROM without AS a JOIN without AS b USING (v, k) WHERE b.place < a.place
-    UNION SELECT a.s FROM without AS a JOIN kind AS u ON u.s = a.v WHERE u.place < a.place
-    UNION SELECT u.s FROM without AS a JOIN kind AS u ON u.s = a.v WHERE a.place < u.place
+    UNION SELECT a.s FROM without AS a JOIN kind AS u ON u.s = a.v WHERE u.place < a.place AND length(u.s) >= 16
+    UNION SELECT u.s FROM without AS a JOIN kind AS u ON u.s = a.v WHERE a.place < u.place AND length(u.s) >= 16
 ), removed AS (
     SELECT doc_id, list(i) AS gone FROM ranked JOIN kind USING (s)
     WHERE ranked.place > kind.place OR s IN (SELECT s FROM near) GROUP BY 1

@@ -116,11 +116,13 @@ def without_lines(rows: list[tuple], least: int = 16) -> dict[int, tuple[int, in
         lines = text.split("\n") if text else []
         kept = []
         for line in lines:
-            if len(line) >= least:
-                if any(one_edit(line, other) for other in seen):
-                    seen.append(line)
-                    continue
+            if line.strip(" \t\v\f\r"):
+                gone = any(
+                    line == other or min(len(line), len(other)) >= least and one_edit(line, other) for other in seen
+                )
                 seen.append(line)
+                if gone:
+                    continue
             kept.append(line)
         result[key] = len(lines), len(lines) - len(kept), "\n".join(kept)
     return result

@@ -73,6 +73,14 @@ def test_lines_like_all_pairs(spark):
     assert found == without_lines(rows)
 
 
+def test_short_lines_go_as_copies_only(spark):
+    rows = [(1, "Read more\n}\n \t\n\na text of its own, first"), (2, "Read more\nRead moro\n}\n \t\n"), (3, "Read more\n)"), (4, "}\n}")]
+    found = {r["doc_id"]: (r["n_compared"], r["kept"]) for r in remove_lines(frame(spark, rows)).collect()}
+    assert found == {1: (3, rows[0][1]), 2: (3, "Read moro\n \t\n"), 3: (2, ")"), 4: (2, "")}
+    found = {r["doc_id"]: r["kept"] for r in remove_lines(frame(spark, rows), least_chars=1).collect()}
+    assert found == {i: t for i, (_, _, t) in without_lines(rows, 1).items()} and found[2] == " \t\n"
+
+
 def test_lines_of_odd_texts(spark):
     rows = odd_texts()
     found = remove_lines(frame(spark, rows)).collect()
