@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from talkloom.llm.tables import map_rows, row_key
+from talkloom.llm.tables import map_rows, release_memory, row_key
 from talkloom.llm.words import chunks
 from talkloom.runtime import cut, scratch_path
 
@@ -113,7 +113,9 @@ def exchange(sent: DataFrame, judge: Callable[[pd.DataFrame], Iterator[tuple]],
     """Bits of each block, by bucket, as one list."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(judge(group)), columns=["bucket", "block", "bits"])
+        found = pd.DataFrame(list(judge(group)), columns=["bucket", "block", "bits"])
+        release_memory()
+        return found
 
     judged = sent.groupBy("bucket").applyInPandas(run, "bucket int, block bigint, bits binary")
     return cut(judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(label)), label)

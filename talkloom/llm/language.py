@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.tables import keyed, map_rows
+from talkloom.llm.tables import keyed, map_rows, release_memory
 from talkloom.runtime import cut, lookup_join
 
 # n-grams of one to GRAM letters; a run of other characters counts as one blank.
@@ -201,6 +201,8 @@ def fit(
             return pd.DataFrame(columns=["lang", "vector", "least"], dtype=object)
         found = cluster(vectors, centroids)
         least = SLACK * float(np.quantile((vectors @ found.T).max(axis=1), RARE))
+        del vectors
+        release_memory()
         return pd.DataFrame(
             {"lang": group["lang"].iloc[0], "vector": [c.astype("<f4").tobytes() for c in found], "least": least}
         )
