@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.checks.document_queries import documents, lemmatised, texts
-from talkloom.checks.oracles import VECTORS
+from talkloom.checks.oracles import TFIDF, VECTORS
 from talkloom.functions.vectors import as_doubles, ml_vectors
 from talkloom.operators import density, descent, embed, kmeans, knn, minibatch, profile, reduce
 from talkloom.operators import tfidf as features
+from talkloom.operators.sparse_kmeans import sparse_kmeans
 from talkloom.plans.cluster import cluster_embeddings, cluster_tfidf, cluster_tfidf_by_density, describe
 from talkloom.runtime import cut
 
@@ -193,6 +194,34 @@ def sweep(spark, sf):
     return swept.withColumn("inertia", F.round("inertia", 4))
 
 
+def sparse_steps(spark, sf):
+    """Long-table k-means of TF-IDF rows, started at the first five documents with terms and moved twice."""
+    docs = lemmatised(spark, sf)
+    weights = cut(features.tfidf(docs).weights, "weights")
+    first = weights.select("doc_id").distinct().orderBy("doc_id").limit(5)
+    seeds = first.withColumn("cluster", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("int"))
+    found = sparse_kmeans(weights, 5, docs.select("doc_id"), seeds, max_iter=2, tol=0.0)
+    return found.labels.withColumn("distance", F.round("distance", 6))
+
+
+def _sparse_near(step: int) -> str:
+    return f"""size{step} AS (
+        SELECT j AS cluster, coalesce(c2, 0) AS c2 FROM range(5) AS t(j)
+        LEFT JOIN (SELECT cluster, sum(c * c) AS c2 FROM sparse{step} GROUP BY 1) AS s ON s.cluster = j),
+    dot{step} AS (SELECT doc_id, cluster, sum(w * c) AS dot FROM weights JOIN sparse{step} USING (term) GROUP BY 1, 2),
+    near{step} AS (
+        SELECT doc_id, cluster, round(c2 - 2 * coalesce(dot, 0), 12) AS score
+        FROM lists CROSS JOIN size{step} LEFT JOIN dot{step} USING (doc_id, cluster)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score, cluster) = 1)"""
+
+
+def _sparse_move(step: int) -> str:
+    return f"""sparse{step + 1} AS (
+        SELECT cluster, term, sum(w) / any_value(n) AS c FROM weights JOIN near{step} USING (doc_id)
+        JOIN (SELECT cluster, count(*) AS n FROM near{step} GROUP BY 1) USING (cluster) GROUP BY 1, 2
+        UNION ALL SELECT * FROM sparse{step} WHERE cluster NOT IN (SELECT cluster FROM near{step}))"""
+
+
 def minibatch_steps(spark, sf):
     """Centres after a step on each of four given batches, which are all rows, from given seeds."""
     points, models = embeddings(spark, sf), [minibatch.Centres.at(seeds(spark, sf, 10))]
@@ -450,6 +479,17 @@ QUERIES = {
         {", ".join(_step(s) for s in range(3))}, last AS ({_nearest(3)})
         SELECT k, round(sum(near.d * near.d), 4) AS inertia FROM last GROUP BY k"""),
     ),
+    "sparse_kmeans": (
+        sparse_steps,
+        f"""WITH {TFIDF},
+        seed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS cluster
+                 FROM (SELECT DISTINCT doc_id FROM weights) QUALIFY cluster < 5),
+        sparse0 AS (SELECT cluster, term, w AS c FROM weights JOIN seed USING (doc_id)),
+        {_sparse_near(0)}, {_sparse_move(0)}, {_sparse_near(1)}, {_sparse_move(1)}, {_sparse_near(2)}
+        SELECT doc_id, CAST(cluster AS INTEGER) AS cluster,
+            round(greatest(score + CASE WHEN doc_id IN (SELECT doc_id FROM weights) THEN 1 ELSE 0 END, 0), 6) AS distance
+        FROM near2""",
+    ),
     "minibatch_steps": (
         minibatch_steps,
         _v(f""", comp AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),

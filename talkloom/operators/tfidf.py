@@ -78,11 +78,11 @@ def tfidf_raw_text(docs: DataFrame, text: str, key: str = "doc_id", vocabulary:
 def sparse_vectors(docs: DataFrame, n_terms: int, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """Rows as unit-length ML sparse vectors `(doc_id, features)`, computed row by row in the JVM.
 
-    The vocabulary travels to every executor with the model, so its size is checked. Past the limit, reduce the
-    long table instead (`truncated_svd_terms`). ML's idf lacks the plus one, which the scaling adds.
+    The vocabulary travels to every executor with the model, so its size is checked. Past the limit, cluster or
+    reduce the long table instead (`sparse_kmeans`, `truncated_svd_terms`). ML's idf lacks the plus one, which the scaling adds.
     """
     if n_terms > BROADCAST_ROWS:
-        raise ValueError(f"{n_terms} terms: use truncated_svd_terms on the long table")
+        raise ValueError(f"{n_terms} terms: use sparse_kmeans or truncated_svd_terms on the long table")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(tokens).alias("_tokens"))
     counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=n_terms, minDF=1).fit(rows)
     counted = counter.transform(rows)
