@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.functions.lemmas import irregular_lemmas, lemmas_in_row, rule_lemma
 from talkloom.functions.text import clean_and_tokenize, explode_tokens
+from talkloom.operators.token_blocks import deal, fetch, opened
 from talkloom.runtime import cut, dense_index, lookup_join
 
 
@@ -55,22 +57,36 @@ def lemma_dict_and_vocab(
 def lemmatize_tokens(df: DataFrame, token_columns: str | list[str], lemmas: DataFrame, key: str) -> DataFrame:
     """Replace tokens by their lemma; tokens that are not listed stay, order and repetitions too.
 
-    Lists are taken apart and rebuilt under a number that each row gets, so `key` may be null or repeated; the rebuilt
-    lists that differ join the other columns by that number. A row's list is the largest group.
+    Blocks of rows fetch the lemmas of their different tokens and put them in place, so `key` may be null or repeated.
     """
-    columns = _names(token_columns)
     changes = cut(lemmas.where(F.col("lemma") != F.col("token")).select("token", "lemma"), "lemma-changes")
-    result = cut(df.withColumn("_row", F.monotonically_increasing_id()), "lemma-rows")
-    rows = result.select("_row", *columns)
-    for column in columns:
-        exploded = rows.select("_row", F.posexplode(column).alias("_pos", "token"))
-        replaced = lookup_join(exploded, changes, "token", "left")
-        items = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("token"))))
-        lists = replaced.groupBy("_row").agg(items.alias("_items"), F.count("lemma").alias("_changed"))
-        rebuilt = lists.where("_changed > 0").select("_row", F.transform("_items", lambda i: i["token"]).alias("_tokens"))
-        joined = lookup_join(result, cut(rebuilt, "lemma-lists"), "_row", "left", hot=False)
-        result = joined.withColumn(column, F.coalesce("_tokens", column)).drop("_tokens")
-    return result.drop("_row").select(*df.columns)
+    result = df
+    for column in _names(token_columns):
+        others = [c for c in df.columns if c != column]
+        blocks = deal(result, column, F.xxhash64(key, column), others)
+        known = fetch(blocks, changes, "token").groupBy("_block")
+        schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in [*others, column]])
+        result = blocks.groupBy("_block").cogroup(known).applyInArrow(_relisted(others, column), schema)
+    return result.select(*df.columns)
+
+
+def _relisted(others: list[str], column: str):
+    """A block's rows with its lists again, as `column`, the known lemmas in place of their tokens."""
+
+    def run(_, table, known):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat, _ = opened(table)
+        place = pc.index_in(flat, known["token"].combine_chunks(), skip_nulls=True)
+        lemmas = pc.coalesce(known["lemma"].combine_chunks().take(place), flat)
+        lists = table["_sizes"].combine_chunks()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        rebuilt = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), lemmas, mask=lists.is_null())
+        return table.select(others).append_column(column, rebuilt)
+
+    return run
 
 
 def process_message_tokens(

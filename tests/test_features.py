@@ -224,3 +224,26 @@ def test_first_rows_by_a_column(spark, tmp_path):
     assert [r["k"] for r in sources.scan_columns(spark, path, ["k", "id"], 7, "k").collect()] == list(range(7))
     assert sources.scan_columns(spark, path, ["k"], 200, "k").count() == 100
     assert sources.scan_columns(spark, path, ["k"], 5).count() == 5
+
+
+def test_lists_of_short_tokens_are_measured_as_they_are_held(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 200)
+    lists = spark.createDataFrame([(1, ["ab"] * 20)], "k bigint, tokens array<string>")
+    assert not runtime.fits_broadcast(lists) and runtime.fits_broadcast(lists.select("k"))
+
+
+def test_rebuilt_lists_are_not_sent_to_every_task(spark):
+    rows = [(1, ["cats", None, "dog"], "x"), (1, ["cats", "é"], "y"), (None, [], "z"), (None, None, "u"), (2, ["", "cats", ""], "v")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>, more string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("é", "e")], "token string, lemma string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = lemma.lemmatize_tokens(docs, "tokens", lemmas, "doc_id")
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        found = {r["more"]: (r["doc_id"], r["tokens"]) for r in done.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 1  # the lemmas
+    assert found == {
+        "x": (1, ["cat", None, "dog"]), "y": (1, ["cat", "e"]), "z": (None, []), "u": (None, None), "v": (2, ["", "cat", ""]),
+    }
