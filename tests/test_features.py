@@ -247,3 +247,22 @@ def test_rebuilt_lists_are_not_sent_to_every_task(spark):
     assert found == {
         "x": (1, ["cat", None, "dog"]), "y": (1, ["cat", "e"]), "z": (None, []), "u": (None, None), "v": (2, ["", "cat", ""]),
     }
+
+
+def test_weights_with_a_large_idf_table_shuffle_no_terms_of_documents(spark, monkeypatch):
+    rows = [(i % 23 or None, None if i % 11 == 0 else [f"w{i * j % 17}" for j in range(i % 7)] + [None, "é"]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    vocab = spark.createDataFrame([("w1", 0), ("é", 1)], "term string, idx bigint")
+
+    def found(**given):
+        weights = tfidf.tfidf(docs, **given).weights
+        return weights, {(r["doc_id"], r["term"]): (r["tf"], pytest.approx(r["w"])) for r in weights.collect()}
+
+    near, near_given = found()[1], found(vocabulary=vocab)[1]
+    monkeypatch.setattr(tfidf, "fits_broadcast", lambda *_: False, raising=False)
+    monkeypatch.setattr(runtime, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr("talkloom.operators.token_blocks.BLOCK_TOKENS", 30, raising=False)
+    weights, far = found()
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert far == near and found(vocabulary=vocab)[1] == near_given
+    assert "_salt" not in plan and "Exchange hashpartitioning(doc_id" not in plan
