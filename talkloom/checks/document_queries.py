@@ -130,7 +130,9 @@ SELECT doc_id, term, tf, round(w, 6) AS w FROM weights"""
 def sparse_rows(spark, sf):
     """Number and sum of the non-zeros of the vector form."""
     docs = lemmatised(spark, sf)
-    rows = features.sparse_vectors(docs, lemma.distinct_tokens(docs, "tokens").count())
+    n_terms = lemma.distinct_tokens(docs, "tokens").count()
+    few = n_terms <= features.BROADCAST_ROWS
+    rows = features.sparse_vectors(docs, n_terms) if few else features.sparse_vectors_by_blocks(docs)
     # a vector can be opened only from Python without making it as wide as the vocabulary; for this check alone
     non_zeros = F.udf(lambda v: (int(v.numNonzeros()), float(v.values.sum())), "n bigint, s double")
     opened = rows.select("doc_id", non_zeros("features").alias("o"))

@@ -10,13 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import explode_tokens
 from talkloom.operators.token_blocks import coded, deal, fetch
-from talkloom.runtime import BROADCAST_ROWS, cut, fits_broadcast, lookup_join
+from talkloom.runtime import BROADCAST_ROWS, cut, dense_index, fits_broadcast, lookup_join
 
 # Fixed value: a word of the default vectoriser, two or more word characters.
 WORD = r"(?U)\b\w\w+\b"
@@ -81,7 +81,8 @@ def tfidf(
 def _weights_by_blocks(docs: DataFrame, idf: DataFrame, tokens: str, key: str) -> DataFrame:
     """Weights with an idf table of any size; the counts of rows of one key are added up."""
     kind = docs.schema[key].dataType.simpleString()
-    blocks = deal(docs, tokens, F.xxhash64(key), [F.col(key).alias("doc_id")])
+    total = idf.agg(F.sum("df")).first()[0] or 0
+    blocks = deal(docs, tokens, F.xxhash64(key), [F.col(key).alias("doc_id")], total)
 
     def weigh(_, table, known):
         import pyarrow as pa
@@ -119,7 +120,7 @@ def sparse_vectors(docs: DataFrame, n_terms: int, tokens: str = "tokens", key: s
     reduce the long table instead (`sparse_kmeans`, `truncated_svd_terms`). ML's idf lacks the plus one, which the scaling adds.
     """
     if n_terms > BROADCAST_ROWS:
-        raise ValueError(f"{n_terms} terms: use sparse_kmeans or truncated_svd_terms on the long table")
+        raise ValueError(f"{n_terms} terms: use sparse_vectors_by_blocks, or sparse_kmeans or truncated_svd_terms on the long table")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(tokens).alias("_tokens"))
     counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=n_terms, minDF=1).fit(rows)
     counted = counter.transform(rows)
@@ -129,6 +130,44 @@ def sparse_vectors(docs: DataFrame, n_terms: int, tokens: str = "tokens", key: s
     return unit.transform(scale.transform(counted)).select("doc_id", "features")
 
 
+def sparse_vectors_by_blocks(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
+    """The vectors of `sparse_vectors` for a vocabulary of any size, which no task holds. Places are the alphabetical order."""
+    idf = idf_table(docs, docs.count(), tokens)
+    total, n_terms = idf.agg(F.coalesce(F.sum("df"), F.lit(0)), F.count("*")).first()
+    numbered = cut(dense_index(idf.select("term", "idf"), "term"), "idf")
+    blocks = deal(docs, tokens, F.xxhash64(key, tokens), [F.col(key).alias("doc_id")], total)
+
+    def vectors(_, table, known):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        row, code, terms = coded(table)
+        place = pc.index_in(terms, known["term"].combine_chunks()).to_numpy(zero_copy_only=False)
+        cells, tf = np.unique(row * n_terms + known["idx"].to_numpy()[place][code], return_counts=True)
+        own, value = np.zeros(0, np.int64), np.zeros(0)
+        if len(cells):
+            own, index = np.divmod(cells, n_terms)
+            order = np.argsort(known["idx"].to_numpy())
+            at = order[np.searchsorted(known["idx"].to_numpy()[order], index)]
+            value = tf * known["idf"].to_numpy()[at]
+            value /= np.sqrt(np.bincount(own, value * value, len(table)))[own]
+            cells = index
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(own, minlength=len(table)))), pa.int32())
+        return pa.table({
+            "doc_id": table["doc_id"], "indices": pa.ListArray.from_arrays(ends, pa.array(cells, pa.int32())),
+            "values": pa.ListArray.from_arrays(ends, pa.array(value, pa.float64())),
+        })
+
+    kind = docs.schema[key].dataType.simpleString()
+    known = fetch(blocks, numbered, "term").groupBy("_block")
+    found = blocks.groupBy("_block").cogroup(known).applyInArrow(
+        vectors, f"doc_id {kind}, indices array<int>, values array<double>"
+    )
+    # ML has no column expression that makes a sparse vector.
+    vector = F.udf(lambda i, v: SparseVector(n_terms, i, v), VectorUDT())
+    return found.select("doc_id", vector("indices", "values").alias("features"))
+
+
 def corpus_mean(weights: DataFrame, n_docs: int) -> DataFrame:
     """Column means over all documents, zeros counted."""
     return weights.groupBy("term").agg((F.sum("w") / F.lit(n_docs)).alias("mean_w"))

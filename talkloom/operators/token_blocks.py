@@ -17,10 +17,10 @@ from talkloom.runtime import lookup_join
 BLOCK_TOKENS, LEAST_TOKENS = 1 << 20, 1 << 17
 
 
-def deal(docs: DataFrame, tokens: str, by: Column, keep: list[Column | str]) -> DataFrame:
+def deal(docs: DataFrame, tokens: str, by: Column, keep: list[Column | str], total: int | None = None) -> DataFrame:
     """`(_block, *keep, _joined, _sizes)`: token lists as a string and the bytes of each token, -1 for null. Rows that agree
-    in `by` share a block."""
-    total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0
+    in `by` share a block. Tokens are counted unless about how many there are in total is given."""
+    total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0 if total is None else total
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = max(1, -(-total // BLOCK_TOKENS), min(2 * partitions, total // LEAST_TOKENS))
     sizes = F.transform(tokens, lambda t: F.coalesce(F.octet_length(t), F.lit(-1)))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkloom import runtime
+from talkloom.checks import document_queries
 from talkloom.functions.lemmas import IRREGULAR, lemmas_in_row
 from talkloom.operators import embed, lemma, sampling, tfidf
 from talkloom.sources import raw as sources
@@ -266,3 +267,21 @@ def test_weights_with_a_large_idf_table_shuffle_no_terms_of_documents(spark, mon
     plan = weights._jdf.queryExecution().executedPlan().toString()
     assert far == near and found(vocabulary=vocab)[1] == near_given
     assert "_salt" not in plan and "Exchange hashpartitioning(doc_id" not in plan
+
+
+def test_vectors_of_a_vocabulary_beyond_the_limit(spark, tmp_path, monkeypatch):
+    texts = [(i, " ".join(f"{a}{b}x" for a in "abc"[: i % 4] for b in "defg"[: i % 5] + "d")) for i in range(40)] + [(3, None), (3, "")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def found():
+        return sorted(map(tuple, document_queries.sparse_rows(spark, str(tmp_path)).collect()))
+
+    near = found()
+    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 3)
+    assert found() == near
+    docs = document_queries.lemmatised(spark, str(tmp_path))
+    terms = {t: i for i, t in enumerate(sorted({t for r in docs.collect() for t in r["tokens"]}))}
+    own = {r["doc_id"]: sorted({terms[t] for t in r["tokens"]}) for r in docs.where("doc_id <> 3").collect()}
+    vectors = tfidf.sparse_vectors_by_blocks(docs).where("doc_id <> 3").collect()
+    assert {r["doc_id"]: list(r["features"].indices) for r in vectors} == own
+    assert {r["features"].size for r in vectors} == {len(terms)}
