@@ -430,3 +430,30 @@ def test_merges_do_not_depend_on_the_size_of_problems(spark):
         parent[r["left"]] = parent[r["right"]] = r["node"]
     assert len(parent) == 2 * n - 2
 
+
+
+def test_silhouette_meets_each_pair_of_blocks_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, 3)) + 1e3, np.full((5, 3), 1e3), rng.normal(size=(55, 3)) * 1e-4])
+    labels = [int(i) for i in rng.integers(0, 4, len(x) - 1)] + [9]
+    rows = [(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>, cluster int")
+    monkeypatch.setattr("talkloom.operators.blocks.BLOCK_ROWS", 16)
+    seen, join = [], kmeans.join_block_pairs
+    monkeypatch.setattr(kmeans, "join_block_pairs", lambda b, p: (seen.append((b.count(), p.count())), join(b, p))[1])
+    found = {r["id"]: r["silhouette"] for r in kmeans.silhouette_samples(df, df, "id", "vec").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    label = np.array(labels)
+    for i in range(len(x)):
+        mean = {c: d[i, label == c].sum() / max((label == c).sum() - (c == label[i]), 1) for c in set(labels)}
+        a, b = mean.pop(label[i]), min(mean.values())
+        assert found[i] == pytest.approx((b - a) / max(a, b) if (label == label[i]).sum() > 1 else 0.0, abs=1e-9)
+    blocks, pairs = seen[0]
+    assert blocks > 1 and pairs == blocks * (blocks + 1) // 2
+
+
+def test_distances_keep_small_ones():
+    a = np.random.default_rng(1).normal(size=(40, 5)) + 1e6
+    b = np.vstack([a[:20] + 1e-7, a[:3], a[:10] + 1.0])
+    exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert np.allclose(kmeans.distances(a, b), exact, rtol=1e-9, atol=0)
