@@ -457,3 +457,26 @@ def test_distances_keep_small_ones():
     b = np.vstack([a[:20] + 1e-7, a[:3], a[:10] + 1.0])
     exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
     assert np.allclose(kmeans.distances(a, b), exact, rtol=1e-9, atol=0)
+
+
+def test_blocks_travel_once_a_group_and_every_pair_meets_once(spark, monkeypatch):
+    """Sent for each pair, 40 blocks would travel 1,600 times."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    packed = blocks.pack_blocks(frame(spark, np.arange(320)[:, None]), "k", ["vec"], None)
+    packed = packed.cache()
+    n = packed.count()
+    pairs = blocks.all_block_pairs(packed).cache()
+
+    def compare(held, arriving):
+        import pandas as pd
+
+        for row in arriving:
+            assert all(left in held for left in row.lefts)
+            yield pd.DataFrame({"left": row.lefts, "right": row.block, "sent": [1] + [0] * (len(row.lefts) - 1)})
+
+    monkeypatch.setattr(blocks, "MEETING_GROUPS", 4)
+    met = blocks.meet_in_groups(packed, pairs, compare, "left bigint, right bigint, sent int").toPandas()
+    assert n > 30 and len(met) == n * n and not met.duplicated(["left", "right"]).any()
+    assert met["sent"].sum() <= (2 * spark.sparkContext.defaultParallelism + 2) * n
+    none = blocks.meet_in_groups(packed, pairs.limit(0), compare, "left bigint, right bigint, sent int")
+    assert none.isEmpty()
