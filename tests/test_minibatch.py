@@ -108,3 +108,23 @@ def test_copies_and_wrong_arguments(spark):
 def test_centres_move_by_share():
     moved = Centres(np.array([[0.0, 0], [5, 5]]), np.array([3.0, 2])).move(np.array([[4.0, 8], [0, 0]]), np.array([1.0, 0]))
     assert moved.points.tolist() == [[1, 2], [5, 5]] and moved.seen.tolist() == [4, 2]
+
+
+def test_small_batches_share_a_job(spark, monkeypatch):
+    """Many batches a round; before, each step was a job."""
+    points, _ = table(spark)
+    calls, sums = [], minibatch._sums
+    monkeypatch.setattr(minibatch, "_sums", lambda *a: calls.append(1) or sums(*a))
+    jobs, steps = [], Batches.steps
+    monkeypatch.setattr(Batches, "steps", lambda *a: jobs.append(1) or steps(*a))
+    fitted = minibatch_kmeans(points, [2, 5], batch_size=20, max_iter=4, patience=1000)
+    assert fitted.steps == 4 * 30 and len(jobs) == 4 and len(calls) == 1
+    # The same centres as by a job for each step.
+    monkeypatch.setattr(minibatch, "STRETCH_ROWS", 0)
+    apart = minibatch_kmeans(points, [2, 5], batch_size=20, max_iter=1, patience=1000)
+    monkeypatch.setattr(minibatch, "STRETCH_ROWS", 200)
+    parts = minibatch_kmeans(points, [2, 5], batch_size=20, max_iter=1, patience=1000)
+    assert len(jobs) == 4 + 3 and apart.steps == parts.steps == 30
+    for k in (2, 5):
+        assert np.allclose(apart.models[k].points, parts.models[k].points)
+        assert np.allclose(apart.models[k].seen, parts.models[k].seen)
