@@ -11,12 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.operators.profile import cluster_cohesion_mean
+from talkloom.operators.profile import cohesion_of_cells
 from talkloom.runtime import cut
 
 
-def _exact_norms(rows: DataFrame) -> DataFrame:
+def _exact_norms(packed: DataFrame) -> DataFrame:
     """Squared norm of M by cluster, from the pairs of terms of each row."""
+    rows = packed.select("cluster", "doc_id", F.inline("_x"))
     other = rows.select("doc_id", F.col("term").alias("other"), F.col("w").alias("v"))
     cells = rows.join(other, "doc_id").where("term <= other").groupBy("cluster", "term", "other")
     cells = cells.agg(F.sum(F.col("w") * F.col("v")).alias("m"))
@@ -26,10 +27,10 @@ def _exact_norms(rows: DataFrame) -> DataFrame:
 
 def _sketched_norms(rows: DataFrame, width: int, repeats: int, seed: int) -> DataFrame:
     """The same by `repeats` independent tensor sketches: their mean and its standard error. A task sends `repeats` times
-    `width` numbers for each of its clusters."""
-    hashes = [F.xxhash64(F.lit(f"{seed}:{r}:{side}"), "term") for r in range(repeats) for side in (0, 1)]
-    packed = rows.groupBy("cluster", "doc_id").agg(F.collect_list(F.struct("w", F.array(*hashes).alias("h"))).alias("_x"))
-    packed = packed.select("cluster", F.col("_x.w").alias("w"), F.flatten("_x.h").alias("h"))
+    `width` numbers for each of its clusters. Terms are hashed where the rows lie."""
+    salts = [f"{seed}:{r}:{side}" for r in range(repeats) for side in (0, 1)]
+    hashes = F.transform("_x.term", lambda term: F.array(*[F.xxhash64(F.lit(salt), term) for salt in salts]))
+    packed = rows.select("cluster", F.col("_x.w").alias("w"), F.flatten(hashes).alias("h"))
 
     def run(batches):
         import pandas as pd
@@ -67,11 +68,15 @@ def cluster_cohesion_terms(
     for small clusters. Null for a single row.
     """
     own = labels.select(F.col(key).alias("doc_id"), "cluster")
-    rows = cut(weights.select("doc_id", "term", "w").join(own, "doc_id"), "cohesion-rows")
+    # The weights are made and shuffled once: by row, which the labels are joined by.
+    joined = weights.select("doc_id", "term", "w").join(own, "doc_id").groupBy("doc_id", "cluster")
+    rows = cut(joined.agg(F.collect_list(F.struct("term", "w")).alias("_x")), "cohesion-rows")
     norms = _exact_norms(rows) if width is None else _sketched_norms(rows, width, repeats, seed)
-    fourth = rows.groupBy("cluster", "doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("x2"))
-    fourth = fourth.groupBy("cluster").agg(F.sum(F.col("x2") * F.col("x2")).alias("x4"))
-    found = cluster_cohesion_mean(weights, labels, key).join(norms, "cluster", "left").join(fourth, "cluster", "left")
+    x2 = F.aggregate("_x.w", F.lit(0.0), lambda total, w: total + w * w)
+    fourth = rows.select("cluster", x2.alias("x2")).groupBy("cluster").agg(F.sum(F.col("x2") * F.col("x2")).alias("x4"))
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
+    means = cohesion_of_cells(sizes, rows.select("cluster", F.inline("_x")))
+    found = means.join(norms, "cluster", "left").join(fourth, "cluster", "left")
     pairs = F.col("n") * (F.col("n") - 1) / 2
     square = F.when(F.col("n") > 1, F.coalesce(F.greatest(F.col("norm") - F.col("x4"), F.lit(0.0)) / 2, F.lit(0.0)) / pairs)
     error = F.when(F.col("n") > 1, F.coalesce(F.col("error") / 2, F.lit(0.0)) / pairs)

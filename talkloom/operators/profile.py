@@ -135,8 +135,12 @@ def cluster_cohesion_mean(weights: DataFrame, labels: DataFrame, key: str = "doc
     """Mean pairwise cosine per label, noise included, from unit TF-IDF rows and without forming pairs:
     (|sum of rows|^2 - sum of |row|^2) / 2 over n(n-1)/2. Null for a single row."""
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
-    joined = weights.join(labels.select(F.col(key).alias("doc_id"), "cluster"), "doc_id")
-    by_term = joined.groupBy("cluster", "term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    return cohesion_of_cells(sizes, weights.join(labels.select(F.col(key).alias("doc_id"), "cluster"), "doc_id"))
+
+
+def cohesion_of_cells(sizes: DataFrame, cells: DataFrame) -> DataFrame:
+    """The same from the clusters' sizes `(cluster, n)` and labelled weights `(cluster, term, w)`."""
+    by_term = cells.groupBy("cluster", "term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
     sums = by_term.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("q").alias("q"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = F.when(F.col("n") > 1, F.coalesce((F.col("s2") - F.col("q")) / 2, F.lit(0.0)) / pairs)

@@ -32,3 +32,19 @@ def test_deviation_of_sparse_rows(spark):
             assert abs(found[c]["mean_square"] - (cosines**2).mean()) < 5 * found[c]["error"]
         errors.append(sum(found[c]["error"] for c in plain))
     assert errors[1] < errors[0] / 2
+
+
+def test_weights_are_made_once(spark):
+    """Before, the mean and the squares each made them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    kind = "doc_id bigint, term string, w double"
+    weights = spark.createDataFrame([(i, f"t{j}", 0.5) for i in range(20) for j in range(i, i + 4)], kind)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, cluster int")
+    assert len(cluster_cohesion_terms(weights.mapInPandas(count, kind), labels, 64, 2).collect()) == 2
+    assert made.value == 80
