@@ -480,3 +480,13 @@ def test_blocks_travel_once_a_group_and_every_pair_meets_once(spark, monkeypatch
     assert met["sent"].sum() <= (2 * spark.sparkContext.defaultParallelism + 2) * n
     none = blocks.meet_in_groups(packed, pairs.limit(0), compare, "left bigint, right bigint, sent int")
     assert none.isEmpty()
+
+
+def test_links_of_a_node_lie_in_one_file(spark, monkeypatch):
+    """So that an iteration sends a row a node and file, not a row a link."""
+    walks, cut = [], reduce.cut
+    monkeypatch.setattr(reduce, "cut", lambda df, label: (found := cut(df, label), label == "graph-walk" and walks.append(found))[0])
+    rng = np.random.default_rng(3)
+    reduce.neighbour_embedding(frame(spark, rng.normal(size=(120, 4))), "k", "vec", 2, 10, n_iter=1)
+    walk = walks[0].selectExpr("u", "input_file_name() AS f").distinct()
+    assert walks[0].count() > 1200 and walk.count() == 120
