@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ SAMPLE = 16_384
 SHARDS, ROUNDS = 4, 12
 # Rate, its damping, and the penalties on absolute and squared weights.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 1e-4
+_VECTORS, _STATES = "order bigint, label double, cells binary, `values` binary", "shard int, z binary, n binary"
 # Texts are hashed together up to so many bytes, in segments if one is longer.
 CHUNK_BYTES = 1 << 18
 
@@ -119,6 +122,12 @@ class Leader:
     def new(cls, cells: int = CELLS) -> Leader:
         return cls(np.zeros(cells + 1), np.zeros(cells + 1))
 
+    @classmethod
+    def mean(cls, states: list[tuple[bytes, bytes]], cells: int) -> Leader:
+        if not states:
+            return cls.new(cells)
+        return cls(*(np.mean([np.frombuffer(x, "<f8") for x in held], axis=0) for held in zip(*states, strict=True)))
+
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         shrunk = z - np.sign(z) * L1
@@ -151,7 +160,7 @@ def _features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, cells:
             for row, a, b in zip(held, ends[:-1], ends[1:], strict=True):
                 yield row[0], row[1], cell[a:b].astype("<i4").tobytes(), value[a:b].astype("<f4").tobytes()
 
-    found = map_rows(joined, run, "order bigint, label double, cells binary, `values` binary")
+    found = map_rows(joined, run, _VECTORS)
     merged = found.groupBy("order").agg(
         F.avg("label").alias("label"), F.first("cells").alias("cells"), F.first("values").alias("values")
     )
@@ -161,17 +170,20 @@ def _features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, cells:
     return path
 
 
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    """The labelled vectors, each shard in one task in the order of its hashes; read anew every round, without a shuffle."""
-    kind = "order bigint, label double, cells binary, `values` binary"
-    numbers = [r["shard"] for r in spark.read.schema(f"{kind}, shard int").parquet(path).select("shard").distinct().collect()]
-    shards = [
-        spark.read.schema(kind).parquet(f"{path}/shard={n}").coalesce(1).sortWithinPartitions("order").select(
-            F.lit(n).alias("shard"), "label", "cells", "values"
-        )
-        for n in sorted(numbers)
-    ]
-    return reduce(DataFrame.unionByName, shards) if shards else spark.createDataFrame([], f"shard int, {kind}").drop("order")
+def _shards(spark: SparkSession, path: str, numbers: list[int], states: DataFrame | None) -> DataFrame:
+    """Each shard in one task: the states that the round before left, and then the labelled vectors in the order of their
+    hashes. They are read anew every round, without a shuffle."""
+    shards = []
+    for n in numbers:
+        rows = spark.read.schema(_VECTORS).parquet(f"{path}/shard={n}").withColumn("is_state", F.lit(False))
+        if states is not None:
+            rows = rows.unionByName(states.select(
+                F.col("shard").cast("bigint").alias("order"), F.lit(None).cast("double").alias("label"),
+                F.col("z").alias("cells"), F.col("n").alias("values"), F.lit(True).alias("is_state"),
+            ))
+        ordered = rows.coalesce(1).sortWithinPartitions(F.desc("is_state"), "order")
+        shards.append(ordered.select(F.lit(n).alias("shard"), "is_state", "label", "cells", "values"))
+    return reduce(DataFrame.unionByName, shards)
 
 
 def sampled(labels: DataFrame, doc_id: str, label: str, sample: int) -> DataFrame:
@@ -201,31 +213,39 @@ def fit(
 
     At most `sample` labelled documents are learned from. Equal texts count once, with the mean of their labels, as do
     several labels of one id; rows with a null id, label or text are left out. Without any labelled text all weights are 0,
-    and all scores one half. Each round the driver gets the state of each of SHARDS shards, two numbers per cell.
+    and all scores one half. The states of SHARDS shards, two numbers per cell, go from round to round by files; the driver
+    gets the weights at the end only.
     """
     chosen = sampled(labels, doc_id, label, sample)
-    rows = _shards(docs.sparkSession, _features(docs, chosen, doc_id, text, cells))
-    state = Leader.new(cells)
-    for _ in range(rounds):
-
-        def run(part: Iterable[tuple], start: Leader = state) -> Iterator[tuple]:
-            shard, own = None, start
-            for number, mean, at, values in part:
-                if number != shard:
-                    if shard is not None:
-                        yield shard, own.z.astype("<f8").tobytes(), own.n.astype("<f8").tobytes()
-                    shard, own = number, Leader(start.z.copy(), start.n.copy())
-                at = np.append(np.frombuffer(at, "<i4"), len(own.z) - 1)
+    spark, path = docs.sparkSession, _features(docs, chosen, doc_id, text, cells)
+    found = spark.read.schema(f"{_VECTORS}, shard int").parquet(path).select("shard").distinct().collect()
+    numbers = sorted(r["shard"] for r in found)
+
+    def run(part: Iterable[tuple]) -> Iterator[tuple]:
+        for shard, rows in groupby(part, itemgetter(0)):
+            before, own = [], None
+            for _, is_state, mean, at, values in rows:
+                if is_state:
+                    before.append((at, values))
+                    continue
+                own = own or Leader.mean(before, cells)
+                at = np.append(np.frombuffer(at, "<i4"), cells)
                 own.learn(at, np.append(np.frombuffer(values, "<f4").astype(float), 1.0), mean)
-            if shard is not None:
-                yield shard, own.z.astype("<f8").tobytes(), own.n.astype("<f8").tobytes()
-
-        states = map_rows(rows, run, "shard int, z binary, n binary").collect()
-        if not states:
-            break
-        states.sort(key=lambda r: r["shard"])
-        state = Leader(*(np.mean([np.frombuffer(r[c], "<f8") for r in states], axis=0) for c in ("z", "n")))
-    return state.weights()
+            yield shard, own.z.astype("<f8").tobytes(), own.n.astype("<f8").tobytes()
+
+    def end(part: Iterable[tuple]) -> Iterator[tuple]:
+        yield (Leader.mean([row[1:] for row in part], cells).weights().astype("<f8").tobytes(),)
+
+    states = None
+    for _ in range(rounds if numbers else 0):
+        left = scratch_path(spark, "quality-states")
+        learned = map_rows(_shards(spark, path, numbers, states), run, _STATES)
+        learned.write.option("compression", "zstd").parquet(left)
+        states = spark.read.schema(_STATES).parquet(left)
+    if states is None:
+        return Leader.new(cells).weights()
+    last = map_rows(states.coalesce(1).sortWithinPartitions("shard"), end, "weights binary")
+    return np.frombuffer(last.first()["weights"], "<f8")
 
 
 def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,6 +57,23 @@ def plain(examples, shards, rounds, cells):
     return [weight(i, z, n) for i in range(cells + 1)]
 
 
+def test_states_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, collect = [], DataFrame.collect
+
+    def counted(df):
+        rows = collect(df)
+        sent.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    docs = spark.createDataFrame([(i, f"text {i} {'!' * (i % 2)}") for i in range(40)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    assert len(fit(docs, labels, cells=1024, rounds=3)) == 1025
+    assert sent and sum(sent) <= 8 * 1025  # the weights, and no shard's state
+
+
 def test_updates_equal_plain_ones(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices("good fine bad! ugly!! plain Word".split(), k=rng.randrange(1, 12))) for _ in range(60)]
