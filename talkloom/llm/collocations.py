@@ -8,6 +8,8 @@ The relations lie in blocks of about half a million words: an array of places, h
 begins there, or -1. Blocks send each of their different phrases once, with its count, to a bucket, which adds the counts
 and gives frequent phrases an id. A phrase is the pair of the ids of the two phrases that it was joined from, so nothing is
 decided by a hash alone.
+
+Numbers are kept and sent as compressed planes of bytes (`_pack`): most have zeros in their high bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -44,13 +47,25 @@ _TABLE = bytes(
 )  # ends of pieces as line feeds, tabs as blanks, A-Z as a-z
 _BREAK = re.compile(b"[ \n]")
 
-_WORDS = "block bigint, places binary, hashes binary, counts binary, words binary, totals array<struct<lang:string,n:bigint>>"
-_PHRASES = "block bigint, places binary, prefixes binary, suffixes binary, counts binary"
+_WORDS = "block bigint, n bigint, places binary, hashes binary, counts binary, words binary, totals array<struct<lang:string,n:bigint>>"
+_PHRASES = "block bigint, n bigint, places binary, prefixes binary, suffixes binary, counts binary"
 _MARKS = "bucket int, block bigint, bits binary, ranks binary, words binary, prefixes binary, suffixes binary, counts binary"
 # Behind a language in the bytes that stand for one of its words, and between words; UTF-8 has no such bytes.
 _OF, _NEXT = b"\xff", b"\xfe"
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """The numbers' first bytes, second bytes and so on, compressed, behind the length of all."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size // width).T).reshape(-1).view(kind)
+
+
 class _Block:
     """Words of a block while it is read: a number per place, -1 between pieces."""
 
@@ -75,8 +90,8 @@ class _Block:
         rank[codes[order]] = np.arange(len(named), dtype=np.int32)
         totals = [{"lang": lang, "n": int(counts[list(known.values())].sum())} for lang, known in self.words.items() if known]
         return (
-            block, rank[places].astype("<i4").tobytes(), hashes[order].astype("<u8").tobytes(),
-            counts[codes[order]].astype("<i4").tobytes(), _NEXT.join([named[i][1] for i in order]), totals,
+            block, len(named), _pack(rank[places].astype("<i4")), hashes[order].astype("<u8").tobytes(),
+            _pack(counts[codes[order]].astype("<i4")), _NEXT.join([named[i][1] for i in order]), totals,
         )
 
 
@@ -122,10 +137,10 @@ def _join(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     return longer, prefixes[order], suffixes[order], counts[order]
 
 
-def _joined(block: int, places: bytes, ids: np.ndarray) -> Iterator[tuple]:
-    longer, prefixes, suffixes, counts = _join(np.frombuffer(places, "<i4"), ids)
+def _joined(block: int, places: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+    longer, prefixes, suffixes, counts = _join(places, ids)
     if len(counts):
-        yield block, *(x.tobytes() for x in (longer, prefixes, suffixes, counts.astype("<i4")))
+        yield block, len(counts), *(_pack(x) for x in (longer, prefixes, suffixes, counts.astype("<i4")))
 
 
 def _words(group: pd.DataFrame) -> list[bytes]:
@@ -213,24 +228,27 @@ class _Counted:
 def _count(relation: DataFrame, least: int, kind: str) -> _Counted:
     """Frequent phrases of a relation; `kind` is that of the ids they were joined from, or `word`."""
     spark, is_word = relation.sparkSession, kind == "word"
-    held = [F.octet_length("counts"), F.octet_length("hashes" if is_word else "prefixes")]
-    sent_bytes = 2 * (relation.agg(F.sum(held[0] + held[1])).first()[0] or 0)
+    held = 4 + (8 if is_word else np.dtype(kind).itemsize)  # bytes of a phrase's count, and of its hash or prefix
+    sent_bytes = 2 * held * (relation.agg(F.sum("n")).first()[0] or 0)
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sent_bytes // BUCKET_BYTES + 1)
 
     def send(rows: Iterable[tuple]) -> Iterator[tuple]:
         for block, counts, *packed in rows:
-            counts = np.frombuffer(counts, "<i4")
+            counts = _unpack(counts, "<i4")
             if is_word:
                 words, keys = packed[0].split(_NEXT), np.frombuffer(packed[1], "<u8")
                 for bucket, part in slices(keys, n_buckets):
-                    yield bucket, block, _NEXT.join(words[part]), None, None, counts[part].tobytes()
+                    yield bucket, block, _NEXT.join(words[part]), None, None, _pack(counts[part])
             else:
-                prefixes, suffixes = (np.frombuffer(x, kind) for x in packed)
+                prefixes, suffixes = (_unpack(x, kind) for x in packed)
                 for bucket, part in slices(_key(prefixes, suffixes), n_buckets):
-                    yield bucket, block, None, prefixes[part].tobytes(), suffixes[part].tobytes(), counts[part].tobytes()
+                    yield bucket, block, None, _pack(prefixes[part]), _pack(suffixes[part]), _pack(counts[part])
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_judge(group, least, kind)), columns=[c.split()[0] for c in _MARKS.split(", ")])
+        packed = {"counts": "<i4"} if is_word else {"counts": "<i4", "prefixes": kind, "suffixes": kind}
+        group = group.assign(**{c: [_unpack(x, k).tobytes() for x in group[c]] for c, k in packed.items()})
+        rows = [(*r[:3], r[3] and _pack(np.frombuffer(r[3], "<i4")), *r[4:]) for r in _judge(group, least, kind)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _MARKS.split(", ")])
 
     columns = ["words", "hashes"] if is_word else ["prefixes", "suffixes"]
     sent = map_rows(
@@ -326,8 +344,9 @@ def collocations(
         def longer(rows: Iterable[tuple], counted: tuple = (counted.offsets, counted.kind, counted.sides)) -> Iterator[tuple]:
             offsets, kind, sides = counted
             for block, places, *packed, marks in rows:
-                keys = np.frombuffer(packed[0], "<u8") if len(packed) == 1 else _key(*(np.frombuffer(x, sides) for x in packed))
-                yield from _joined(block, places, _ids(keys, marks, offsets, kind))
+                keys = np.frombuffer(packed[0], "<u8") if len(packed) == 1 else _key(*(_unpack(x, sides) for x in packed))
+                marks = [{**m, "ranks": _unpack(m["ranks"], "<i4")} for m in marks or []]
+                yield from _joined(block, _unpack(places, "<i4"), _ids(keys, marks, offsets, kind))
 
         relation, kind = kept(map_rows(marked, longer, _PHRASES), _PHRASES), counted.kind
         counted = _count(relation, least, kind)

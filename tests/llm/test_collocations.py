@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from cases import odd_texts
 
-from talkloom.llm.collocations import _ids, _join, _judge, collocations
+from talkloom.llm.collocations import _ids, _join, _judge, _pack, _unpack, collocations
 
 SCHEMA = "doc_id string, text string, lang string, block int, words string, places string, n double, id int"
 
@@ -122,3 +122,13 @@ def test_ids_of_a_block():
     marks = [{"bucket": 1, "bits": np.packbits([False, True]).tobytes(), "ranks": pack([4])}]
     assert _ids(keys, marks, np.array([0, 100]), "<i4").tolist() == [-1, -1, -1, 104]
     assert _ids(keys, None, np.array([0, 100]), "<i8").tolist() == [-1] * 4
+
+
+def test_numbers_take_few_bytes():
+    rng = np.random.default_rng(5)
+    for kind in ("<i4", "<i8"):
+        for values in (rng.zipf(1.5, 5000) % 30_000, np.full(3, -1), np.zeros(0)):
+            values = values.astype(kind)
+            packed = _pack(values)
+            assert _unpack(packed, kind).tolist() == values.tolist()
+            assert len(packed) < 2.2 * len(values) + 40
