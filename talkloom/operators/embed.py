@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.operators.reduce import random_projection
-from talkloom.operators.tfidf import tfidf_raw_text
+from talkloom.operators.tfidf import raw_words, tfidf_projection
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -38,8 +37,5 @@ def embed_with_model(
 def embed_by_projection(df: DataFrame, text: str, key: str, dim: int = 384, seed: int = 42) -> DataFrame:
     """Vectors without a model file: TF-IDF of the raw words, projected on random signs, unit length. A text without
     words has the zero vector."""
-    rows = df.na.drop(subset=[text])
-    projected = random_projection(tfidf_raw_text(rows, text, key).weights, dim, seed, unit=True)
-    projected = projected.select(F.col("doc_id").alias(key), F.col("vec").cast("array<float>").alias("vec"))
-    zero = F.array_repeat(F.lit(0.0), dim).cast("array<float>")
-    return rows.select(key).join(projected, key, "left").withColumn("vec", F.coalesce("vec", zero))
+    words = df.na.drop(subset=[text]).select(F.col(key).alias("doc_id"), raw_words(text).alias("tokens"))
+    return tfidf_projection(words, dim, seed).select(F.col("doc_id").alias(key), "vec")

@@ -285,3 +285,25 @@ def test_vectors_of_a_vocabulary_beyond_the_limit(spark, tmp_path, monkeypatch):
     vectors = tfidf.sparse_vectors_by_blocks(docs).where("doc_id <> 3").collect()
     assert {r["doc_id"]: list(r["features"].indices) for r in vectors} == own
     assert {r["features"].size for r in vectors} == {len(terms)}
+
+
+def test_blocks_project_their_own_weights(spark, monkeypatch):
+    texts = ["red fish blue fish", "", None, "one red stone and a blue one", "wörter für 鱼鱼 straße", "a b", "blue"] * 3
+    keys = [0, 1, 2, 3, 4, 5, None, 7, 8, 9, 0, 11, 12, None, 14, 15, 16, 17, 18, 19, 20]
+    docs = spark.createDataFrame(list(zip(keys, texts)), "k bigint, text string")
+
+    def found():
+        vectors = embed.embed_by_projection(docs, "text", "k", dim=16)
+        assert vectors.schema.simpleString() == "struct<k:bigint,vec:array<float>>"
+        return vectors, sorted((r["k"] is None, r["k"] or 0, [round(x, 5) for x in r["vec"]]) for r in vectors.collect())
+
+    expected = found()[1]
+    assert len(expected) == 18
+    monkeypatch.setattr(tfidf, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(runtime, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr("talkloom.operators.token_blocks.BLOCK_TOKENS", 30)
+    vectors, rows = found()
+    assert rows == expected
+    # Nothing is shuffled by document behind the blocks.
+    assert "doc_id" not in " ".join(x for x in vectors._jdf.queryExecution().toString().splitlines() if "hashpartitioning" in x.lower() and "_block" not in x)
+    assert vectors._jdf.queryExecution().analyzed().toString().count("Join") == 1  # terms' idf
