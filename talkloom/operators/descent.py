@@ -117,7 +117,8 @@ def _meetings(lists: DataFrame, rows: DataFrame, k: int, number: int) -> DataFra
         F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach")
     )
     points = cut(rows.join(reach, "key", "left").na.fill(float("inf"), ["reach"]), "descent-points")
-    met = lookup_join(dealt, points, "key", hot=False).groupBy("at", "part").agg(
+    # Not a lookup: vectors would be sent by way of the driver in every round.
+    met = dealt.join(points.hint("merge"), "key").groupBy("at", "part").agg(
         F.collect_list(F.struct("key", "vec", "reach", (F.col("new") > 0).alias("new"))).alias("m"), F.max("new").alias("any")
     )
     return met.where((F.col("any") > 0) & (F.size("m") > 1)).select(

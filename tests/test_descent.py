@@ -61,3 +61,10 @@ def test_copies_and_small_tables(spark):
     two = approximate_knn(frame(spark, x[:2]), 4, "k", "vec")
     assert [(r["k"], r["neighbour"]) for r in two.lists.orderBy("k").collect()] == [(0, 1), (1, 0)] and two.recall == 1
     assert approximate_knn(frame(spark, x[:0]), 4, "k", "vec").lists.count() == 0
+
+
+def test_vectors_are_not_sent_by_the_driver(spark):
+    rows = frame(spark, np.eye(4)).select(F.col("k").alias("key"), "vec")
+    lists = spark.createDataFrame([(i, 0, 1.0, 1) for i in range(1, 4)], "key bigint, neighbour bigint, distance double, new int")
+    plan = descent._meetings(lists, rows, 1, 0)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("strategy=broadcast") == 1  # the hubs, an id and a number each
