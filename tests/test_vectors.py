@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkloom.functions.vectors import ml_vectors
-from talkloom.operators import blocks, density, embed, kmeans, knn, profile, reduce
+from talkloom.operators import blocks, cell_blocks, density, embed, kmeans, knn, profile, reduce
 
 
 def frame(spark, x, key="k"):
@@ -186,6 +186,21 @@ def test_svd_of_long_rows(spark, max_bytes):
     assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=0.05) and not got[5].any()
 
 
+def test_svd_of_long_rows_joins_no_cells(spark, monkeypatch):
+    """Both sides of each step were joins of all cells with a vector each before; rows without a key are one row."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((60, 30)) < 0.3) * rng.random((60, 30)) * np.linspace(4, 0.1, 30)
+    cells = [(int(i) or None, f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    weights = spark.createDataFrame(cells, "doc_id bigint, term string, w double")
+    monkeypatch.setattr(reduce, "lookup_join", None)
+    monkeypatch.setattr(cell_blocks, "LEAST_CELLS", 100)
+    reduced = reduce.truncated_svd_terms(weights.repartition(5), 30, oversample=0, seed=1, max_bytes=0)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert reduced.singular_values == pytest.approx(s, rel=1e-9)
+    got = {r["doc_id"] or 0: r["vec"] for r in reduced.rows.collect()}
+    assert np.abs([got[i] for i in range(60)]) == pytest.approx(np.abs(u * s), abs=1e-6)
+
+
 def test_neighbour_weights_and_coordinates(spark):
     x = blobs(np.random.default_rng(9), (30, 30), 0.4)
     graph = knn.knn_graph(frame(spark, x), 6, "k", "vec", "euclidean")
