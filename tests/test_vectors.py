@@ -505,3 +505,68 @@ def test_links_of_a_node_lie_in_one_file(spark, monkeypatch):
     reduce.neighbour_embedding(frame(spark, rng.normal(size=(120, 4))), "k", "vec", 2, 10, n_iter=1)
     walk = walks[0].selectExpr("u", "input_file_name() AS f").distinct()
     assert walks[0].count() > 1200 and walk.count() == 120
+
+
+def jobs_of(spark, run):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    found = run()
+    return found, len(tracker.getJobIdsForGroup()) - before
+
+
+def test_silhouette_sends_blocks_once_a_group_and_all_labelings_together(spark, monkeypatch):
+    """Pairs of 40 blocks are 820 rows, once for each k."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    sent, join = [], kmeans.join_block_pairs
+    monkeypatch.setattr(kmeans, "join_block_pairs", lambda b, p: (sent.append(join(b, p)), sent[-1])[1])
+    x = blobs(np.random.default_rng(8), (120, 110, 90))
+    table, best = kmeans.find_optimal_clusters(frame(spark, x), "k", "vec", 5, n_init=2)
+    assert best == 3 and len(sent) == 1 and sent[0].count() <= 40 * (2 * spark.sparkContext.defaultParallelism + 3)
+    for r in table.where("k > 1").collect():
+        labels = kmeans.kmeans(ml_vectors(frame(spark, x), "vec", "k"), r["k"], "k", 2).labels
+        assert r["silhouette"] == pytest.approx(kmeans.silhouette(frame(spark, x), labels, "k", "vec"))
+
+
+def test_silhouette_of_odd_labels_and_keys(spark):
+    rows = [(1, [0.0, 0.0], 0), (2, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [5.0, 0.0], 1), (4, [6.0, 0.0], 1), (5, [9.0, 9.0], None)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<float>, cluster int")
+    found = kmeans.silhouette_samples(df, df, "id", "vec").orderBy("id").collect()
+    assert [r["id"] for r in found] == [1, 2, 3, 4, 5] and found[4]["silhouette"] == 0.0 and found[4]["cluster"] is None
+    one = kmeans.silhouette_samples(df.where("id < 3"), df, "id", "vec").collect()
+    assert [r["silhouette"] for r in one] == [None, None]
+
+
+def test_tasks_finish_bounded_graphs_and_trees(spark, monkeypatch):
+    """Clusters that hold each other, 30 deep, took several jobs for each."""
+    clusters = [(8, c, c + 1 if c < 29 else None, 100 + c, float(c % 7)) for c in range(30)]
+    clusters += [(8, 100 + c, c, 8, 1.5) for c in range(30)]
+    table = spark.createDataFrame(clusters, "size bigint, cluster bigint, parent bigint, n bigint, stability double")
+    found, jobs = jobs_of(spark, lambda: sorted(map(tuple, density.select_stable(table).collect()), key=str))
+    assert jobs < 25 and len(found) == 60
+    rng = np.random.default_rng(4)
+    ends = rng.integers(0, 90, size=(200, 2))
+    edges = spark.createDataFrame(
+        [(0, int(a), int(b), float(rng.integers(9))) for a, b in ends[ends[:, 0] != ends[:, 1]]], "level int, u bigint, v bigint, w double"
+    )
+    whole = [sorted(map(tuple, f.collect())) for f in density.spanning_forest(edges, with_components=True)]
+    few = table.where("cluster % 100 > 24")
+    found = sorted(map(tuple, density.select_stable(few).collect()), key=str)
+    monkeypatch.setattr(density, "TASK_ROWS", 3)
+    assert sorted(map(tuple, density.select_stable(few).collect()), key=str) == found
+    assert whole == [sorted(map(tuple, f.collect())) for f in density.spanning_forest(edges, with_components=True)]
+
+
+def test_linking_leaves_out_pairs_of_one_tree(spark):
+    """A tree of most points in every block: its edges to the others, and theirs to it, are those of all pairs."""
+    x = np.random.default_rng(6).normal(size=(90, 3))
+    tree = np.where(np.arange(90) % 9 == 0, np.arange(90) % 4 + 1, 0)
+    points = frame(spark, x)
+    trees = spark.createDataFrame([(i, int(t)) for i, t in enumerate(tree)], "node bigint, comp bigint")
+    core = points.select("k", F.lit(0.0).alias("core"))
+    links = density.link_trees(points, "k", "vec", core, trees).collect()
+    d = distances(x, "euclidean")
+    between = [
+        {"u": a, "v": b, "w": d[np.ix_(tree == a, tree == b)].min()} for a, b in itertools.combinations(range(5), 2)
+    ]
+    n, total = brute_forest(between)
+    assert len(links) == n == 4 and sum(r["w"] for r in links) == pytest.approx(total)
